@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, exact_dedup, language_id, sentencepieces, simhash
+from quadrille.llm import chat, decontaminate, exact_dedup, language_id, sentencepieces, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_chat_format": chat.op2_chat_format,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_sentencepiece": sentencepieces.op9_sentencepiece,
 }
 
 SQL = {
     "op2_chat_format": chat.OP2_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
