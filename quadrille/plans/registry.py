@@ -1,5 +1,8 @@
 """The registered queries over the driver tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quadrille.plans import space, units  # noqa: F401
+from quadrille.plans.common import QUERIES, SQL
+
 FLAGSHIP = "effect_sizes"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
