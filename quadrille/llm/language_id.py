@@ -16,15 +16,14 @@ are predicted, and neither held out nor learned from. Repeated rows are predicte
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,37 +51,29 @@ def grams(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies: one vector over `langs` for each known word, and n-gram of each order."""
+    """Log frequencies by kind: 0 for words, else the n-gram order. For each kind the row of each entry, and a matrix with a column for each language."""
 
     langs: list[str]
-    word: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    gram: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
+    row: dict[int, dict[str, int]] = field(default_factory=dict)
+    matrix: dict[int, np.ndarray] = field(default_factory=dict)
 
-    @cached_property
-    def row(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.word)}
-
-    @cached_property
-    def matrix(self) -> np.ndarray:
-        return np.array(list(self.word.values()), float).reshape(-1, len(self.langs))
-
-    def of_word(self, word: str) -> tuple[float, ...] | None:
+    def of_word(self, word: str) -> np.ndarray | None:
         """What an unseen word scores; None if not one of its characters is known."""
         for order in ORDERS:
-            table = self.gram.get(order, {})
-            found = [v for g in grams(word, order) if (v := table.get(g)) is not None]
+            rows = self.row.get(order, {})
+            found = [at for g in grams(word, order) if (at := rows.get(g)) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
+                return self.matrix[order][found].mean(axis=0)
         return None
 
-    def predict(self, text: str | None, cache: dict[str, tuple[float, ...] | None]) -> tuple[str, float]:
+    def predict(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
         """The language of a text and its posterior. cache: keeps what unseen words score."""
         seen = Counter(words(text))
         if not self.langs or not seen:
             return UNDETERMINED, 0.0
-        known, times, total = [], [], np.zeros(len(self.langs))
+        known, times, total, rows = [], [], np.zeros(len(self.langs)), self.row.get(0, {})
         for word, n in seen.items():
-            if (at := self.row.get(word)) is not None:
+            if (at := rows.get(word)) is not None:
                 known.append(at)
                 times.append(n)
                 continue
@@ -91,21 +82,21 @@ class Model:
                     cache.clear()
                 cache[word] = self.of_word(word)
             if (v := cache[word]) is not None:
-                total += np.multiply(v, n)
+                total += v * n
         if known:
-            total += np.array(times, float) @ self.matrix[known]
+            total += np.array(times, float) @ self.matrix[0][known]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def log_frequencies(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, tuple[float, ...]]:
-    """Smoothed log frequency of each entry in each language. rows: (lang, entry, count)."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, list[float]] = {}
-    for lang, entry, n in rows:
-        counts.setdefault(entry, [0.0] * len(langs))[at[lang]] += n
-    totals = [sum(c[i] for c in counts.values()) + SMOOTHING * len(counts) for i in range(len(langs))]
-    return {e: tuple(math.log((c[i] + SMOOTHING) / totals[i]) for i in range(len(langs))) for e, c in counts.items()}
+def log_frequencies(entries: list[str], lang: np.ndarray, n: np.ndarray, n_langs: int) -> tuple[dict[str, int], np.ndarray]:
+    """The row of each entry and its smoothed log frequency in each language. lang: the language's number of each (entry, count)."""
+    row: dict[str, int] = {}
+    at = np.fromiter((row.setdefault(e, len(row)) for e in entries), np.int64, len(entries))
+    counts = np.zeros((len(row), n_langs))
+    np.add.at(counts, (at, lang), n)
+    counts += SMOOTHING
+    return row, np.log(counts / counts.sum(axis=0))
 
 
 def _most_frequent(counts: DataFrame, entries: int) -> DataFrame:
@@ -154,17 +145,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     vocabulary = staged(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     spelled = vocabulary.mapInArrow(spell, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
     kept = _most_frequent(staged(vocabulary.select("lang", F.lit(0).alias("kind"), F.col("word").alias("entry"), "n").unionByName(spelled), "lang-entries"), entries)
-    by_kind: dict[int, list[tuple[str, str, int]]] = {}
-    for r in kept.collect():  # at most `entries` rows of each language and kind
-        by_kind.setdefault(r["kind"], []).append((r["lang"], r["entry"], r["n"]))
     langs = sorted(sizes)
-    model = Model(langs)
-    for kind, found in by_kind.items():
-        made = log_frequencies(found, langs)
-        if kind:
-            model.gram[kind] = made
-        else:
-            model.word = made
+    model, found = Model(langs), kept.toArrow()  # at most `entries` rows of each language and kind
+    number = pc.index_in(found["lang"], pa.array(langs)).to_numpy()
+    for kind in pc.unique(found["kind"]).to_pylist():
+        of = pc.equal(found["kind"], kind)
+        part = found.filter(of)
+        model.row[kind], model.matrix[kind] = log_frequencies(part["entry"].to_pylist(), number[of.to_numpy()], part["n"].to_numpy(), len(langs))
     return model
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,11 @@ from quadrille.sources.virtual import BASE_SQL
 K, SIDE = 10, 40.0
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Units are read once for the edges and again for what is put on them."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def points(df: DataFrame) -> DataFrame:
     return df.select("roi", F.col("spx").alias("id"), "x", "y")
 
@@ -29,7 +35,7 @@ FROM {source} a JOIN {source} b ON a.roi = b.roi AND a.spx <> b.spx QUALIFY rank
 
 @query(f"WITH {BASE_SQL}, {knn_sql('ex')} SELECT roi, src, dst, {r6('d2', 'd2')}, rank FROM e")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn(units(spark, sf_dir)).select("roi", "src", "dst", "d2", F.col("rank").cast("bigint").alias("rank")))
+    return rounded(knn(kept(units(spark, sf_dir))).select("roi", "src", "dst", "d2", F.col("rank").cast("bigint").alias("rank")))
 
 
 _ENRICH = """c AS (SELECT roi, l, count(*) AS n FROM named GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY roi) AS expected FROM c),
@@ -41,7 +47,7 @@ _ENRICHED = f"{GATED_SQL}, sure AS (SELECT * FROM labelled WHERE confidence > 0)
 
 
 def cell_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = gated(spark, sf_dir).filter("confidence > 0")
+    df = kept(gated(spark, sf_dir).filter("confidence > 0"))
     return neighbours.enrichment(df.select("roi", F.col("spx").alias("id"), "cell_type"), knn(df), ["roi"], "cell_type")
 
 
@@ -75,7 +81,7 @@ SELECT category, timepoint, n_mice, round(enrichment, 6) AS enrichment, CASE WHE
 def interface_focalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    df = with_interface(scored(spark, sf_dir))
+    df = kept(with_interface(scored(spark, sf_dir)))
     own = neighbours.enrichment(df.select("roi", F.col("spx").alias("id"), "interface"), knn(df), ["roi"], "interface").filter("focal = neighbour")
     mice = virtual.with_design(own).groupBy(F.col("focal").alias("category"), "timepoint", "mouse").agg(F.avg("enrichment").alias("v"))
     t = mice.groupBy("category", "timepoint").agg(F.avg("v").alias("enrichment"), F.count(F.lit(1)).alias("n_mice"))
@@ -90,7 +96,7 @@ _DELTAS = ", ".join(f"avg(b.{s}) - any_value(a.{s}) AS d_{s}" for s in ("lineage
 @query(f"""WITH {SCORED_SQL}, {knn_sql('scored')}, d AS (SELECT e.roi, e.src, any_value(a.interface) AS interface, {_DELTAS} FROM e JOIN scored a ON e.roi = a.roi AND e.src = a.spx JOIN scored b ON e.roi = b.roi AND e.dst = b.spx GROUP BY e.roi, e.src)
 SELECT roi, interface, count(*) AS n, count(*) < 20 AS below_min_support, {', '.join(f"round(CASE WHEN count(*) >= 20 THEN avg(d_{s}) END, 6) AS d_{s}" for s in ('lineage_immune', 'lineage_endothelial', 'lineage_stromal'))} FROM d GROUP BY roi, interface""")
 def neighbour_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_interface(scored(spark, sf_dir))
+    df = kept(with_interface(scored(spark, sf_dir)))
     names = [f"lineage_{n}" for n in lineages()]
     delta = neighbours.neighbour_minus_self(df.select("roi", F.col("spx").alias("id"), "interface", *names), knn(df), ["roi"], names)
     return rounded(neighbours.supported_means(delta, ["roi", "interface"], [f"d_{n}" for n in names], 20))
@@ -101,7 +107,7 @@ r AS (SELECT roi, interface, timepoint, mouse, CASE WHEN count(*) >= 20 THEN avg
 full_ AS (SELECT interface FROM m GROUP BY interface HAVING count(DISTINCT CASE WHEN d IS NOT NULL THEN timepoint END) = 4)
 SELECT interface, timepoint, mouse, round(d, 6) AS d_lineage_immune, n::BIGINT AS n, round(d - avg(CASE WHEN timepoint = 'Sham' THEN d END) OVER (PARTITION BY interface), 6) AS d_lineage_immune_delta FROM m SEMI JOIN full_ USING (interface) WHERE d IS NOT NULL""")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_interface(scored(spark, sf_dir))
+    df = kept(with_interface(scored(spark, sf_dir)))
     delta = neighbours.neighbour_minus_self(df.select("roi", F.col("spx").alias("id"), "interface", "lineage_immune"), knn(df), ["roi"], ["lineage_immune"])
     per_roi = virtual.with_design(neighbours.supported_means(delta, ["roi", "interface"], ["d_lineage_immune"], 20))
     mice = per_roi.groupBy("interface", "timepoint", "mouse").agg(F.avg("d_lineage_immune").alias("d_lineage_immune"), F.sum("n").alias("n")).filter("d_lineage_immune IS NOT NULL")
@@ -120,7 +126,7 @@ _MORAN = ["lineage_immune", "lineage_endothelial", "lineage_stromal"]
 
 @query(f"WITH {SCORED_SQL}, {knn_sql('scored', K, 'e0')}, e AS (SELECT *, 1 / {K}.0 AS w FROM e0), src AS (SELECT * FROM scored), {_moran_sql(_MORAN)}")
 def morans_i_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = kept(scored(spark, sf_dir))
     return rounded(neighbours.morans_i(df.select("roi", F.col("spx").alias("id"), *_MORAN), knn(df).withColumn("w", F.lit(1 / K)), ["roi"], _MORAN))
 
 
@@ -129,7 +135,7 @@ _RADIUS = """SELECT a.roi, a.spx AS src, b.spx AS dst, (a.x - b.x) * (a.x - b.x)
 
 @query(f"WITH {BASE_SQL}, e AS (SELECT *, 1.0 AS w FROM ({_RADIUS}) WHERE d2 <= 50 * 50), src AS (SELECT * FROM ex), {_moran_sql(['cd45', 'cd31', 'cd44'])}")
 def morans_i_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = units(spark, sf_dir)
+    df = kept(units(spark, sf_dir))
     values = ["cd45", "cd31", "cd44"]
     near = edges.within(points(df), ["roi"], 50.0).withColumn("w", F.lit(1.0))
     return rounded(neighbours.morans_i(df.select("roi", F.col("spx").alias("id"), *values), near, ["roi"], values))
@@ -138,7 +144,7 @@ def morans_i_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORED_SQL}, {knn_sql('scored')}, f AS (SELECT roi, spx, lineage_immune > 0.3 AS on_ FROM scored), j AS (SELECT e.roi, count(*) AS joins FROM e JOIN f a ON e.roi = a.roi AND e.src = a.spx AND a.on_ JOIN f b ON e.roi = b.roi AND e.dst = b.spx AND b.on_ GROUP BY e.roi)
 SELECT roi, count(*) AS n, count(*) FILTER (on_) AS n_positive, any_value(coalesce(joins, 0)) AS joins FROM f LEFT JOIN j USING (roi) GROUP BY roi""")
 def join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(spark, sf_dir)
+    df = kept(scored(spark, sf_dir))
     return neighbours.join_counts(df.select("roi", F.col("spx").alias("id"), (F.col("lineage_immune") > 0.3).alias("flag")), knn(df), ["roi"], "flag")
 
 
@@ -151,7 +157,7 @@ p AS (SELECT k, e.roi, f.l AS focal, g.l AS neighbour, count(*) AS m FROM e0 e J
 o AS (SELECT *, m / sum(m) OVER (PARTITION BY k, roi, focal) AS observed FROM p)
 SELECT k, focal AS category, round(avg(observed / expected), 6) AS enrichment, count(*) AS n_regions FROM o JOIN s ON o.roi = s.roi AND o.focal = s.l WHERE focal = neighbour GROUP BY k, focal""")
 def k_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_interface(scored(spark, sf_dir))
+    df = kept(with_interface(scored(spark, sf_dir)))
     # The edges are found once for the largest k; smaller ones are a filter on the rank.
     by_k = knn(df, max(_K_ROWS)).withColumn("k", F.explode(F.filter(F.array(*map(F.lit, _K_ROWS)), lambda k: F.col("rank") <= k)))
     named = df.select("roi", F.col("spx").alias("id"), "interface")
@@ -162,7 +168,7 @@ def k_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BASE_SQL}, e AS (SELECT a.roi, a.spx AS src, b.cd45, b.cd31, b.cd44 FROM ex a JOIN ex b ON a.roi = b.roi AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)
 SELECT roi, src AS id, {', '.join(f"round(coalesce(CASE WHEN count(*) >= 2 THEN covar_samp({a}, {b}) END, 0), 6) AS cov_{a}_{b}" for a, b in (('cd45', 'cd31'), ('cd45', 'cd44'), ('cd31', 'cd44')))} FROM e GROUP BY roi, src""")
 def local_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = units(spark, sf_dir)
+    df = kept(units(spark, sf_dir))
     near = edges.within(points(df), ["roi"], 20.0, include_self=True)
     return rounded(neighbours.local_covariance(df.select("roi", F.col("spx").alias("id"), "cd45", "cd31", "cd44"), near, ["roi"], [("cd45", "cd31"), ("cd45", "cd44"), ("cd31", "cd44")]))
 
