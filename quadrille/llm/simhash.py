@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates leaves one row.
 
     Candidates are the groups that fingerprints within the radius form; their size classes (a
