@@ -17,9 +17,14 @@ def _around(points: DataFrame, keys: list[str], side: float) -> DataFrame:
     return spread.withColumns({"_by": F.floor(F.col("y") / side) + F.col("_dy"), "_bx": F.floor(F.col("x") / side) + F.col("_dx")}).drop("_dx", "_dy")
 
 
+def _spread(points: DataFrame, by: list[str]) -> DataFrame:
+    """Each point is about to become a hundred pairs: few small partitions, as adaptive execution leaves, would make them on few cores."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | None, include_self: bool = False) -> DataFrame:
     """(keys, src, dst, d2) of points in neighbouring squares; of all points of a key if side is None."""
-    left = probe.select(*keys, F.col("id").alias("src"), "x", "y")
+    left = _spread(probe.select(*keys, F.col("id").alias("src"), "x", "y"), [*keys, "src"])
     right = points.select(*keys, F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     on = list(keys)
     if side is not None:

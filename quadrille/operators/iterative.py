@@ -34,7 +34,7 @@ def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactn
     square = (F.floor(F.col("y") / scale) * width + F.floor(F.col("x") / scale)).cast("bigint")
     px = pixels.select(*keys, "x", "y", F.col(signal).cast("double").alias("v"), square.alias("label"))
     around = F.explode(F.array(*(F.lit(dy * width + dx).cast("bigint") for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
-    ask = px.withColumn("home", F.col("label")).withColumn("near", F.col("home") + around).drop("label")
+    ask = px.withColumn("_step", around).withColumn("near", F.col("label") + F.col("_step")).drop("label", "_step")
     nearest = Window.partitionBy(*keys, "x", "y").orderBy("d", "near")
     labels = px
     for _ in range(rounds):
@@ -125,7 +125,10 @@ def permutation_p(units: DataFrame, edges: DataFrame, key: str, label: str, n: i
         return pd.DataFrame({key: u[key].iloc[0], "focal": names[f], "neighbour": names[g], "p": ((beyond + 1) / (n + 1)).ravel()})
 
     kind = units.schema[key].dataType.simpleString()
-    return units.select(key, "id", label).groupBy(key).cogroup(edges.select(key, "src", "dst").groupBy(key)).applyInPandas(run, f"{key} {kind}, focal string, neighbour string, p double")
+    # New names on both sides: the edges come from the units, and cogrouping needs their keys told apart.
+    left = units.select(F.col(key).alias(key), "id", label).groupBy(key)
+    right = edges.select(F.col(key).alias("_of"), "src", "dst").groupBy("_of")
+    return left.cogroup(right).applyInPandas(run, f"{key} {kind}, focal string, neighbour string, p double")
 
 
 def bootstrap_range(df: DataFrame, keys: list[str], group: str, value: str, first: str, second: str, draws: int = 2_000, salt: int = 42) -> DataFrame:
