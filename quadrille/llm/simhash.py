@@ -33,6 +33,10 @@ BLOCK = 1024
 PAIRS = 1 << 20
 #: Base of one digit of a tile number: over twice the largest count plus the largest radius.
 BASE = 256
+#: 64-bit words of the fingerprints that near-duplicates are found by.
+WORDS = 4
+#: Odd multiplier that mixes the hashes for the further words of a fingerprint.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -43,30 +47,33 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(itertools.islice(words, i, None) for i in range(width)))))
 
 
-def fingerprint(grams: list[bytes]) -> int:
-    """Signed 64-bit SimHash: a bit is set if it is set in over half of the hashes."""
-    ones = np.zeros(64, np.int64)
+def fingerprint(grams: list[bytes], n_words: int = 1) -> list[int]:
+    """SimHash as signed 64-bit words: a bit is set if it is set in over half of the hashes. Words after the first take the hashes mixed anew."""
+    ones = np.zeros((n_words, 64), np.int64)
     for at in range(0, len(grams), 65_536):
         part = grams[at : at + 65_536]
         h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
+        for w in range(n_words):
+            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * MIX
+            h ^= h >> np.uint64(29)
+    return np.packbits(2 * ones > len(grams), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, fp, n_shingles) for each row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_words: int = 1) -> DataFrame:
+    """(doc_id, words, n_shingles) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes = [], []
+            prints, sizes = [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), width)
-                fps.append(fingerprint(grams))
+                prints.append(fingerprint(grams, n_words))
                 sizes.append(len(grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "words", "n_shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint, n_shingles bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, words array<bigint>, n_shingles bigint")
 
 
 def neighbour_offsets(bands: int, radius: int, sized: bool) -> list[int]:
@@ -76,42 +83,55 @@ def neighbour_offsets(bands: int, radius: int, sized: bool) -> list[int]:
     return sorted(o for o in (number((*v, s)) for v in ball for s in ((0, 1, -1) if sized else (0,))) if o >= 0)
 
 
-def tiles(fps: DataFrame, bands: int, sized: bool) -> DataFrame:
-    """(tile, block, fps): distinct fingerprints in blocks of about BLOCK by band counts."""
+def tiles(fps: DataFrame, bands: int, step: int, sized: bool) -> DataFrame:
+    """(tile, block, fps): fingerprints in blocks of about BLOCK by band counts, `step` counts to a tile; of each its words and its node, flat."""
     edges = [round(64 * i / bands) for i in range(bands + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tile = sum((F.bit_count(F.col("fp").bitwiseAND(F.lit(m))).cast("long") * F.lit(BASE**i) for i, m in enumerate(signed)), F.lit(0).cast("long"))
+    count = lambda m: F.floor(F.bit_count(F.col("words")[0].bitwiseAND(F.lit(m))) / step).cast("long")
+    tile = sum((count(m) * F.lit(BASE**i) for i, m in enumerate(signed)), F.lit(0).cast("long"))
     if sized:
         tile = tile + F.col("size_class") * F.lit(BASE**bands)
     inside = Window.partitionBy("tile")
     block = F.pmod(F.xxhash64("fp"), F.ceil(F.count(F.lit(1)).over(inside) / BLOCK)).alias("block")
-    return fps.select("fp", tile.alias("tile")).select("fp", "tile", block).groupBy("tile", "block").agg(F.collect_list("fp").alias("fps"))
+    flat = F.flatten(F.collect_list(F.concat("words", F.array("fp")))).alias("fps")
+    return fps.select("fp", "words", tile.alias("tile")).select("fp", "words", "tile", block).groupBy("tile", "block").agg(flat)
 
 
-def _within(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, oa: np.ndarray, ob: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked values among the pairs of each row's two lists, lists given by offset and length."""
+def _within(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, oa: np.ndarray, ob: np.ndarray, first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and b of the linked ones among the pairs of each row's two lists, lists given by offset and length.
+
+    a, b: one row of words a fingerprint. The first words are compared for all pairs, within `first`; all words for those that pass.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    a0, b0 = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0])
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        if a.shape[1] > 1:
+            near = np.bitwise_count(a[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
+            i, j = i[near], j[near]
+        found.append((i, j))
+
     n = la * lb
     large = n > 65_536
     for r in np.nonzero(large)[0]:
-        right = b[ob[r] : ob[r] + lb[r]]
+        right = b0[ob[r] : ob[r] + lb[r]]
         step = max(1, PAIRS // len(right))
         for at in range(oa[r], oa[r] + la[r], step):
-            left = a[at : min(at + step, oa[r] + la[r])]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
-            found.append((left[i], right[j]))
+            left = a0[at : min(at + step, oa[r] + la[r])]
+            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= first)
+            keep(i + at, j + ob[r])
     rows = np.nonzero(~large)[0]
     ends = np.cumsum(n[rows])
     for start in range(0, int(ends[-1]) if len(rows) else 0, PAIRS):
         k = np.arange(start, min(start + PAIRS, int(ends[-1])))
         at = np.searchsorted(ends, k, side="right")
         row, inside = rows[at], k - (ends[at] - n[rows[at]])
-        left, right = a[oa[row] + inside // lb[row]], b[ob[row] + inside % lb[row]]
-        hit = np.bitwise_count(left ^ right) <= radius
-        found.append((left[hit], right[hit]))
+        i, j = oa[row] + inside // lb[row], ob[row] + inside % lb[row]
+        hit = np.bitwise_count(a0[i] ^ b0[j]) <= first
+        keep(i[hit], j[hit])
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
@@ -133,23 +153,31 @@ def _stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[other], nodes[label[other]]
 
 
-def links(fps: DataFrame, radius: int, bands: int, sized: bool = False) -> DataFrame:
-    """(a, b): links that connect exactly what distinct fingerprints within the radius connect."""
-    all_tiles = staged(tiles(fps, bands, sized), "simhash-tiles")
-    offsets = F.array(*(F.lit(o).cast("long") for o in neighbour_offsets(bands, radius, sized)))
+def links(fps: DataFrame, radius: int, bands: int, sized: bool = False, n_words: int = 1, first: int | None = None) -> DataFrame:
+    """(a, b): links that connect exactly what distinct fingerprints within the radius connect.
+
+    fps: (fp, words), fp the node that stands for the words. Fingerprints of several words are tiled by their first,
+    which may differ by `first` bits.
+    """
+    first = radius if first is None else first
+    step = 1 if n_words == 1 else first
+    all_tiles = staged(tiles(fps, bands, step, sized), "simhash-tiles")
+    offsets = F.array(*(F.lit(o).cast("long") for o in neighbour_offsets(bands, -(-first // step), sized)))
     probe = all_tiles.select("tile", F.col("block").alias("block_a"), F.col("fps").alias("a"), F.explode(offsets).alias("offset")).withColumn("want", F.col("tile") + F.col("offset"))
     other = all_tiles.select(F.col("tile").alias("want"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
     pairs = probe.join(other, "want").filter((F.col("offset") != 0) | (F.col("block_a") <= F.col("block_b")))
+    stride = n_words + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 lists = [batch.column(i) for i in (0, 1)]
-                value = [x.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for x in lists]
-                length = [np.asarray(x.value_lengths(), dtype=np.int64) for x in lists]
+                value = [x.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, stride) for x in lists]
+                length = [np.asarray(x.value_lengths(), dtype=np.int64) // stride for x in lists]
                 start = [np.cumsum(n) - n for n in length]
-                a, b = _stars(*_within(*value, *length, *start, radius))
+                i, j = _within(*(v[:, :n_words] for v in value), *length, *start, first, radius)
+                a, b = _stars(value[0][i, n_words], value[1][j, n_words])
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -176,19 +204,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; component_id: the smallest doc_id reachable."""
-    prints = staged(fingerprints(docs, id_col, text_col, width).select("doc_id", "fp"), "simhash-prints")
+    prints = staged(fingerprints(docs, id_col, text_col, width).select("doc_id", F.col("words")[0].alias("fp")), "simhash-prints")
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(first.select("fp"), radius, bands))
+    roots = components(links(first.select("fp", F.array("fp").alias("words")), radius, bands))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 14, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 60, first: int = 22, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates leaves one row.
 
-    Candidates are the groups that fingerprints within the radius form; their size classes (a
+    Fingerprints have 256 bits: at a similarity of 0.8 two of them differ by some 39 bits, give or take 6, and by
+    10, give or take 3, in the first word, while unrelated ones differ by 128, give or take 8. Candidates are the groups that fingerprints within the radius form; their size classes (a
     factor of 1/similarity each) prune tiles, as sets of such different sizes cannot be so
     similar. In each round the smallest doc_id of a group stays, the members whose shingle sets
     have a Jaccard similarity to it of `similarity` or more go, and the rest of the group is
@@ -197,11 +226,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with a null doc_id stay.
     """
     sized = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
-    prints = staged(fingerprints(docs, id_col, text_col, width).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.min_by("n_shingles", "fp").alias("n_shingles")).withColumn("size_class", sized), "near-prints")
+    prints = staged(fingerprints(docs, id_col, text_col, width, WORDS).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
     open_, dropped = prints, None
     while True:
         # The same fingerprint in two size classes is in two tiles; links join them all the same.
-        roots = components(links(open_.select("fp", "size_class").distinct(), radius, bands=1, sized=True))
+        roots = components(links(open_.select("fp", "words", "size_class").distinct(), radius, bands=1, sized=True, n_words=WORDS, first=first))
         grouped = open_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         heads = grouped.groupBy("root").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         pairs = staged(grouped.join(heads, "root").filter("doc_id <> head").select("doc_id", "head"), "near-pairs")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -15,12 +16,11 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 def best_run(a, b):
     """Best score over all lines, one for each agreement and -2 for each difference."""
-    best = 0
+    a, b, best = np.array([hash(w) for w in a]), np.array([hash(w) for w in b]), 0
     for shift in range(-len(b) + 1, len(a)):
-        run = 0
-        for j in range(max(0, -shift), min(len(b), len(a) - shift)):
-            run = max(0, run + (1 if a[j + shift] == b[j] else -decontaminate.PENALTY))
-            best = max(best, run)
+        low, n = max(0, -shift), min(len(b), len(a) - shift)
+        c = np.concatenate([[0], np.cumsum(np.where(a[low + shift : n + shift] == b[low:n], 1, -decontaminate.PENALTY))])
+        best = max(best, int((c - np.minimum.accumulate(c)).max()))
     return best
 
 
