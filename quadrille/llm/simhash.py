@@ -35,6 +35,8 @@ PAIRS = 1 << 20
 BASE = 256
 #: 64-bit words of the fingerprints that near-duplicates are found by.
 WORDS = 4
+#: Rounds in which members of a group are compared with its smallest doc_id by their shingles.
+VERIFIED = 3
 #: Odd multiplier that mixes the hashes for the further words of a fingerprint.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -213,29 +215,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 60, first: int = 22, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 60, first: int = 22, similarity: float = 0.8, judged_by: int = 39) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates leaves one row.
 
     Fingerprints have 256 bits: at a similarity of 0.8 two of them differ by some 39 bits, give or take 6, and by
     10, give or take 3, in the first word, while unrelated ones differ by 128, give or take 8. Candidates are the groups that fingerprints within the radius form; their size classes (a
     factor of 1/similarity each) prune tiles, as sets of such different sizes cannot be so
-    similar. In each round the smallest doc_id of a group stays, the members whose shingle sets
-    have a Jaccard similarity to it of `similarity` or more go, and the rest of the group is
-    grouped anew. So what goes is similar to a row that stays, and no two rows of a group that
-    stay are similar. Rows with equal fingerprints are compared like any other members. Rows
-    with a null doc_id stay.
+    similar. In each of VERIFIED rounds the smallest doc_id of a group stays, the members whose shingle
+    sets have a Jaccard similarity to it of `similarity` or more go, and the rest of the group is
+    grouped anew. What is left then, of families of many texts that are alike but less than so
+    similar, is judged by its fingerprints alone: of each group within the closer radius `judged_by`,
+    the distance expected at that similarity, the smallest doc_id stays. Rows with equal fingerprints are compared
+    like any other members. Rows with a null doc_id stay.
     """
     sized = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
     prints = staged(fingerprints(docs, id_col, text_col, width, WORDS).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
     open_, dropped = prints, None
-    while True:
+    for turn in range(VERIFIED + 1):
         # The same fingerprint in two size classes is in two tiles; links join them all the same.
-        roots = components(links(open_.select("fp", "words", "size_class").distinct(), radius, bands=1, sized=True, n_words=WORDS, first=first))
+        within = radius if turn < VERIFIED else judged_by
+        roots = components(links(open_.select("fp", "words", "size_class").distinct(), within, bands=1, sized=True, n_words=WORDS, first=first))
         grouped = open_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         heads = grouped.groupBy("root").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         pairs = staged(grouped.join(heads, "root").filter("doc_id <> head").select("doc_id", "head"), "near-pairs")
         if pairs.isEmpty():
             break
+        if turn == VERIFIED:
+            dropped = dropped.unionByName(pairs.select("doc_id"))
+            break
         judged = staged(_verified(docs, id_col, text_col, pairs, width, similarity), "near-judged")
         gone = judged.filter("similar").select("doc_id")
         dropped = gone if dropped is None else dropped.unionByName(gone)
