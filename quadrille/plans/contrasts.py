@@ -234,7 +234,7 @@ def distribution_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.ks_distance(thresholds.unpivoted(units(spark, sf_dir), ["mouse"], MARKERS), ["marker"], "mouse", "value", "MS1"))
 
 
-@query(f"""WITH {GATED_SQL}, i AS (SELECT roi, cell_type AS a, (y // 100)::BIGINT * 5 + (x // 100)::BIGINT AS b FROM labelled), c AS (SELECT roi, a, b, count(*)::DOUBLE AS n FROM i GROUP BY ALL), ra AS (SELECT roi, a, sum(n) AS n FROM c GROUP BY ALL), cb AS (SELECT roi, b, sum(n) AS n FROM c GROUP BY ALL), tot AS (SELECT roi, sum(n) AS t FROM c GROUP BY roi),
+@query(f"""WITH {GATED_SQL}, i AS (SELECT roi, cell_type AS a, floor(y / 100)::BIGINT * 5 + floor(x / 100)::BIGINT AS b FROM labelled), c AS (SELECT roi, a, b, count(*)::DOUBLE AS n FROM i GROUP BY ALL), ra AS (SELECT roi, a, sum(n) AS n FROM c GROUP BY ALL), cb AS (SELECT roi, b, sum(n) AS n FROM c GROUP BY ALL), tot AS (SELECT roi, sum(n) AS t FROM c GROUP BY roi),
 x AS (SELECT roi, sum(n * (n - 1) / 2) AS ij FROM c GROUP BY roi), y AS (SELECT roi, sum(n * (n - 1) / 2) AS i, -sum(n / t * ln(n / t)) AS ha FROM ra JOIN tot USING (roi) GROUP BY roi), z AS (SELECT roi, sum(n * (n - 1) / 2) AS j, -sum(n / t * ln(n / t)) AS hb FROM cb JOIN tot USING (roi) GROUP BY roi),
 mi AS (SELECT c.roi, sum(c.n / t * ln(c.n * t / (ra.n * cb.n))) AS mi FROM c JOIN ra ON c.roi = ra.roi AND c.a = ra.a JOIN cb ON c.roi = cb.roi AND c.b = cb.b JOIN tot ON c.roi = tot.roi GROUP BY c.roi)
 SELECT roi, t::BIGINT AS n, round((ij - i * j / (t * (t - 1) / 2)) / ((i + j) / 2 - i * j / (t * (t - 1) / 2)), 6) AS ari, round(2 * mi / (ha + hb), 6) AS nmi FROM tot JOIN x USING (roi) JOIN y USING (roi) JOIN z USING (roi) JOIN mi USING (roi)""")
