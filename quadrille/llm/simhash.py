@@ -15,10 +15,12 @@ component unless its component has no other id. An empty table gives an empty re
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,10 @@ PAIRS = 1 << 20
 BASE = 256
 #: 64-bit words of the fingerprints that near-duplicates are found by.
 WORDS = 4
-#: Rounds in which members of a group are compared with its smallest doc_id by their shingles.
-VERIFIED = 3
+#: Heads that a group's members are compared with in one round: so many in the first, STEP times more in each further one, HEADS at most.
+STEP, HEADS = 16, 512
+#: Rows of a doc_id, a group and a fingerprint that may be broadcast.
+HEAD_ROWS = 500_000
 #: Odd multiplier that mixes the hashes for the further words of a fingerprint.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -215,64 +219,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 60, first: int = 22, similarity: float = 0.8, judged_by: int = 39) -> DataFrame:
-    """The rows of docs that stay when each group of near-duplicates leaves one row.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 60, first: int = 22, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay when, in order of doc_id, each goes that is a near-duplicate of one that stays.
 
-    Fingerprints have 256 bits: at a similarity of 0.8 two of them differ by some 39 bits, give or take 6, and by
-    10, give or take 3, in the first word, while unrelated ones differ by 128, give or take 8. Candidates are the groups that fingerprints within the radius form; their size classes (a
-    factor of 1/similarity each) prune tiles, as sets of such different sizes cannot be so
-    similar. In each of VERIFIED rounds the smallest doc_id of a group stays, the members whose shingle
-    sets have a Jaccard similarity to it of `similarity` or more go, and the rest of the group is
-    grouped anew. What is left then, of families of many texts that are alike but less than so
-    similar, is judged by its fingerprints alone: of each group within the closer radius `judged_by`,
-    the distance expected at that similarity, the smallest doc_id stays. Rows with equal fingerprints are compared
-    like any other members. Rows with a null doc_id stay.
+    Near-duplicates have shingle sets of a Jaccard similarity of `similarity` or more, and fingerprints within the
+    radius. Fingerprints have 256 bits: at a similarity of 0.8 two of them differ by some 39
+    bits, give or take 6, and by 10, give or take 3, in the first word, while unrelated ones differ by 128, give or
+    take 8. Groups are what fingerprints within the radius connect; their size classes (a factor of 1/similarity each)
+    prune tiles, as sets of such different sizes cannot be so similar. In each round the smallest doc_ids that are
+    left of a group are its heads; those within the radius of a head are compared with it by their shingles, heads
+    with each other too. Heads that are like no smaller head that stays stay, what is like those goes, and the rest
+    waits for the next round, until none is left. Rows with equal fingerprints are compared like any other members.
+    Rows with a null doc_id stay.
     """
     sized = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
     prints = staged(fingerprints(docs, id_col, text_col, width, WORDS).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
-    open_, dropped = prints, None
-    for turn in range(VERIFIED + 1):
-        # The same fingerprint in two size classes is in two tiles; links join them all the same.
-        within = radius if turn < VERIFIED else judged_by
-        roots = components(links(open_.select("fp", "words", "size_class").distinct(), within, bands=1, sized=True, n_words=WORDS, first=first))
-        grouped = open_.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        heads = grouped.groupBy("root").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        pairs = staged(grouped.join(heads, "root").filter("doc_id <> head").select("doc_id", "head"), "near-pairs")
-        if pairs.isEmpty():
-            break
-        if turn == VERIFIED:
-            dropped = dropped.unionByName(pairs.select("doc_id"))
-            break
-        judged = staged(_verified(docs, id_col, text_col, pairs, width, similarity), "near-judged")
-        gone = judged.filter("similar").select("doc_id")
+    # The same fingerprint in two size classes is in two tiles; links join them all the same.
+    roots = components(links(prints.select("fp", "words", "size_class").distinct(), radius, bands=1, sized=True, n_words=WORDS, first=first))
+    grouped = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    open_ = staged(grouped.join(several, "root").select("doc_id", "root", "words", "n_shingles"), "near-open")
+    least, dropped = 1, None
+    while not open_.isEmpty():
+        at = F.row_number().over(Window.partitionBy("root").orderBy("doc_id"))
+        heads = staged(open_.withColumn("_at", at).filter(F.col("_at") <= least).drop("_at"), "near-heads")
+        like = staged(_verified(docs, id_col, text_col, _candidates(heads, open_, radius, first, similarity), width, similarity), "near-like")
+        not_kept = staged(_not_kept(like.join(heads.select("doc_id"), "doc_id", "left_semi")), "near-not-kept")
+        gone = staged(like.join(not_kept.select(F.col("doc_id").alias("head")), "head", "left_anti").select("doc_id").unionByName(not_kept).distinct(), "near-gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        open_ = staged(prints.join(judged.filter("NOT similar").select("doc_id"), "doc_id", "left_semi"), "near-open")
+        open_ = staged(open_.join(heads.select("doc_id").unionByName(gone), "doc_id", "left_anti"), "near-open")
+        least = min(HEADS, least * STEP)
     if dropped is None:
         return docs
     return docs.join(small(dropped.select(F.col("doc_id").alias("_q_id"))), docs[id_col] == F.col("_q_id"), "left_anti")
 
 
+def _candidates(heads: DataFrame, members: DataFrame, radius: int, first: int, similarity: float) -> DataFrame:
+    """(doc_id, head, root): members with each smaller head of their group that is within the radius and of a like size."""
+    of = heads.select("root", F.col("doc_id").alias("head"), F.col("words").alias("_words"), F.col("n_shingles").alias("_n"))
+    apart = [F.bit_count(F.col("words")[i].bitwiseXOR(F.col("_words")[i])) for i in range(WORDS)]
+    near = (F.col("head") < F.col("doc_id")) & (apart[0] <= first) & (sum(apart[1:], apart[0]) <= radius)
+    near = near & (F.least("n_shingles", "_n") >= similarity * F.greatest("n_shingles", "_n"))
+    return members.join(small(of, HEAD_ROWS), "root").filter(near).select("doc_id", "head", "root")
+
+
+def _not_kept(like: DataFrame) -> DataFrame:
+    """(doc_id): those of heads that are like a smaller head that stays. like: (doc_id, head, root), both heads, at most HEADS of a root."""
+
+    def run(links: pd.DataFrame) -> pd.DataFrame:
+        gone = set()
+        for member, head in links.sort_values(["doc_id", "head"])[["doc_id", "head"]].itertuples(index=False):
+            if head not in gone:
+                gone.add(member)
+        return pd.DataFrame({"doc_id": list(gone)})
+
+    return like.groupBy("root").applyInPandas(run, f"doc_id {like.schema['doc_id'].dataType.simpleString()}")
+
+
 def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, similar): whether the shingle sets of a member and its head are similar enough."""
+    """Those of the pairs (doc_id, head, root) whose shingle sets are similar enough."""
+    pairs = staged(pairs, "near-pairs")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     of = lambda pick, text: (texts.join(small(pick), F.col("_id") == F.col(pick.columns[0])).drop("_id").withColumnRenamed("_text", text))
     heads = of(pairs.select(F.col("head").alias("h")).distinct(), "head_text")
     members = of(pairs, "text")
-    both = members.join(heads, F.col("head") == F.col("h")).select("doc_id", "text", "head_text")
+    both = members.join(heads, F.col("head") == F.col("h")).select("doc_id", "head", "root", "text", "head_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = functools.lru_cache(256)(lambda text: frozenset(shingles(text, width)))
         for batch in batches:
-            said, last, head = [], None, set()
-            for text, head_text in zip(batch.column(1), batch.column(2)):
-                if (now := head_text.as_py()) != last or last is None:
-                    last, head = now, set(shingles(now, width))
-                own = set(shingles(text.as_py(), width))
-                union = len(own | head)
-                said.append(not union or len(own & head) >= similarity * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.bool_())], names=["doc_id", "similar"])
+            said = []
+            for text, head_text in zip(batch.column(3), batch.column(4)):
+                own, head = cut(text.as_py()), cut(head_text.as_py())
+                shared = len(own & head)
+                said.append(shared >= similarity * (len(own) + len(head) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc_id", "head", "root"]).filter(pa.array(said, pa.bool_()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, similar boolean").groupBy("doc_id").agg(F.max("similar").alias("similar"))
+    return both.mapInArrow(run, f"doc_id {kind}, head {kind}, root bigint").distinct()
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
