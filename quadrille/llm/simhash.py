@@ -66,14 +66,15 @@ def fingerprint(grams: list[bytes], n_words: int = 1) -> list[int]:
     return np.packbits(2 * ones > len(grams), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_words: int = 1) -> DataFrame:
-    """(doc_id, words, n_shingles) for each row."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, words, n_shingles) for each row. distinct: of the set of shingles, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, sizes = [], []
             for text in batch.column(1):
                 grams = shingles(text.as_py(), width)
+                grams = list(set(grams)) if distinct else grams
                 prints.append(fingerprint(grams, n_words))
                 sizes.append(len(grams))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "words", "n_shingles"])
@@ -223,7 +224,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay when, in order of doc_id, each goes that is a near-duplicate of one that stays.
 
     Near-duplicates have shingle sets of a Jaccard similarity of `similarity` or more, and fingerprints within the
-    radius. Fingerprints have 256 bits: at a similarity of 0.8 two of them differ by some 39
+    radius. Fingerprints are those of the sets, of 256 bits: at a similarity of 0.8 two of them differ by some 39
     bits, give or take 6, and by 10, give or take 3, in the first word, while unrelated ones differ by 128, give or
     take 8. Groups are what fingerprints within the radius connect; their size classes (a factor of 1/similarity each)
     prune tiles, as sets of such different sizes cannot be so similar. In each round the smallest doc_ids that are
@@ -233,7 +234,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null doc_id stay.
     """
     sized = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
-    prints = staged(fingerprints(docs, id_col, text_col, width, WORDS).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
+    prints = staged(fingerprints(docs, id_col, text_col, width, WORDS, distinct=True).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
     # The same fingerprint in two size classes is in two tiles; links join them all the same.
     roots = components(links(prints.select("fp", "words", "size_class").distinct(), radius, bands=1, sized=True, n_words=WORDS, first=first))
     grouped = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -29,3 +29,13 @@ def test_families_of_texts_that_are_less_than_similar(spark):
     kept = chosen(rows)
     assert 30 < len(kept) < len(rows) - 10
     assert sorted(r[0] for r in simhash.deduplicate(spark.createDataFrame(rows, KIND)).collect()) == kept
+
+
+def test_repeats_do_not_count(spark):
+    texts = [" ".join(f"t{n}x{i}" for i in range(n)) for n in (60, 150, 400)]
+    often = texts[1] + " " + " ".join(["one line that comes again and again"] * 40)
+    once = texts[1] + " one line that comes again and again one line that comes"
+    rows = list(enumerate([x for t in texts[::2] for x in (t, t + " " + t)] + [often, once]))
+    kept = chosen(rows)
+    assert kept == [0, 2, 4]
+    assert sorted(r[0] for r in simhash.deduplicate(spark.createDataFrame(rows, KIND)).collect()) == kept
