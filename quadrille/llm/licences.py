@@ -1,15 +1,17 @@
 """License scans by the Dice coefficient of word bigrams, in DataFrame functions alone.
 
-A text is compared line by line and, for wrapped notices, by blocks between blank lines. Both
-sides are normalised to lower-cased words. A template whose bigrams are too many or too few
+A text is compared line by line and, for wrapped notices, by blocks between blank lines. A notice that
+shares its lines with other words is looked for by windows of the template's word count over all
+words of the text; only texts that hold enough of a template's bigrams for the least coefficient are
+gone through. Of the licences at one place the best counts. Both sides are normalised to lower-cased words. A template whose bigrams are too many or too few
 for the least coefficient is passed over without comparing: of sets of sizes m and n the
 coefficient is 2 min(m, n) / (m + n) at most.
 
 The templates are a fixed list and go along as a literal; nothing is shuffled but the finds.
 
 Defined results: null and empty texts hold no licence. One row for each document and licence,
-with the best coefficient and how many lines or blocks reach the threshold; of one licence's
-several templates the best counts. Repeated documents of one id and text count together, rows
+with the best coefficient and how many lines or blocks reach the threshold, or, if none does, how many
+windows that do not overlap; of one licence's several templates the best counts. Repeated documents of one id and text count together, rows
 of null ids too. An empty table gives an empty report.
 """
 
@@ -40,6 +42,15 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Further notices of licences that are close to those above.
+CLOSE: list[tuple[str, str]] = [
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+]
+
 
 def bigrams(text: Column) -> Column:
     """Hashes of the distinct word bigrams of a text; a single word stands alone."""
@@ -49,25 +60,59 @@ def bigrams(text: Column) -> Column:
 
 
 def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> Column:
-    """The templates as a literal array of (licence, n, grams)."""
-    rows = spark.createDataFrame(texts, "licence string, text string").select("licence", bigrams(F.col("text")).alias("grams")).collect()
-    return F.array(*(F.struct(F.lit(r["licence"]).alias("licence"), F.lit(len(r["grams"])).alias("n"), F.array(*(F.lit(g).cast("long") for g in r["grams"])).alias("grams")) for r in rows))
+    """The templates as a literal array of (licence, n, width, grams); width: bigrams with repeats."""
+    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    rows = spark.createDataFrame(texts, "licence string, text string").select("licence", words.alias("words"), bigrams(F.col("text")).alias("grams")).collect()
+    # As one expression of constants, which is folded at once.
+    return F.expr("array(" + ", ".join(f"named_struct('licence', '{r['licence']}', 'n', {len(r['grams'])}, 'width', {max(1, r['words'] - 1)}, 'grams', {longs(r['grams'])})" for r in rows) + ")")
+
+
+def longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = [*TEMPLATES, *CLOSE], least: float = LEAST) -> DataFrame:
     """(doc_id, licence, dice, n_places) of each licence notice found in a document."""
+    known = templates(docs.sparkSession, texts)
     text = F.coalesce(F.col(text_col), F.lit(""))
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: b.contains("\n"))
     places = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(F.split(text, "\n"), blocks)).alias("place"))
     cut = places.filter(F.length("place") > 0).select("doc_id", bigrams(F.col("place")).alias("grams"))
     n = F.size("grams")
-    fitting = F.filter(templates(docs.sparkSession, texts), lambda t: (2 * F.least(n, t["n"]) >= least * (n + t["n"])) & (n > 0))
+    fitting = F.filter(known, lambda t: (2 * F.least(n, t["n"]) >= least * (n + t["n"])) & (n > 0))
     dice = F.transform(fitting, lambda t: F.struct(t["licence"].alias("licence"), (2 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (n + t["n"])).alias("dice")))
-    found = cut.select("doc_id", F.explode(F.filter(dice, lambda d: d["dice"] >= least)).alias("d"), F.monotonically_increasing_id().alias("place"))
-    return (
-        found.groupBy("doc_id", F.col("d.licence").alias("licence"))
-        .agg(F.round(F.max("d.dice"), 6).alias("dice"), F.count_distinct("place").alias("n_places"))
-    )
+    reached = cut.select("doc_id", F.filter(dice, lambda d: d["dice"] >= least).alias("finds")).filter(F.size("finds") > 0)
+    best = F.filter("finds", lambda d: d["dice"] == F.array_max(F.transform("finds", lambda e: e["dice"])))
+    found = reached.select("doc_id", F.explode(best).alias("d"), F.monotonically_increasing_id().alias("place"))
+    whole = found.groupBy("doc_id", F.col("d.licence").alias("licence")).agg(F.max("d.dice").alias("dice"), F.count_distinct("place").alias("n_places"), F.lit(0).alias("by_window"))
+    either = whole.unionByName(windows(docs, id_col, text_col, known, least))
+    return either.groupBy("doc_id", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), F.min_by("n_places", "by_window").alias("n_places"))
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, known: Column, least: float) -> DataFrame:
+    """(doc_id, licence, dice, n_places, by_window) by windows of as many words as a template has.
+
+    A window of m bigrams shares at least `least` (m + n) / 2 of a template's n, and m at most: the text holds n least / (2 - least).
+    """
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  (else a filter after it makes the column anew)
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    some = docs.select(F.col(id_col).alias("doc_id"), once(words).alias("words")).filter(F.size("words") > 1)
+    paired = some.select("doc_id", once(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b))).alias("grams"))
+    # First what the text shares with all templates at once, which most texts share next to nothing with.
+    every = sorted(docs.sparkSession.range(1).select(F.explode(F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"]))))).toPandas().iloc[:, 0])
+    shared = paired.select("doc_id", "grams", once(F.array_intersect(F.expr(longs(every)), "grams")).alias("own")).filter(F.size("own") > 1)
+    enough = F.filter(known, lambda t: F.size(F.array_intersect("own", t["grams"])) * (2 - least) >= least * t["n"] - 1e-9)
+    asked = shared.withColumn("id", F.monotonically_increasing_id()).withColumn("t", F.explode(enough))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("grams") - F.col("t.width")))
+    part = lambda i: F.array_distinct(F.slice("grams", i, F.col("t.width")))
+    tried = F.transform(starts, lambda i: F.struct(i.alias("start"), (2 * F.size(F.array_intersect(part(i), F.col("t.grams"))) / (F.size(part(i)) + F.col("t.n"))).alias("dice")))
+    at = asked.select("id", "doc_id", "t.licence", "t.width", F.explode(F.filter(tried, lambda x: x["dice"] >= least)).alias("at"))
+    scored = at.select("id", "doc_id", "licence", "at.start", (F.col("at.start") + F.col("width")).alias("end"), "at.dice")
+    spans = scored.groupBy("id", "doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("rank"), (F.col("start") - F.col("end")).alias("shorter"), "start", "end", "licence"))).alias("spans"))
+    # The best first; what overlaps one that is taken goes.
+    kind = "array<struct<rank:double,shorter:int,start:int,end:int,licence:string>>"
+    taken = F.aggregate("spans", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x).cast(kind))))
+    return spans.select("doc_id", F.explode(taken).alias("s")).groupBy("doc_id", F.col("s.licence").alias("licence")).agg(F.max(-F.col("s.rank")).alias("dice"), F.count(F.lit(1)).alias("n_places"), F.lit(1).alias("by_window"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
