@@ -1,14 +1,16 @@
-"""What several operators need: the shared folder, staged tables, checked broadcasts."""
+"""What several operators need: the shared folder, staged tables, checked broadcasts, draws by hash, free names, texts cut by a pattern."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of one or two longs that may be broadcast: 2 million of them are about 32 MB.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +37,54 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is proven to have at most `limit` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about as a hashed relation holds it."""
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(0).cast("bigint"), lambda n, x: n + _width(x, kind.elementType)) if isinstance(kind.elementType, (T.StringType, T.ArrayType, T.StructType)) else F.coalesce(F.size(column), F.lit(0)) * 8
+        return each + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows are measured to take at most `limit` bytes, else as it is: then a shuffle joins it.
+
+    The measure is one aggregate over df, so df should be staged or cheap.
+    """
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0) <= limit else df
+
+
+def drawn(share: Column | float, *columns: str) -> Column:
+    """Whether a row is in a sample of the given share, by a hash of its columns: of any row count, as shares need not be whole parts of a million."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53)) < share
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The first of name, _name, __name ... that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Stands around finds while a text is cut; a text that holds it is searched twice instead.
+MARK = "\ue000"
+
+
+def cut(text: Column, pattern: str) -> Column:
+    """A text cut so that every second piece is a find of the pattern; null for a null text."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    twice = F.flatten(F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.array(p, m)))
+    return F.when(text.contains(MARK), F.filter(twice, lambda p: p.isNotNull())).otherwise(marked)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
