@@ -6,7 +6,8 @@ bits have band counts that differ by r in all at most, so a pair of tiles whose
 by more than the radius is skipped; every other pair is compared exactly with numpy's
 exclusive-or and bit counts. A task that compares emits, not the linked pairs, but for each
 fingerprint one link to the smallest of those it is connected to within the batch; components
-come from these links by large-star and small-star rounds.
+come from these links by large-star and small-star rounds. Every pair of blocks is a key of its
+own, so that a tile that holds many fingerprints is compared by many tasks.
 
 Defined results: null and word-less texts have fingerprint zero and link like any other.
 Repeated rows each get a row with the same answer. A null doc_id gets a row; it never names a
@@ -15,32 +16,31 @@ component unless its component has no other id. An empty table gives an empty re
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.shared import small, staged, table
+from quadrille.llm.shared import fresh, small, staged, table
 
 SEED = 42
-#: Fingerprints in one block of a tile, and pairs that are compared at once in memory.
-BLOCK = 1024
-PAIRS = 1 << 20
+#: A tile of n fingerprints is cut in blocks of BLOCK, or of SPREAD times the root of n if that is more: a block meets each
+#: other one, so that blocks of a fixed size would be copied n times; pairs that are compared at once in memory.
+BLOCK, SPREAD = 1024, 32
+PAIRS = 1 << 18
 #: Base of one digit of a tile number: over twice the largest count plus the largest radius.
 BASE = 256
 #: 64-bit words of the fingerprints that near-duplicates are found by.
 WORDS = 4
-#: Heads that a group's members are compared with in one round: so many in the first, STEP times more in each further one, HEADS at most.
-STEP, HEADS = 16, 512
-#: Rows of a doc_id, a group and a fingerprint that may be broadcast.
-HEAD_ROWS = 500_000
+#: A group of so many rows and shingle hashes at most is settled whole in one task; a larger one in rounds.
+GROUP_ROWS, GROUP_HASHES = 256, 1 << 22
+#: Heads that a large group's members are compared with in one round: so many in the first, STEP times more in each further one, HEADS at most.
+STEP, HEADS = 16, 256
 #: Odd multiplier that mixes the hashes for the further words of a fingerprint.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,21 +66,16 @@ def fingerprint(grams: list[bytes], n_words: int = 1) -> list[int]:
     return np.packbits(2 * ones > len(grams), axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n_words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, words, n_shingles) for each row. distinct: of the set of shingles, each once."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(doc_id, fp) for each row: the 64-bit fingerprint of its shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = [], []
-            for text in batch.column(1):
-                grams = shingles(text.as_py(), width)
-                grams = list(set(grams)) if distinct else grams
-                prints.append(fingerprint(grams, n_words))
-                sizes.append(len(grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "words", "n_shingles"])
+            prints = [fingerprint(shingles(text.as_py(), width))[0] for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, words array<bigint>, n_shingles bigint")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def neighbour_offsets(bands: int, radius: int, sized: bool) -> list[int]:
@@ -90,8 +85,11 @@ def neighbour_offsets(bands: int, radius: int, sized: bool) -> list[int]:
     return sorted(o for o in (number((*v, s)) for v in ball for s in ((0, 1, -1) if sized else (0,))) if o >= 0)
 
 
-def tiles(fps: DataFrame, bands: int, step: int, sized: bool) -> DataFrame:
-    """(tile, block, fps): fingerprints in blocks of about BLOCK by band counts, `step` counts to a tile; of each its words and its node, flat."""
+def tiles(fps: DataFrame, bands: int, step: int, sized: bool) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints in tiles by band counts, `step` counts to a tile, and blocks; and how many blocks those tiles have that have several.
+
+    (tile, block, fps): of each fingerprint its words and its node, flat. (tile, blocks).
+    """
     edges = [round(64 * i / bands) for i in range(bands + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -99,10 +97,12 @@ def tiles(fps: DataFrame, bands: int, step: int, sized: bool) -> DataFrame:
     tile = sum((count(m) * F.lit(BASE**i) for i, m in enumerate(signed)), F.lit(0).cast("long"))
     if sized:
         tile = tile + F.col("size_class") * F.lit(BASE**bands)
-    inside = Window.partitionBy("tile")
-    block = F.pmod(F.xxhash64("fp"), F.ceil(F.count(F.lit(1)).over(inside) / BLOCK)).alias("block")
+    placed = fps.select("fp", "words", tile.alias("tile"))
+    n = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    several = staged(n.select("tile", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.ceil(SPREAD * F.sqrt("n")))).alias("blocks")).filter("blocks > 1"), "simhash-blocks")
+    block = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).alias("block")
     flat = F.flatten(F.collect_list(F.concat("words", F.array("fp")))).alias("fps")
-    return fps.select("fp", "words", tile.alias("tile")).select("fp", "words", "tile", block).groupBy("tile", "block").agg(flat)
+    return staged(placed.join(small(several), "tile", "left").select("fp", "words", "tile", block).groupBy("tile", "block").agg(flat), "simhash-tiles"), several
 
 
 def _within(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, oa: np.ndarray, ob: np.ndarray, first: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +168,14 @@ def links(fps: DataFrame, radius: int, bands: int, sized: bool = False, n_words:
     """
     first = radius if first is None else first
     step = 1 if n_words == 1 else first
-    all_tiles = staged(tiles(fps, bands, step, sized), "simhash-tiles")
+    all_tiles, several = tiles(fps, bands, step, sized)
     offsets = F.array(*(F.lit(o).cast("long") for o in neighbour_offsets(bands, -(-first // step), sized)))
-    probe = all_tiles.select("tile", F.col("block").alias("block_a"), F.col("fps").alias("a"), F.explode(offsets).alias("offset")).withColumn("want", F.col("tile") + F.col("offset"))
-    other = all_tiles.select(F.col("tile").alias("want"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
-    pairs = probe.join(other, "want").filter((F.col("offset") != 0) | (F.col("block_a") <= F.col("block_b")))
+    probe = all_tiles.select("tile", "block", F.col("fps").alias("a"), F.explode(offsets).alias("offset")).withColumn("want", F.col("tile") + F.col("offset"))
+    # A block meets every block of the other tile, and within its own tile those from itself on.
+    partners = F.sequence(F.when(F.col("offset") == 0, F.col("block")).otherwise(0), F.coalesce("blocks", F.lit(1)) - 1)
+    probe = probe.join(small(several.withColumnRenamed("tile", "want")), "want", "left").select("want", "a", F.explode(partners).alias("partner"))
+    other = all_tiles.select(F.col("tile").alias("want"), F.col("block").alias("partner"), F.col("fps").alias("b"))
+    pairs = probe.join(other, ["want", "partner"])
     stride = n_words + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row; component_id: the smallest doc_id reachable."""
-    prints = staged(fingerprints(docs, id_col, text_col, width).select("doc_id", F.col("words")[0].alias("fp")), "simhash-prints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    prints = staged(fingerprints(docs, id_col, text_col, width), "simhash-prints")
+    first = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(first.select("fp", F.array("fp").alias("words")), radius, bands))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -227,77 +230,147 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     radius. Fingerprints are those of the sets, of 256 bits: at a similarity of 0.8 two of them differ by some 39
     bits, give or take 6, and by 10, give or take 3, in the first word, while unrelated ones differ by 128, give or
     take 8. Groups are what fingerprints within the radius connect; their size classes (a factor of 1/similarity each)
-    prune tiles, as sets of such different sizes cannot be so similar. In each round the smallest doc_ids that are
-    left of a group are its heads; those within the radius of a head are compared with it by their shingles, heads
-    with each other too. Heads that are like no smaller head that stays stay, what is like those goes, and the rest
-    waits for the next round, until none is left. Rows with equal fingerprints are compared like any other members.
-    Rows with a null doc_id stay.
+    prune tiles, as sets of such different sizes cannot be so similar. Within a group every decision is by the sets.
+    A group of GROUP_ROWS rows at most is settled in one task. In a larger one the smallest that are left are its
+    heads; in each round all others are compared with them, heads with each other too. Heads that are like no
+    smaller head that stays stay, what is like those goes, and the rest waits for the next round or, once it is
+    small, for one task. No pair is left out, and no round is the last before nothing is left.
+
+    A row is what its doc_id and text say: of two rows of one doc_id and different texts each is judged by itself.
+    Rows equal in both stay or go together. Rows with a null doc_id come last in order, by a hash of their text.
+    Null and word-less texts are near-duplicates of each other. An empty table stays empty. Other columns are
+    carried along unread.
     """
+    identity = [F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("hash")]
     sized = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) / F.log(F.lit(1 / similarity))).cast("long")
-    prints = staged(fingerprints(docs, id_col, text_col, width, WORDS, distinct=True).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("words").alias("words"), F.min_by("n_shingles", "words").alias("n_shingles")).withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
+    prints = set_prints(docs.select(*identity, F.col(text_col).alias("text")), width).groupBy("id", "hash").agg(F.first("words").alias("words"), F.first("n_shingles").alias("n_shingles"))
+    prints = staged(prints.withColumn("size_class", sized).withColumn("fp", F.xxhash64("words")), "near-prints")
     # The same fingerprint in two size classes is in two tiles; links join them all the same.
     roots = components(links(prints.select("fp", "words", "size_class").distinct(), radius, bands=1, sized=True, n_words=WORDS, first=first))
     grouped = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
-    open_ = staged(grouped.join(several, "root").select("doc_id", "root", "words", "n_shingles"), "near-open")
-    least, dropped = 1, None
-    while not open_.isEmpty():
-        at = F.row_number().over(Window.partitionBy("root").orderBy("doc_id"))
-        heads = staged(open_.withColumn("_at", at).filter(F.col("_at") <= least).drop("_at"), "near-heads")
-        like = staged(_verified(docs, id_col, text_col, _candidates(heads, open_, radius, first, similarity), width, similarity), "near-like")
-        not_kept = staged(_not_kept(like.join(heads.select("doc_id"), "doc_id", "left_semi")), "near-not-kept")
-        gone = staged(like.join(not_kept.select(F.col("doc_id").alias("head")), "head", "left_anti").select("doc_id").unionByName(not_kept).distinct(), "near-gone")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        open_ = staged(open_.join(heads.select("doc_id").unionByName(gone), "doc_id", "left_anti"), "near-open")
-        least = min(HEADS, least * STEP)
-    if dropped is None:
+    members = staged(grouped.join(several, "root").select("root", "id", "hash", "words"), "near-members")
+    if members.isEmpty():
         return docs
-    return docs.join(small(dropped.select(F.col("doc_id").alias("_q_id"))), docs[id_col] == F.col("_q_id"), "left_anti")
+    # From here on the few that have company are all that is read: their shingle sets as sorted hashes.
+    sets = shingle_sets(_matching(docs.select(*identity, F.col(text_col).alias("text")), members.select("id", "hash"), "left_semi"), width).dropDuplicates(["id", "hash"])
+    same = [F.col("m.id").eqNullSafe(F.col("s.id")), F.col("m.hash") == F.col("s.hash")]
+    order = F.struct(F.col("m.id").isNull().alias("no_id"), "m.id", "m.hash").alias("at")
+    open_ = staged(members.alias("m").join(sets.alias("s"), same).select("m.root", order, "m.words", "s.grams"), "near-open")
+    dropped, heads_n = [], 1
+    while True:
+        sizes = open_.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("grams")).alias("m"))
+        large = staged(sizes.filter((F.col("n") > GROUP_ROWS) | (F.col("m") > GROUP_HASHES)).select("root"), "near-large")
+        is_large = small(large)
+        dropped.append(staged(_settled(open_.join(is_large, "root", "left_anti"), radius, first, similarity), "near-gone"))
+        if large.isEmpty():
+            break
+        open_ = open_.join(is_large, "root", "left_semi")
+        place = F.row_number().over(Window.partitionBy("root").orderBy("at"))
+        chosen = open_.select("root", "at").withColumn("_place", place).filter(F.col("_place") <= heads_n).drop("_place")
+        heads = staged(open_.join(small(staged(chosen, "near-chosen")), ["root", "at"], "left_semi"), "near-heads")
+        like = staged(_like(heads, open_, radius, first, similarity), "near-like")
+        not_kept = staged(_not_kept(like.join(heads.select("at"), "at", "left_semi")), "near-not-kept")
+        gone = staged(like.join(not_kept.select(F.col("at").alias("head")), "head", "left_anti").select("at").unionByName(not_kept).distinct(), "near-gone")
+        dropped.append(gone)
+        open_ = staged(open_.join(small(staged(heads.select("at").unionByName(gone).distinct(), "near-done")), "at", "left_anti"), "near-open")
+        heads_n = min(HEADS, heads_n * STEP)
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.unionByName(more)
+    return _matching(docs, gone.select("at.id", "at.hash"), "left_anti", id_col, text_col)
 
 
-def _candidates(heads: DataFrame, members: DataFrame, radius: int, first: int, similarity: float) -> DataFrame:
-    """(doc_id, head, root): members with each smaller head of their group that is within the radius and of a like size."""
-    of = heads.select("root", F.col("doc_id").alias("head"), F.col("words").alias("_words"), F.col("n_shingles").alias("_n"))
-    apart = [F.bit_count(F.col("words")[i].bitwiseXOR(F.col("_words")[i])) for i in range(WORDS)]
-    near = (F.col("head") < F.col("doc_id")) & (apart[0] <= first) & (sum(apart[1:], apart[0]) <= radius)
-    near = near & (F.least("n_shingles", "_n") >= similarity * F.greatest("n_shingles", "_n"))
-    return members.join(small(of, HEAD_ROWS), "root").filter(near).select("doc_id", "head", "root")
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _not_kept(like: DataFrame) -> DataFrame:
-    """(doc_id): those of heads that are like a smaller head that stays. like: (doc_id, head, root), both heads, at most HEADS of a root."""
+def _matching(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """docs semi- or anti-joined with rows (id, hash); a null id matches a null id."""
+    id_, hash_ = fresh(docs, "_q_id"), fresh(docs, "_q_hash")
+    named = small(rows.select(F.col("id").alias(id_), F.col("hash").alias(hash_)))
+    return docs.join(named, docs[id_col].eqNullSafe(F.col(id_)) & (text_hash(docs[text_col]) == F.col(hash_)), how)
 
-    def run(links: pd.DataFrame) -> pd.DataFrame:
-        gone = set()
-        for member, head in links.sort_values(["doc_id", "head"])[["doc_id", "head"]].itertuples(index=False):
-            if head not in gone:
-                gone.add(member)
-        return pd.DataFrame({"doc_id": list(gone)})
 
-    return like.groupBy("root").applyInPandas(run, f"doc_id {like.schema['doc_id'].dataType.simpleString()}")
+def set_prints(rows: DataFrame, width: int) -> DataFrame:
+    """(id, hash, words, n_shingles) of the sets of shingles. rows: (id, hash, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes = [], []
+            for text in batch.column(2):
+                grams = list(set(shingles(text.as_py(), width)))
+                prints.append(fingerprint(grams, WORDS))
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "hash", "words", "n_shingles"])
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (doc_id, head, root) whose shingle sets are similar enough."""
-    pairs = staged(pairs, "near-pairs")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    of = lambda pick, text: (texts.join(small(pick), F.col("_id") == F.col(pick.columns[0])).drop("_id").withColumnRenamed("_text", text))
-    heads = of(pairs.select(F.col("head").alias("h")).distinct(), "head_text")
-    members = of(pairs, "text")
-    both = members.join(heads, F.col("head") == F.col("h")).select("doc_id", "head", "root", "text", "head_text")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, words array<bigint>, n_shingles bigint")
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """(id, hash, grams): the distinct shingles as sorted 64-bit hashes. rows: (id, hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = functools.lru_cache(256)(lambda text: frozenset(shingles(text, width)))
         for batch in batches:
-            said = []
-            for text, head_text in zip(batch.column(3), batch.column(4)):
-                own, head = cut(text.as_py()), cut(head_text.as_py())
-                shared = len(own & head)
-                said.append(shared >= similarity * (len(own) + len(head) - shared))
-            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc_id", "head", "root"]).filter(pa.array(said, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.array(sorted({xxhash.xxh64_intdigest(g, SEED) for g in shingles(t.as_py(), width)}), np.uint64).view(np.int64) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["id", "hash", "grams"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, head {kind}, root bigint").distinct()
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, grams array<bigint>")
+
+
+def _settled(groups: DataFrame, radius: int, first: int, similarity: float) -> DataFrame:
+    """(at): the rows that go, of groups that are small enough for one task each. groups: (root, at, words, grams)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ats = group["at"].to_pylist()
+        rows = sorted(range(len(ats)), key=lambda i: _key(ats[i]))
+        words = group["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)[rows]
+        sets = [frozenset(group["grams"][i].values.to_numpy().tolist()) for i in rows]
+        n = np.array([len(s) for s in sets])
+        here = np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            if not here[i]:
+                continue
+            apart = np.bitwise_count(words[i + 1 :] ^ words[i]).astype(np.int64)
+            near = here[i + 1 :] & (apart[:, 0] <= first) & (apart.sum(axis=1) <= radius) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))
+            for j in np.nonzero(near)[0] + i + 1:
+                shared = len(sets[i] & sets[j])
+                here[j] = shared < similarity * (n[i] + n[j] - shared)
+        return group.select(["at"]).take(pa.array([rows[i] for i in np.nonzero(~here)[0]], pa.int64()))
+
+    return groups.groupBy("root").applyInArrow(run, f"at {groups.schema['at'].dataType.simpleString()}")
+
+
+def _key(at: dict) -> tuple:
+    """What rows are ordered by in Python, as Spark orders the struct."""
+    return tuple(at[k] if at[k] is not None else 0 for k in ("no_id", "id", "hash"))
+
+
+def _like(heads: DataFrame, members: DataFrame, radius: int, first: int, similarity: float) -> DataFrame:
+    """(root, at, head): members with each smaller head of their group whose shingle set is similar enough."""
+    of = heads.select("root", F.col("at").alias("head"), F.col("words").alias("_words"), F.col("grams").alias("_grams"))
+    apart = [F.bit_count(F.col("words")[i].bitwiseXOR(F.col("_words")[i])) for i in range(WORDS)]
+    n, m = F.size("grams"), F.size("_grams")
+    near = (F.col("head") < F.col("at")) & (apart[0] <= first) & (sum(apart[1:], apart[0]) <= radius) & (F.least(n, m) >= similarity * F.greatest(n, m))
+    shared = F.size(F.array_intersect("grams", "_grams"))
+    # One condition that looks at the sets only of those that come near.
+    return members.join(small(of), "root").filter(F.when(near, shared >= similarity * (n + m - shared)).otherwise(False)).select("root", "at", "head")
+
+
+def _not_kept(like: DataFrame) -> DataFrame:
+    """(at): those of heads that are like a smaller head that stays. like: (root, at, head), both heads, at most HEADS of a root."""
+
+    def run(links: pa.Table) -> pa.Table:
+        member, head = ([_key(x) for x in links[c].to_pylist()] for c in ("at", "head"))
+        gone: dict[tuple, int] = {}
+        for i in sorted(range(len(member)), key=lambda i: (member[i], head[i])):
+            if head[i] not in gone:
+                gone.setdefault(member[i], i)
+        return links.select(["at"]).take(pa.array(list(gone.values()), pa.int64()))
+
+    return like.groupBy("root").applyInArrow(run, f"at {like.schema['at'].dataType.simpleString()}")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,45 @@ def test_repeats_do_not_count(spark):
     kept = chosen(rows)
     assert kept == [0, 2, 4]
     assert sorted(r[0] for r in simhash.deduplicate(spark.createDataFrame(rows, KIND)).collect()) == kept
+
+
+def test_large_groups_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 6)
+    monkeypatch.setattr(simhash, "HEADS", 16)
+    rng = random.Random(5)
+    rows = []
+    for family, sizes in enumerate(([3, 7, 9], [1, 2], [12, 16, 20])):
+        page = [f"v{family}x{i}" for i in range(250)]
+        for n in range(50):
+            own = list(page)
+            for k in rng.sample(range(250), rng.choice(sizes)):
+                own[k] = f"own{family}x{n}x{k}"
+            rows.append((len(rows), " ".join(own)))
+    kept = chosen(rows)
+    assert 20 < len(kept) < len(rows) - 40
+    rows += [(None, rows[0][1]), (None, rows[60][1] + " more")]
+    assert sorted(r[0] or -1 for r in simhash.deduplicate(spark.createDataFrame(rows, KIND)).collect()) == sorted(x or -1 for x in kept)
+
+
+def test_several_blocks_to_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "SPREAD", 1)
+    rng = random.Random(9)
+    rows = [(i, f"{i} " + " ".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(60)]
+    rows += [(i + 100, t) for i, t in rows[::3]]
+    docs = spark.createDataFrame(rows, KIND)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, radius=12, bands=2).collect()}
+    prints = {i: simhash.fingerprint(simhash.shingles(t, 3))[0] & (2**64 - 1) for i, t in rows}
+    root = {i: i for i in prints}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 12 and top(a) != top(b):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert got == {i: top(i) for i in prints}
