@@ -5,13 +5,18 @@ word backs off to its character n-grams, from the longest order down: the first
 any of its n-grams is known scores it. The language with the largest sum wins; the score is
 its share of the posterior over the learned languages.
 
-The model is fitted on a bounded sample: at most about `sample` labelled texts of each language,
-picked by a hash of the id, and at most `entries` words, and as many n-grams of each order, of
-each language. Texts are predicted whole.
+Words are runs of letters, whatever stands around them ("m²" holds the word "m").
+
+The model is fitted on a bounded sample: about `sample` labelled texts of each language, or fewer
+if the languages are so many that this is more than `most` texts in all, picked by a hash of the
+id. All words and n-grams of these texts are kept. Texts are predicted whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. So is every text if
-nothing was learned. Of equally likely languages the first by name wins. Rows with a null id
-are predicted, and neither held out nor learned from. Repeated rows are predicted alike.
+nothing was learned. Of equally likely languages the first by name wins; a text of which not one
+character is known is equally likely in all, and scores one over their number. Rows with a null id
+are predicted, and neither held out nor learned from. Repeated rows are predicted alike, and of
+labelled ones all or none are learned from. More than LANGS different labels are refused: such a
+column holds no languages. An empty table gives an empty report.
 """
 
 from __future__ import annotations
@@ -27,18 +32,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import staged, table
+from quadrille.llm.shared import drawn, staged, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-SAMPLE, ENTRIES = 4_000, 40_000
+#: Labelled texts of each language to learn from, and of all languages; labels that are taken for languages.
+SAMPLE, MOST, LANGS = 4_000, 400_000, 1_000
 #: Added to each count, for words and n-grams that a language has not been seen with.
 SMOOTHING = 0.5
 
 
 def words(text: str | None) -> list[str]:
-    return [w for w in WORD.findall(text.lower()) if w.isalpha()] if text else []
+    """Runs of letters, lower-cased. The pattern's runs may hold numbers that are no digits, such as ² and ½: those part words too."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -99,32 +109,17 @@ def log_frequencies(entries: list[str], lang: np.ndarray, n: np.ndarray, n_langs
     return row, np.log(counts / counts.sum(axis=0))
 
 
-def _most_frequent(counts: DataFrame, entries: int) -> DataFrame:
-    """(lang, kind, entry, n) at or above the count that leaves at most `entries` of each language and kind.
-
-    The cut comes from how many entries have each count, a table of a few hundred rows a language.
-    """
-    cuts: dict[tuple[str, int], int] = {}
-    room: dict[tuple[str, int], int] = {}
-    for r in counts.groupBy("lang", "kind", "n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect():
-        k = (r["lang"], r["kind"])
-        room[k] = room.get(k, entries) - r["m"]
-        if room[k] >= 0:
-            cuts[k] = r["n"]
-    if not cuts:
-        return counts.limit(0)
-    least = counts.sparkSession.createDataFrame([(a, b, n) for (a, b), n in cuts.items()], "lang string, kind int, least bigint")
-    return counts.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least").drop("least")
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model:
     """A model of the labelled rows; rows without a text or a language teach nothing."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGS + 1).collect()}
     if not sizes:
         return Model([])
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample / n) * 1_000_000))))
-    rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")])
+    if len(sizes) > LANGS:
+        raise ValueError(f"column {lang_col} holds more than {LANGS} different values")
+    each = min(sample, most / len(sizes))
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
+    rows = rows.filter(drawn(share[F.col("lang")], "id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +139,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     vocabulary = staged(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     spelled = vocabulary.mapInArrow(spell, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
-    kept = _most_frequent(staged(vocabulary.select("lang", F.lit(0).alias("kind"), F.col("word").alias("entry"), "n").unionByName(spelled), "lang-entries"), entries)
+    entries = vocabulary.select("lang", F.lit(0).alias("kind"), F.col("word").alias("entry"), "n").unionByName(spelled)
     langs = sorted(sizes)
-    model, found = Model(langs), kept.toArrow()  # at most `entries` rows of each language and kind
+    model, found = Model(langs), entries.toArrow()  # what the words of the bounded sample are made of
     number = pc.index_in(found["lang"], pa.array(langs)).to_numpy()
     for kind in pc.unique(found["kind"]).to_pylist():
         of = pc.equal(found["kind"], kind)

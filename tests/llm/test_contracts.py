@@ -33,7 +33,7 @@ def test_language_of_held_out_documents(spark, documents):
     assert len(got) == len(docs)
     assert all(got.held_out[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in docs.index)
     assert got.score.between(0, 1).all()
-    lettered = docs.text.map(lambda t: bool(t) and bool(re.search(r"[^\W\d_]", t)))
+    lettered = docs.text.map(lambda t: bool(t) and any(map(str.isalpha, t)))
     assert (got.lang_pred[~lettered] == "und").all() and (got.lang_pred[lettered] != "und").all()
     judged = got.held_out & docs.lang.notna() & lettered
     assert (got.lang_pred == docs.lang)[judged].mean() > 0.95
@@ -99,11 +99,15 @@ def test_resampling_by_weight_and_noise(spark, sf, documents):
         assert got.log_weight[i] == pytest.approx(float((np.log(target) - np.log(raw))[b].sum()), abs=1e-6)
     least = np.sort(got.priority)[::-1][round(0.5 * len(got)) - 1]
     assert (got.selected == (got.priority >= least)).all()
+    # What is added is Gumbel noise: its mean is 0.5772, its spread 1.2825, and it does not follow the weights.
+    noise = got.priority - got.log_weight
+    assert abs(noise.mean() - 0.5772) < 4 * 1.2825 / len(noise) ** 0.5 and abs(noise.std() - 1.2825) < 0.3
+    assert abs(np.corrcoef(noise, got.log_weight)[0, 1]) < 0.3
 
 
 def test_secret_findings(spark, sf):
     got = registry.QUERIES["op7_secret_scan"](spark, "/root/testdata/sf0.01").toPandas()
-    assert len(got) and got.probability.between(0.5, 1).all() and got.length.between(16, 256).all()
+    assert len(got) and got.probability.between(0.5, 1).all() and (got.length >= 8).all()
 
 
 def test_sentencepiece_against_the_library(spark, sf, documents):
