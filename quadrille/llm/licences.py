@@ -1,118 +1,143 @@
 """License scans by the Dice coefficient of word bigrams, in DataFrame functions alone.
 
-A text is compared line by line and, for wrapped notices, by blocks between blank lines. A notice that
-shares its lines with other words is looked for by windows of the template's word count over all
-words of the text; only texts that hold enough of a template's bigrams for the least coefficient are
-gone through. Of the licences at one place the best counts. Both sides are normalised to lower-cased words. A template whose bigrams are too many or too few
-for the least coefficient is passed over without comparing: of sets of sizes m and n the
-coefficient is 2 min(m, n) / (m + n) at most.
-
-The templates are a fixed list and go along as a literal; nothing is shuffled but the finds.
-
-Defined results: null and empty texts hold no licence. One row for each document and licence,
-with the best coefficient and how many lines or blocks reach the threshold, or, if none does, how many
-windows that do not overlap; of one licence's several templates the best counts. Repeated documents of one id and text count together, rows
-of null ids too. An empty table gives an empty report.
+Both sides are normalised to lower-cased words, and compared by counted bigrams: of m and n bigrams of which k
+are shared, with repeats, the coefficient is 2 k / (m + n). A place is a run of words of a text, anywhere in it, that
+begins and ends with a bigram of the template. As k is m at most, a place within the least coefficient d has
+between n d / (2 - d) and n (2 - d) / d bigrams: these size bounds prune templates of which a text holds too few
+bigrams, and end the search for the end of a place.
+
+For each start the end with the largest coefficient by the template's bigrams in between is taken; of the places so found the
+best, and of those that do not overlap it the next best, and so on. Their coefficients are then counted exactly, and
+once more the best that do not overlap stay, now of all templates: the licence that says it best has the place.
+
+Of a text nothing is looked at before it holds one of a few words: those that so many of each template's bigrams
+touch that without them too few are left. The templates are a fixed list and go along as a literal; nothing is shuffled but
+the finds.
+
+Defined results: null and empty texts hold no licence, whatever other columns are called. One row for each document and licence,
+with the best coefficient and the number of places. Of equal coefficients the longer place counts, then the
+first by place and name. Rows of one id count together, rows of null ids too. Texts of any length are read whole. An empty table gives an
+empty report.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import table
+from quadrille.llm.licence_texts import CLOSE, NOTICES, WHOLE
+from quadrille.llm.shared import let, table
 
 WORD = r"[\p{L}\p{N}]+"
 LEAST = 0.8
+TEMPLATES = NOTICES
 
-# Notices as the licences' own texts give them.
-TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
-
-# Further notices of licences that are close to those above.
-CLOSE: list[tuple[str, str]] = [
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-]
-
-
-def bigrams(text: Column) -> Column:
-    """Hashes of the distinct word bigrams of a text; a single word stands alone."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(F.when(F.size(words) == 1, F.transform(words, lambda w: F.xxhash64(w))).otherwise(pairs))
-
-
-def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> Column:
-    """The templates as a literal array of (licence, n, width, grams); width: bigrams with repeats."""
-    words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    rows = spark.createDataFrame(texts, "licence string, text string").select("licence", words.alias("words"), bigrams(F.col("text")).alias("grams")).collect()
-    # As one expression of constants, which is folded at once.
-    return F.expr("array(" + ", ".join(f"named_struct('licence', '{r['licence']}', 'n', {len(r['grams'])}, 'width', {max(1, r['words'] - 1)}, 'grams', {longs(r['grams'])})" for r in rows) + ")")
-
-
-def longs(values: list[int]) -> str:
-    return f"array({', '.join(f'{v}L' for v in values)})"
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = [*TEMPLATES, *CLOSE], least: float = LEAST) -> DataFrame:
-    """(doc_id, licence, dice, n_places) of each licence notice found in a document."""
-    known = templates(docs.sparkSession, texts)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: b.contains("\n"))
-    places = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.concat(F.split(text, "\n"), blocks)).alias("place"))
-    cut = places.filter(F.length("place") > 0).select("doc_id", bigrams(F.col("place")).alias("grams"))
-    n = F.size("grams")
-    fitting = F.filter(known, lambda t: (2 * F.least(n, t["n"]) >= least * (n + t["n"])) & (n > 0))
-    dice = F.transform(fitting, lambda t: F.struct(t["licence"].alias("licence"), (2 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (n + t["n"])).alias("dice")))
-    reached = cut.select("doc_id", F.filter(dice, lambda d: d["dice"] >= least).alias("finds")).filter(F.size("finds") > 0)
-    best = F.filter("finds", lambda d: d["dice"] == F.array_max(F.transform("finds", lambda e: e["dice"])))
-    found = reached.select("doc_id", F.explode(best).alias("d"), F.monotonically_increasing_id().alias("place"))
-    whole = found.groupBy("doc_id", F.col("d.licence").alias("licence")).agg(F.max("d.dice").alias("dice"), F.count_distinct("place").alias("n_places"), F.lit(0).alias("by_window"))
-    either = whole.unionByName(windows(docs, id_col, text_col, known, least))
-    return either.groupBy("doc_id", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), F.min_by("n_places", "by_window").alias("n_places"))
-
-
-def windows(docs: DataFrame, id_col: str, text_col: str, known: Column, least: float) -> DataFrame:
-    """(doc_id, licence, dice, n_places, by_window) by windows of as many words as a template has.
-
-    A window of m bigrams shares at least `least` (m + n) / 2 of a template's n, and m at most: the text holds n least / (2 - least).
+
+def words_of(text: str) -> list[str]:
+    """Words of a template; the same as Spark's pattern finds in it."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def signal_words(texts: list[tuple[str, str]], least: float) -> list[str]:
+    """Words of which each place with the least coefficient holds one: a template's bigrams without them are too few for it.
+
+    Taken in turn is the word that goes farthest, a letter more counting double, as long words are rare in other texts.
     """
+    bigrams = [list(zip(w, w[1:])) for w in (words_of(t) for _, t in texts)]
+    #: How many bigrams may be left untouched at most.
+    room = [math.ceil(len(b) * least / (2 - least) - 1e-9) - 1 for b in bigrams]
+    left, chosen = [list(b) for b in bigrams], []
+    while any(len(b) > r for b, r in zip(left, room)):
+        gain: Counter[str] = Counter()
+        for b, r in zip(left, room):
+            if len(b) > r:
+                for pair in b:
+                    for w in set(pair):
+                        gain[w] += 1 / (len(b) - r)
+        word = max(gain, key=lambda w: (gain[w] * 2 ** len(w), w))
+        chosen.append(word)
+        left = [[p for p in b if word not in p] for b in left]
+    return chosen
+
+
+def _hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def templates(spark: SparkSession, texts: list[tuple[str, str]]) -> list[tuple[str, int, list[int], list[int]]]:
+    """(licence, n, grams, times) of each template: its number of bigrams, their distinct hashes, how often each occurs."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    rows = spark.createDataFrame(texts, "licence string, text string").select("licence", words.alias("w")).select("licence", F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: _hash(a, b)).alias("grams")).collect()
+    out = []
+    for r in rows:
+        counts = Counter(r["grams"][:-1])  # the last word has no follower
+        out.append((r["licence"], sum(counts.values()), sorted(counts), [counts[g] for g in sorted(counts)]))
+    return out
+
+
+def _longs(values: list[int], suffix: str = "L") -> str:
+    return f"array({', '.join(f'{v}{suffix}' for v in values)})"
+
+
+def _apart(places: Column, kind: str) -> Column:
+    """Of places sorted with the best first those that overlap none before them."""
+    taken = lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"])), acc).otherwise(F.concat(acc, F.array(x).cast(kind)))
+    return F.aggregate(places, F.array().cast(kind), taken)
+
+
+_SPAN = "array<struct<rank:double,shorter:int,start:int,licence:string,end:int>>"
+
+
+def _places(hits: Column, t: Column, least: float) -> Column:
+    """Places of one template. hits: (at, gram) of the text's bigrams that some template has, in order."""
+    most = F.floor(t["n"] * ((2 - least) / least) + 1e-9).cast("int")
+
+    def ending(at: Column, i: Column) -> Column:
+        begin = F.get(at, i)
+        dice = lambda k, x: 2.0 * F.least(k, t["n"]) / (x - begin + 1 + t["n"])
+        step = lambda acc, x: F.struct((acc["k"] + 1).alias("k"), F.greatest(acc["best"], F.struct(dice(acc["k"] + 1, x).alias("dice"), x.alias("end"))).alias("best"))
+        best = F.aggregate(F.slice(at, i + 1, F.least(most, F.size(at) - i)), F.struct(F.lit(0).alias("k"), F.struct(F.lit(0.0).alias("dice"), begin.alias("end")).alias("best")), step, lambda acc: acc["best"])
+        return let(best, lambda b: F.struct((-b["dice"]).alias("rank"), (begin - b["end"]).alias("shorter"), begin.alias("start"), t["licence"].alias("licence"), b["end"].alias("end")))
+
+    def exact(mine: Column, s: Column) -> Column:
+        inside = F.transform(F.filter(mine, lambda h: (h["at"] >= s["start"]) & (h["at"] <= s["end"])), lambda h: h["gram"])
+        shared = let(inside, lambda grams: F.aggregate(F.arrays_zip(t["grams"].alias("g"), t["times"].alias("n")), F.lit(0), lambda n, g: n + F.least(g["n"], F.size(F.filter(grams, lambda x: x == g["g"])))))
+        return F.struct((-2.0 * shared / (s["end"] - s["start"] + 1 + t["n"])).alias("rank"), s["shorter"].alias("shorter"), s["start"].alias("start"), s["licence"].alias("licence"), s["end"].alias("end"))
+
+    def found(mine: Column) -> Column:
+        begun = let(F.transform(mine, lambda h: h["at"]), lambda at: F.filter(F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: ending(at, i)), lambda s: -s["rank"] >= least - 1e-9))
+        return F.filter(F.transform(_apart(F.sort_array(begun), _SPAN), lambda s: exact(mine, s)), lambda s: -s["rank"] >= least - 1e-9)
+
+    return let(F.filter(hits, lambda h: F.array_contains(t["grams"], h["gram"])), found)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] = [*NOTICES, *CLOSE, *WHOLE], least: float = LEAST) -> DataFrame:
+    """(doc_id, licence, dice, n_places) of each licence found in a document."""
+    known = templates(docs.sparkSession, texts)
+    literal = F.expr("array(" + ", ".join(f"named_struct('licence', '{name}', 'n', {n}, 'grams', {_longs(grams)}, 'times', {_longs(times, '')})" for name, n, grams, times in known) + ")")
+    every = sorted({g for _, _, grams, _ in known for g in grams})
     once = lambda x: F.explode(F.array(x))  # noqa: E731  (else a filter after it makes the column anew)
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
-    some = docs.select(F.col(id_col).alias("doc_id"), once(words).alias("words")).filter(F.size("words") > 1)
-    paired = some.select("doc_id", once(F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.xxhash64(a, b))).alias("grams"))
-    # First what the text shares with all templates at once, which most texts share next to nothing with.
-    every = sorted(docs.sparkSession.range(1).select(F.explode(F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"]))))).toPandas().iloc[:, 0])
-    shared = paired.select("doc_id", "grams", once(F.array_intersect(F.expr(longs(every)), "grams")).alias("own")).filter(F.size("own") > 1)
-    enough = F.filter(known, lambda t: F.size(F.array_intersect("own", t["grams"])) * (2 - least) >= least * t["n"] - 1e-9)
-    asked = shared.withColumn("id", F.monotonically_increasing_id()).withColumn("t", F.explode(enough))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("grams") - F.col("t.width")))
-    part = lambda i: F.array_distinct(F.slice("grams", i, F.col("t.width")))
-    tried = F.transform(starts, lambda i: F.struct(i.alias("start"), (2 * F.size(F.array_intersect(part(i), F.col("t.grams"))) / (F.size(part(i)) + F.col("t.n"))).alias("dice")))
-    at = asked.select("id", "doc_id", "t.licence", "t.width", F.explode(F.filter(tried, lambda x: x["dice"] >= least)).alias("at"))
-    scored = at.select("id", "doc_id", "licence", "at.start", (F.col("at.start") + F.col("width")).alias("end"), "at.dice")
-    spans = scored.groupBy("id", "doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("dice")).alias("rank"), (F.col("start") - F.col("end")).alias("shorter"), "start", "end", "licence"))).alias("spans"))
-    # The best first; what overlaps one that is taken goes.
-    kind = "array<struct<rank:double,shorter:int,start:int,end:int,licence:string>>"
-    taken = F.aggregate("spans", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(x).cast(kind))))
-    return spans.select("doc_id", F.explode(taken).alias("s")).groupBy("doc_id", F.col("s.licence").alias("licence")).agg(F.max(-F.col("s.rank")).alias("dice"), F.count(F.lit(1)).alias("n_places"), F.lit(1).alias("by_window"))
+    lowered = F.lower(F.col(text_col))
+    signals = signal_words(texts, least)
+    # First whether they are there at all, which is quick, then whether as words.
+    asked = docs.filter(reduce(or_, (lowered.contains(w) for w in signals))).filter(lowered.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(signals)})(?![\p{{L}}\p{{N}}])"))
+    words = asked.select(F.col(id_col).alias("doc_id"), once(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).alias("words")).filter(F.size("words") > 1)
+    grams = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), _hash)
+    hit = words.select("doc_id", once(grams).alias("grams")).select("doc_id", once(F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda h: h["gram"].isin(every))).alias("hits"))
+    own = F.array_distinct(F.transform("hits", lambda h: h["gram"]))
+    # Each distinct bigram of a template that is missing leaves one less to share.
+    missing = lambda t: F.size(t["grams"]) - F.size(F.array_intersect("own", t["grams"]))
+    held = hit.filter(F.size("hits") > 1).select("doc_id", "hits", once(own).alias("own"))
+    fitting = held.select("doc_id", "hits", once(F.filter(literal, lambda t: t["n"] - missing(t) >= t["n"] * (least / (2 - least)) - 1e-9)).alias("ts")).filter(F.size("ts") > 0)
+    places = fitting.select("doc_id", once(F.sort_array(F.flatten(F.transform("ts", lambda t: _places(F.col("hits"), t, least))))).alias("places"))
+    best = places.select("doc_id", F.explode(_apart(F.col("places"), _SPAN)).alias("s"))
+    return best.groupBy("doc_id", F.col("s.licence").alias("licence")).agg(F.round(F.max(-F.col("s.rank")), 6).alias("dice"), F.count(F.lit(1)).alias("n_places"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
