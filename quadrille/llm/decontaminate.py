@@ -8,12 +8,14 @@ run is scored, one for each token that agrees and `PENALTY` off for each that do
 tolerates replaced tokens and ends where the texts part. A pair is reported if its best run
 scores `MIN_SCORE` or, for a shorter item, its whole length.
 
-The seeds of the benchmark are broadcast if they are proven few, else joined by a shuffle.
+Items of the same tokens are looked for once, and told apart only in the report. What is broadcast is
+measured in bytes first; beyond the limit a shuffle joins it.
 
 Defined results: null texts have no tokens and match nothing; so do items and documents of
-fewer than ten tokens. Of repeated items, each is reported; repeated documents are reported
-once for an id, and rows with a null id once for each different text. If the best run lies on
-several lines, the first of them is told. Empty tables give an empty report.
+fewer than ten tokens. Of repeated items, each is reported. A document is what its id and text say: rows equal
+in both are reported once, rows of one id and different texts each for itself, under the same id. If the best run lies on
+several lines, the first of them is told. Texts of any length are read whole. Empty tables give an empty report, and
+`decontaminate` then keeps all rows. Other columns are carried along by it whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import small, staged, table
+from quadrille.llm.shared import fresh, small, staged, table
 
 MASKS = ("1110101101", "1101110011", "1011011101")
 SPAN = 10
@@ -51,30 +53,41 @@ def _score(shift: str) -> Column:
     return F.aggregate(agree, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda acc: acc["best"])
 
 
+def identity(id_: Column, text: Column) -> Column:
+    """What a document is known by: its id, if it has one, and a hash of its text."""
+    return F.concat_ws("#", id_.cast("string"), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, shift) of each document and benchmark item that share a passage."""
-    digest = F.concat(F.lit("#"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    texts = docs.select(F.coalesce(F.col(id_col).cast("string"), digest).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = staged(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("tokens")).distinct(), "leak-items")
-    of_items = seeds(items.select(F.struct("item_id", "tokens").alias("key"), "tokens")).select("seed", F.col("at").alias("item_at"), F.col("key.item_id").alias("item_id"), F.col("key.tokens").alias("item_tokens"))
-    looked_up = small(staged(of_items.select("seed", "item_at", "item_id", F.xxhash64("item_tokens").alias("item")).distinct(), "leak-seeds"))
-    of_docs = seeds(texts.select("key", tokens(F.col("text")).alias("tokens")))
-    hits = of_docs.join(looked_up, "seed").select("key", "item_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    found = leaks_by_key(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return found.select("doc_id", "item_id", "score", "shift")
+
+
+def leaks_by_key(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(key, doc_id, item_id, score, shift), key the document's identity."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    items = staged(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("tokens")).withColumn("item", F.xxhash64("tokens")).distinct(), "leak-items")
+    by_item = items.groupBy("item", "tokens").agg(F.collect_set("item_id").alias("item_ids"), F.count_if(F.col("item_id").isNull()).alias("nulls"))
+    by_item = staged(by_item.withColumn("item_ids", F.when(F.col("nulls") > 0, F.concat("item_ids", F.array(F.lit(None).cast(items.schema["item_id"].dataType)))).otherwise(F.col("item_ids"))).drop("nulls"), "leak-texts")
+    of_items = seeds(by_item.select(F.col("item").alias("key"), "tokens")).select("seed", F.col("at").alias("item_at"), F.col("key").alias("item"))
+    looked_up = small(staged(of_items.distinct(), "leak-seeds"))
+    of_docs = seeds(texts.select(identity(F.col("doc_id"), F.col("text")).alias("key"), tokens(F.col("text")).alias("tokens")))
+    hits = of_docs.join(looked_up, "seed").select("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = staged(hits, "leak-hits")
-    hit_docs = texts.join(small(hits.select("key").distinct()), "key").select("key", "doc_id", tokens(F.col("text")).alias("tokens"))
-    by_item = items.select(F.xxhash64("tokens").alias("item"), F.col("tokens").alias("item_tokens")).distinct()
-    lined = hits.join(small(by_item, 100_000), "item").join(hit_docs, "key").withColumn("score", _score("shift"))
+    hit_docs = texts.withColumn("key", identity(F.col("doc_id"), F.col("text"))).join(small(staged(hits.select("key").distinct(), "leak-docs")), "key").dropDuplicates(["key"]).select("key", "doc_id", tokens(F.col("text")).alias("tokens"))
+    lined = hits.join(small(by_item.select("item", F.col("tokens").alias("item_tokens"))), "item").join(hit_docs, "key").withColumn("score", _score("shift"))
     found = lined.filter(F.col("score") >= F.least(F.lit(MIN_SCORE), F.size("item_tokens")))
-    best = found.groupBy("key", "item_id").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("best"), F.first("doc_id").alias("doc_id"))
-    return best.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("shift"))
+    best = found.groupBy("key", "item").agg(F.max(F.struct("score", (-F.col("shift")).alias("back"))).alias("best"), F.first("doc_id").alias("doc_id"))
+    each = best.join(small(by_item.select("item", "item_ids")), "item").withColumn("item_id", F.explode("item_ids"))
+    return each.select("key", "doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("shift"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that share no passage with the benchmark. Rows with a null id are judged by their text."""
-    digest = F.concat(F.lit("#"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    named = docs.select(F.coalesce(F.col(id_col).cast("string"), digest).alias("_q_key"), F.col(text_col).alias("_q_text"))
-    leaks = staged(find_leaks(named, benchmark, "_q_key", "_q_text").select(F.col("doc_id").alias("_q_key")).distinct(), "leak-keys")
-    return docs.join(small(leaks), F.coalesce(docs[id_col].cast("string"), digest) == F.col("_q_key"), "left_anti")
+    """The rows of docs that share no passage with the benchmark, each judged by its own text."""
+    key = fresh(docs, "_q_key")
+    leaks = staged(leaks_by_key(docs, benchmark, id_col, text_col, "item_id", "text").select(F.col("key").alias(key)).distinct(), "leak-keys")
+    return docs.join(small(leaks), identity(docs[id_col], docs[text_col]) == F.col(key), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
