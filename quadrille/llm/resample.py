@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import staged, table
+from quadrille.llm.shared import drawn, staged, table
 
 BUCKETS = 10_000
 TARGET = 20_000
@@ -122,8 +122,8 @@ def kth_largest(rows: DataFrame, col: str, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, seed: int = 7, target: int = TARGET) -> DataFrame:
     """(doc_id, log_weight, priority, selected) of each row; labels: (id, quality 0/1, toxic 0/1)."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
-    part = int(min(1.0, target / max(1, good.count())) * 1_000_000)
-    ratios = log_ratios(docs, good.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part), id_col, text_col)
+    part = min(1.0, target / max(1, good.count()))
+    ratios = log_ratios(docs, good.filter(drawn(F.lit(part), "id")), id_col, text_col)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     scored = staged(weigh(docs, ratios, id_col, text_col).withColumn("priority", F.col("log_weight") - F.log(-F.log(uniform))), "resample-weights")
     n = scored.count()
