@@ -7,9 +7,10 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import decontaminate, language_id, simhash
-from quadrille.llm.shared import table
+from quadrille.llm.shared import staged, table
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -55,3 +56,21 @@ def test_stages_keep_the_columns(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_stages_on_a_hostile_table(spark, sf):
+    kind = spark.read.parquet(f"{sf}/documents.parquet").schema
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select(*kind.fieldNames()).orderBy("doc_id").limit(30).collect()]
+    text, lang = kind.fieldNames().index("text"), kind.fieldNames().index("lang")
+    odd = lambda r, i, t: (i, *[t if k == text else None if k == lang else v for k, v in enumerate(r)][1:])
+    passage = pd.read_parquet(f"{sf}/benchmark.parquet").text.dropna().iloc[0]
+    rows = [*real, real[0], odd(real[0], None, real[0][text]), odd(real[0], 500, None), odd(real[0], 501, ""), odd(real[0], 502, "12 !"), odd(real[0], 503, (real[1][text] or "x y") * 200), odd(real[0], 504, f"so it says {passage} and on"), odd(real[0], 505, real[2][text] + " more")]
+    docs = spark.createDataFrame(rows, kind).select("*", *(F.lit("x").alias(c) for c in ("_q_id", "_q_sha", "_q_hash", "_q_key", "key", "bucket", "root", "at")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = staged(stage(spark, docs, sf), f"hostile-{name}")
+        assert left.columns == docs.columns, name
+        docs = left
+    found = docs.collect()
+    ids = [r["doc_id"] for r in found]
+    assert len(ids) == len(set(ids)) and not {None, 500, 501, 502, 504} & set(ids) and 503 in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(found)
