@@ -64,7 +64,7 @@ def test_stages_on_a_hostile_table(spark, sf):
     text, lang = kind.fieldNames().index("text"), kind.fieldNames().index("lang")
     odd = lambda r, i, t: (i, *[t if k == text else None if k == lang else v for k, v in enumerate(r)][1:])
     passage = pd.read_parquet(f"{sf}/benchmark.parquet").text.dropna().iloc[0]
-    rows = [*real, real[0], odd(real[0], None, real[0][text]), odd(real[0], 500, None), odd(real[0], 501, ""), odd(real[0], 502, "12 !"), odd(real[0], 503, (real[1][text] or "x y") * 200), odd(real[0], 504, f"so it says {passage} and on"), odd(real[0], 505, real[2][text] + " more")]
+    rows = [*real, real[0], odd(real[0], None, real[0][text]), odd(real[0], 500, None), odd(real[0], 501, ""), odd(real[0], 502, "12 !"), odd(real[0], 503, " ".join(reversed(real[1][text].split())) * 200), odd(real[0], 504, f"so it says {passage} and on"), odd(real[0], 505, real[2][text] + " more")]
     docs = spark.createDataFrame(rows, kind).select("*", *(F.lit("x").alias(c) for c in ("_q_id", "_q_sha", "_q_hash", "_q_key", "key", "bucket", "root", "at")))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         left = staged(stage(spark, docs, sf), f"hostile-{name}")
