@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled texts of each language to learn from, and of all languages; labels that are taken for languages.
 SAMPLE, MOST, LANGS = 4_000, 400_000, 1_000
+#: Unseen words that a worker remembers the score of.
+CACHE = 50_000
 #: Added to each count, for words and n-grams that a language has not been seen with.
 SMOOTHING = 0.5
 
@@ -61,18 +64,24 @@ def grams(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by kind: 0 for words, else the n-gram order. For each kind the row of each entry, and a matrix with a column for each language."""
+    """Log frequencies by kind: 0 for words, else the n-gram order. For each kind a matrix with a column for each language.
+
+    Words have their row in a dictionary, n-grams the place of their 64-bit hash among the sorted ones, which takes a
+    tenth of the memory.
+    """
 
     langs: list[str]
-    row: dict[int, dict[str, int]] = field(default_factory=dict)
+    word_row: dict[str, int] = field(default_factory=dict)
+    gram_hash: dict[int, np.ndarray] = field(default_factory=dict)
     matrix: dict[int, np.ndarray] = field(default_factory=dict)
 
     def of_word(self, word: str) -> np.ndarray | None:
         """What an unseen word scores; None if not one of its characters is known."""
-        for order in ORDERS:
-            rows = self.row.get(order, {})
-            found = [at for g in grams(word, order) if (at := rows.get(g)) is not None]
-            if found:
+        for order, known in sorted(self.gram_hash.items(), reverse=True):
+            hashes = np.array([gram_key(g) for g in grams(word, order)], np.int64)
+            at = np.searchsorted(known, hashes)
+            found = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes)]
+            if len(found):
                 return self.matrix[order][found].mean(axis=0)
         return None
 
@@ -81,14 +90,14 @@ class Model:
         seen = Counter(words(text))
         if not self.langs or not seen:
             return UNDETERMINED, 0.0
-        known, times, total, rows = [], [], np.zeros(len(self.langs)), self.row.get(0, {})
+        known, times, total, rows = [], [], np.zeros(len(self.langs)), self.word_row
         for word, n in seen.items():
             if (at := rows.get(word)) is not None:
                 known.append(at)
                 times.append(n)
                 continue
             if word not in cache:
-                if len(cache) >= 200_000:
+                if len(cache) >= CACHE:
                     cache.clear()
                 cache[word] = self.of_word(word)
             if (v := cache[word]) is not None:
@@ -99,14 +108,17 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def log_frequencies(entries: list[str], lang: np.ndarray, n: np.ndarray, n_langs: int) -> tuple[dict[str, int], np.ndarray]:
-    """The row of each entry and its smoothed log frequency in each language. lang: the language's number of each (entry, count)."""
-    row: dict[str, int] = {}
-    at = np.fromiter((row.setdefault(e, len(row)) for e in entries), np.int64, len(entries))
-    counts = np.zeros((len(row), n_langs))
-    np.add.at(counts, (at, lang), n)
+def gram_key(gram: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(gram) - (1 << 63)
+
+
+def log_frequencies(row: np.ndarray, lang: np.ndarray, n: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Smoothed log frequency of each entry in each language. row, lang: the numbers of the entry and language of each count."""
+    counts = np.zeros(shape)
+    np.add.at(counts, (row, lang), n)
     counts += SMOOTHING
-    return row, np.log(counts / counts.sum(axis=0))
+    return np.log(counts / counts.sum(axis=0))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model:
@@ -130,23 +142,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[str, int, str]] = Counter()
+            found: Counter[tuple[str, int, int]] = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 for order in ORDERS:
                     for g in grams(word, order):
-                        found[lang, order, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "entry", "n"])
+                        found[lang, order, gram_key(g)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     vocabulary = staged(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    spelled = vocabulary.mapInArrow(spell, "lang string, kind int, entry string, n bigint").groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n"))
-    entries = vocabulary.select("lang", F.lit(0).alias("kind"), F.col("word").alias("entry"), "n").unionByName(spelled)
+    staged_grams = vocabulary.mapInArrow(spell, "lang string, kind int, gram bigint, n bigint").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    staged_grams = staged(staged_grams, "lang-grams")
     langs = sorted(sizes)
-    model, found = Model(langs), entries.toArrow()  # what the words of the bounded sample are made of
-    number = pc.index_in(found["lang"], pa.array(langs)).to_numpy()
-    for kind in pc.unique(found["kind"]).to_pylist():
-        of = pc.equal(found["kind"], kind)
-        part = found.filter(of)
-        model.row[kind], model.matrix[kind] = log_frequencies(part["entry"].to_pylist(), number[of.to_numpy()], part["n"].to_numpy(), len(langs))
+    model = Model(langs)
+    number = lambda found: pc.index_in(found["lang"], pa.array(langs)).to_numpy()
+    # Both tables are what the words of the bounded sample are made of.
+    found = vocabulary.toArrow()
+    row = np.fromiter((model.word_row.setdefault(w.as_py(), len(model.word_row)) for w in found["word"]), np.int64, found.num_rows)
+    model.matrix[0] = log_frequencies(row, number(found), found["n"].to_numpy(), (len(model.word_row), len(langs)))
+    for order in ORDERS:
+        found = staged_grams.filter(F.col("kind") == order).toArrow()
+        model.gram_hash[order], row = np.unique(found["gram"].to_numpy(), return_inverse=True)
+        model.matrix[order] = log_frequencies(row, number(found), found["n"].to_numpy(), (len(model.gram_hash[order]), len(langs)))
     return model
 
 
