@@ -140,15 +140,14 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     n = some.count()
     some = some.filter(drawn(min(1.0, most / max(1, n)), "id")).withColumn("_seed", F.col("id").cast("string"))
     some = some.withColumn("_own", F.concat(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,9}"), F.lit(0)), lambda w: F.length(w) > 2), F.array(F.lit("node"))))
-    values = _values()
-
-    def filled(form: str) -> Column:
-        parts = [x for piece in form.split("{") for x in (piece.split("}", 1) if "}" in piece else ["", piece])]
-        return F.concat(*(values[x] if i % 2 == 0 else F.lit(x) for i, x in enumerate(parts) if x))
-
-    kinds = [(before, value, after, 1) for before, value, after in SECRETS] + [(before, value, after, 0) for before, value, after in LOOKALIKES]
-    snippet = F.array(*(F.struct(F.lit(b).alias("b"), filled(v).alias("v"), F.lit(a).alias("a"), F.lit(label).alias("label"), F.lit(i).alias("kind")) for i, (b, v, a, label) in enumerate(kinds)))
-    put = some.withColumn("s", F.get(snippet, F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(len(kinds))).cast("int")))
+    kinds = [(b, v, a, 1) for b, v, a in SECRETS] + [(b, v, a, 0) for b, v, a in LOOKALIKES]
+    forms = docs.sparkSession.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "kind int, b string, form string, a string, label int")
+    dealt = some.withColumn("kind", F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(len(kinds))).cast("int")).join(F.broadcast(forms), "kind")
+    # Each named value stands in the form in braces; all are drawn, which is cheap for so few rows and keeps the expression small.
+    value = F.col("form")
+    for name, drawn_value in _values().items():
+        value = F.replace(value, F.lit(f"{{{name}}}"), drawn_value)
+    put = dealt.withColumn("s", F.struct("b", value.alias("v"), "a", "label", "kind"))
     # In the middle, where a word ends.
     left = F.regexp_extract(F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")), r"(?s)^(.*)\s", 1)
     right = F.substring("text", F.length("_left") + 2, F.length("text"))
