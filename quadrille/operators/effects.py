@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.folders import staged
+
+# The contrasts of the design.
 CONTRASTS = [("Sham", "D1"), ("Sham", "D3"), ("Sham", "D7"), ("D1", "D3"), ("D1", "D7"), ("D3", "D7")]
+# Prior spreads, normal quantiles, limits beyond which an effect is not believed.
 PRIORS = {"skeptical": 0.5, "neutral": 1.0, "optimistic": 2.0}
 Z_ALPHA, Z_POWER = 1.959964, 0.841621
 PATHOLOGICAL_G, PATHOLOGICAL_SD = 3.0, 0.01
@@ -36,8 +40,10 @@ def n_required(g: Column) -> Column:
 def effect_sizes(df: DataFrame, endpoint: list[str], group: str, value: str, contrasts: DataFrame) -> DataFrame:
     """One row for each endpoint and contrast: counts, means, ranges, Hedges' g, its shrunk forms, subjects needed.
 
-    Contrasts short of subjects are rows with nulls. df: one row a subject.
+    Contrasts short of subjects are rows with nulls. df: one row a subject; it is staged, as both sides of a contrast and
+    the endpoints are read from it.
     """
+    df = staged(df.select(*endpoint, group, value), "subjects")
     stats = df.groupBy(*endpoint, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     side = lambda i: stats.select(*endpoint, F.col(group).alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("n", "m", "v", "lo", "hi")))
     rows = df.select(*endpoint).distinct().join(contrasts).join(side(1), [*endpoint, "g1"], "left").join(side(2), [*endpoint, "g2"], "left").na.fill(0, ["n1", "n2"])
@@ -68,21 +74,42 @@ def adjusted(df: DataFrame, keys: list[str], p: str, tie: list[str], name: str =
     return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(low, F.lit(1.0)))).drop("_r", "_q")
 
 
+#: Groups up to this size have an exact rank-sum p.
+EXACT = 8
+
+
+def normal_tail(z: Column) -> Column:
+    """Share of the normal distribution beyond z >= 0, to 1e-7."""
+    # Coefficients of a rational approximation.
+    t = 1 / (1 + 0.2316419 * z)
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
+
+
 def rank_sums(df: DataFrame, endpoint: list[str], group: str, value: str, contrasts: DataFrame) -> DataFrame:
-    """(endpoint, g1, g2, n1, n2, u, p): Mann-Whitney U of the first group and its exact two-sided p by enumeration.
+    """(endpoint, g1, g2, n1, n2, u, p): Mann-Whitney U of the first group and its two-sided p.
 
-    Every way to pick the first group's ranks is a row, so this is for groups of a few subjects.
+    Exact, by how many choices of ranks give each U, for groups of EXACT subjects at most; by the normal
+    approximation, with corrections for ties and continuity, for larger ones; null below two.
     """
+    df = staged(df.select(*endpoint, group, value), "subjects")
     a = df.select(*endpoint, F.col(group).alias("g1"), F.col(value).alias("a")).filter("a IS NOT NULL")
     b = df.select(*endpoint, F.col(group).alias("g2"), F.col(value).alias("b")).filter("b IS NOT NULL")
     lists = lambda x, g, v: x.groupBy(*endpoint, g).agg(F.array_sort(F.collect_list(v)).alias(v))
     both = contrasts.join(lists(a, "g1", "a"), "g1").join(lists(b, "g2", "b"), [*endpoint, "g2"])
     u = F.aggregate(F.transform("a", lambda x: F.aggregate("b", F.lit(0.0), lambda s, y: s + F.when(x > y, 1.0).when(x == y, 0.5).otherwise(0.0))), F.lit(0.0), lambda s, x: s + x)
-    sized = both.select(*endpoint, "g1", "g2", F.size("a").cast("bigint").alias("n1"), F.size("b").cast("bigint").alias("n2"), u.alias("u"))
-    tables = df.sparkSession.createDataFrame([(n, m, float(2 * k), c) for n in range(2, 7) for m in range(2, 7) for k, c in _u_counts(n, m).items()], "n1 bigint, n2 bigint, u2 double, ways bigint")
+    all_ = F.concat("a", "b")
+    ties = F.aggregate(F.transform(F.array_distinct(all_), lambda v: F.size(F.filter(all_, lambda x: x == v))), F.lit(0.0), lambda s, t: s + (t * t * t - t))
+    sized = both.select(*endpoint, "g1", "g2", F.size("a").cast("bigint").alias("n1"), F.size("b").cast("bigint").alias("n2"), u.alias("u"), ties.alias("_ties"))
+    tables = df.sparkSession.createDataFrame([(n, m, float(2 * k), c) for n in range(2, EXACT + 1) for m in range(2, EXACT + 1) for k, c in _u_counts(n, m).items()], "n1 bigint, n2 bigint, u2 double, ways bigint")
     far = F.abs(2 * F.col("u") - F.col("n1") * F.col("n2"))
-    p = sized.join(F.broadcast(tables), ["n1", "n2"], "left").groupBy(*endpoint, "g1", "g2", "n1", "n2", "u").agg((F.sum(F.when(F.abs(F.col("u2") - F.col("n1") * F.col("n2")) >= far, F.col("ways")).otherwise(0)) / F.sum("ways")).alias("p"))
-    return p
+    exact = F.sum(F.when(F.abs(F.col("u2") - F.col("n1") * F.col("n2")) >= far, F.col("ways")).otherwise(0)) / F.sum("ways")
+    counted = sized.join(F.broadcast(tables), ["n1", "n2"], "left").groupBy(*endpoint, "g1", "g2", "n1", "n2", "u", "_ties").agg(exact.alias("_exact"))
+    n, nm = F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2")
+    sd = F.sqrt(nm / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    z = F.greatest(F.lit(0.0), (F.abs(F.col("u") - nm / 2) - 0.5) / sd)
+    normal = F.when((F.least("n1", "n2") >= 2) & (sd > 0), F.least(F.lit(1.0), 2 * normal_tail(z)))
+    return counted.select(*endpoint, "g1", "g2", "n1", "n2", "u", F.coalesce("_exact", normal).alias("p"))
 
 
 def _u_counts(n: int, m: int) -> dict[int, int]:
@@ -99,19 +126,32 @@ def _u_counts(n: int, m: int) -> dict[int, int]:
     return {u: w for (picked, u), w in counts.items() if picked == n}
 
 
+#: Groups up to this size have all their resamples enumerated.
+ENUMERATED = 4
+
+
 def resampled_range(df: DataFrame, endpoint: list[str], group: str, value: str, contrasts: DataFrame) -> DataFrame:
-    """(endpoint, g1, g2, g_min, g_max, n_unique): Hedges' g over every resample with replacement of two subjects a group.
+    """(endpoint, g1, g2, g_min, g_max, n_unique): Hedges' g over every pair of resamples with replacement.
 
-    With two subjects there are 16 resample pairs; the four in which a group has two values are what spread allows.
+    A group of n subjects has n to the power n resamples, so groups of ENUMERATED at most; pairs without spread have no g.
     """
-    vs = lambda g, v: df.groupBy(*endpoint, F.col(group).alias(g)).agg(F.array_sort(F.collect_list(value)).alias(v)).filter(F.size(v) == 2)
-    both = contrasts.join(vs("g1", "a"), "g1").join(vs("g2", "b"), [*endpoint, "g2"])
-    pick = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
-    drawn = both.withColumn("p", F.explode(pick)).withColumn("q", F.explode(pick))
-    a1, a2, b1, b2 = (F.get(F.col(v), F.col(c)) for v, c in (("a", "p.i"), ("a", "p.j"), ("b", "q.i"), ("b", "q.j")))
-    pooled = ((a1 - a2) * (a1 - a2) / 2 + (b1 - b2) * (b1 - b2) / 2) / 2
-    g = F.when(pooled > 1e-24, ((b1 + b2) - (a1 + a2)) / 2 / F.sqrt(pooled) * (1 - 3 / 7))
-    return drawn.withColumn("g", g).groupBy(*endpoint, "g1", "g2").agg(F.min("g").alias("g_min"), F.max("g").alias("g_max"), F.count_distinct(F.round("g", 6)).alias("n_unique"))
+    df = staged(df.select(*endpoint, group, value), "subjects")
+    v, n = F.col("v"), F.size("v")
+    pick = lambda i, j: F.get(v, (F.floor(i / F.pow(n, j)) % n).cast("int"))
+    drawn = F.transform(F.sequence(F.lit(0), F.pow(n, n).cast("int") - 1), lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: pick(i, j)))
+    total = lambda s, f: F.aggregate(s, F.lit(0.0), lambda a, x: a + f(x))
+    moments = F.transform(drawn, lambda s: F.struct((total(s, lambda x: x) / n).alias("m"), s.alias("s")))
+    spread = F.transform(moments, lambda r: F.struct(r["m"].alias("m"), total(r["s"], lambda x: (x - r["m"]) * (x - r["m"])).alias("q")))
+
+    def side(i: int) -> DataFrame:
+        lists = df.filter(F.col(value).isNotNull()).groupBy(*endpoint, F.col(group).alias(f"g{i}")).agg(F.array_sort(F.collect_list(value)).alias("v")).filter(F.size("v").between(2, ENUMERATED))
+        return lists.select(*endpoint, f"g{i}", n.alias(f"n{i}"), F.explode(spread).alias(f"r{i}"))
+
+    both = contrasts.join(side(1), "g1").join(side(2), [*endpoint, "g2"])
+    free = F.col("n1") + F.col("n2") - 2
+    pooled = (F.col("r1.q") + F.col("r2.q")) / free
+    g = F.when(pooled > 1e-24, (F.col("r2.m") - F.col("r1.m")) / F.sqrt(pooled) * (1 - 3 / (4 * free - 1)))
+    return both.withColumn("g", g).groupBy(*endpoint, "g1", "g2").agg(F.min("g").alias("g_min"), F.max("g").alias("g_max"), F.count_distinct(F.round("g", 6)).alias("n_unique"))
 
 
 def top_by_size(df: DataFrame, keys: list[str], value: str, tie: list[str], k: int) -> DataFrame:

@@ -42,9 +42,9 @@ def reference(df: DataFrame) -> DataFrame:
     return made.select("marker", F.round("threshold", 9).alias("threshold"), F.round("scale", 9).alias("scale"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, scale: int = 10) -> DataFrame:
     """Units with lineage, subtype and activation scores."""
-    df = units(spark, sf_dir)
+    df = units(spark, sf_dir, scale)
     return gating.memberships(gating.sigmoids(df, reference(df), virtual.MARKERS))
 
 
@@ -76,6 +76,11 @@ scored AS (SELECT *, CASE WHEN greatest(u1, u2, u3, u4) <= 0 THEN 'none' WHEN u1
         coalesce(nullif(concat_ws('+', CASE WHEN lineage_endothelial > 0.3 THEN 'endothelial' END, CASE WHEN lineage_immune > 0.3 THEN 'immune' END, CASE WHEN lineage_stromal > 0.3 THEN 'stromal' END), ''), 'none') AS interface FROM sub)"""
 
 
+def scored_sql(scale: int) -> str:
+    """SCORED_SQL over units of another scale."""
+    return SCORED_SQL.replace(virtual.superpixel_sql(), virtual.superpixel_sql(scale))
+
+
 def lineages() -> dict:
     return {n: F.col(f"lineage_{n}") for n in gating.LINEAGES}
 

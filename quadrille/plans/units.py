@@ -156,6 +156,18 @@ _SCORES = ["lineage_immune", "lineage_endothelial", "lineage_stromal", "activati
 _COMPOSITE = """CASE WHEN t1 < 0.3 THEN 'c:unassigned' WHEN t2 >= 0.3 AND t1 < 2.0 * t2 THEN 'c:mixed' ELSE 'c:' || CASE WHEN act <> '' THEN 'activated_' || base || '_' || act ELSE base END END"""
 
 
+def _composite_sql() -> str:
+    """The composite label of a row of `scored`, in one expression."""
+    three = "[lineage_immune, lineage_endothelial, lineage_stromal]"
+    t1, t2, top = f"list_reverse_sort({three})[1]", f"list_reverse_sort({three})[2]", "greatest(lineage_immune, lineage_endothelial, lineage_stromal)"
+    act = "concat_ws('_', CASE WHEN activation_cd140b >= 0.3 THEN 'cd140b' END, CASE WHEN activation_cd44 >= 0.3 THEN 'cd44' END)"
+    base = f"CASE WHEN subtype <> 'none' THEN subtype WHEN lineage_immune = {top} THEN 'immune' WHEN lineage_endothelial = {top} THEN 'endothelial' ELSE 'stromal' END"
+    return f"CASE WHEN {t1} < 0.3 THEN 'c:unassigned' WHEN {t2} >= 0.3 AND {t1} < 2.0 * {t2} THEN 'c:mixed' ELSE 'c:' || CASE WHEN {act} <> '' THEN 'activated_' || {base} || '_' || {act} ELSE {base} END END"
+
+
+COMPOSITE_SQL = _composite_sql()
+
+
 @query(f"""WITH {SCORED_SQL}, k AS (SELECT *, list_reverse_sort([lineage_immune, lineage_endothelial, lineage_stromal])[1] AS t1, list_reverse_sort([lineage_immune, lineage_endothelial, lineage_stromal])[2] AS t2,
 concat_ws('_', CASE WHEN activation_cd140b >= 0.3 THEN 'cd140b' END, CASE WHEN activation_cd44 >= 0.3 THEN 'cd44' END) AS act,
 CASE WHEN subtype <> 'none' THEN subtype WHEN lineage_immune = greatest(lineage_immune, lineage_endothelial, lineage_stromal) THEN 'immune' WHEN lineage_endothelial = greatest(lineage_immune, lineage_endothelial, lineage_stromal) THEN 'endothelial' ELSE 'stromal' END AS base FROM scored)
