@@ -75,3 +75,17 @@ def texture(pixels: DataFrame, keys: list[str], size: float, value: str, levels:
     )
     spread = F.col("_ii") - F.col("_i") * F.col("_i")
     return moments.select(*keys, "contrast", "homogeneity", "energy", F.when(spread > 0, (F.col("_ij") - F.col("_i") * F.col("_i")) / spread).alias("correlation"))
+
+
+def with_parents(units: DataFrame, size: float) -> DataFrame:
+    """Adds parent_x and parent_y: the coarser square that a unit lies in."""
+    return units.withColumns({"parent_x": F.floor(F.col("x") / size), "parent_y": F.floor(F.col("y") / size)})
+
+
+def coarsened(units: DataFrame, keys: list[str], label: str, values: list[str]) -> DataFrame:
+    """(keys, parent_x, parent_y, n_units, label, values): means of a parent's units, and the label most of them have, the first of equals."""
+    parent = [*keys, "parent_x", "parent_y"]
+    means = units.groupBy(*parent).agg(F.count(F.lit(1)).alias("n_units"), *(F.avg(v).alias(v) for v in values))
+    votes = units.groupBy(*parent, label).agg(F.count(F.lit(1)).alias("_n"))
+    most = votes.groupBy(*parent).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(label).alias("label")))["label"].alias("label"))
+    return means.join(most, parent).select(*parent, "n_units", "label", *values)

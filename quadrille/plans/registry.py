@@ -1,6 +1,6 @@
 """The registered queries over the driver tables, and their SQL."""
 
-from quadrille.plans import contrasts, endpoints, rounds, space, storage, units, validation  # noqa: F401
+from quadrille.plans import abundance, contrasts, endpoints, rounds, space, storage, units, validation  # noqa: F401
 from quadrille.plans.common import QUERIES, SQL
 
 FLAGSHIP = "effect_sizes"
