@@ -66,23 +66,28 @@ def grams(word: str, order: int) -> list[str]:
 class Model:
     """Log frequencies by kind: 0 for words, else the n-gram order. For each kind a matrix with a column for each language.
 
-    Words have their row in a dictionary, n-grams the place of their 64-bit hash among the sorted ones, which takes a
-    tenth of the memory.
+    Words and n-grams have their row at the place of their 64-bit hash among the sorted ones, which takes a tenth of the
+    memory that a dictionary does.
     """
 
     langs: list[str]
-    word_row: dict[str, int] = field(default_factory=dict)
-    gram_hash: dict[int, np.ndarray] = field(default_factory=dict)
+    hashes: dict[int, np.ndarray] = field(default_factory=dict)
     matrix: dict[int, np.ndarray] = field(default_factory=dict)
 
+    def rows(self, kind: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries stand, and which of them are known."""
+        known, asked = self.hashes.get(kind, np.empty(0, np.int64)), np.fromiter(map(key, entries), np.int64, len(entries))
+        if not len(known):
+            return np.zeros(len(entries), np.int64), np.zeros(len(entries), bool)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return at, known[at] == asked
+
     def of_word(self, word: str) -> np.ndarray | None:
         """What an unseen word scores; None if not one of its characters is known."""
-        for order, known in sorted(self.gram_hash.items(), reverse=True):
-            hashes = np.array([gram_key(g) for g in grams(word, order)], np.int64)
-            at = np.searchsorted(known, hashes)
-            found = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == hashes)]
-            if len(found):
-                return self.matrix[order][found].mean(axis=0)
+        for order in ORDERS:
+            at, found = self.rows(order, grams(word, order))
+            if found.any():
+                return self.matrix[order][at[found]].mean(axis=0)
         return None
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
@@ -90,27 +95,24 @@ class Model:
         seen = Counter(words(text))
         if not self.langs or not seen:
             return UNDETERMINED, 0.0
-        known, times, total, rows = [], [], np.zeros(len(self.langs)), self.word_row
-        for word, n in seen.items():
-            if (at := rows.get(word)) is not None:
-                known.append(at)
-                times.append(n)
-                continue
+        entries, times = list(seen), np.fromiter(seen.values(), float, len(seen))
+        at, found = self.rows(0, entries)
+        total = times[found] @ self.matrix[0][at[found]]
+        for i in np.nonzero(~found)[0]:
+            word = entries[i]
             if word not in cache:
                 if len(cache) >= CACHE:
                     cache.clear()
                 cache[word] = self.of_word(word)
             if (v := cache[word]) is not None:
-                total += v * n
-        if known:
-            total += np.array(times, float) @ self.matrix[0][known]
+                total += v * times[i]
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def gram_key(gram: str) -> int:
+def key(entry: str) -> int:
     """A signed 64-bit hash."""
-    return xxhash.xxh64_intdigest(gram) - (1 << 63)
+    return xxhash.xxh64_intdigest(entry) - (1 << 63)
 
 
 def log_frequencies(row: np.ndarray, lang: np.ndarray, n: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -144,25 +146,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             found: Counter[tuple[str, int, int]] = Counter()
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                found[lang, 0, key(word)] += n
                 for order in ORDERS:
                     for g in grams(word, order):
-                        found[lang, order, gram_key(g)] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
+                        found[lang, order, key(g)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([k[2] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "key", "n"])
 
     vocabulary = staged(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    staged_grams = vocabulary.mapInArrow(spell, "lang string, kind int, gram bigint, n bigint").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    staged_grams = staged(staged_grams, "lang-grams")
+    entries = staged(vocabulary.mapInArrow(spell, "lang string, kind int, key bigint, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "lang-entries")
     langs = sorted(sizes)
     model = Model(langs)
-    number = lambda found: pc.index_in(found["lang"], pa.array(langs)).to_numpy()
-    # Both tables are what the words of the bounded sample are made of.
-    found = vocabulary.toArrow()
-    row = np.fromiter((model.word_row.setdefault(w.as_py(), len(model.word_row)) for w in found["word"]), np.int64, found.num_rows)
-    model.matrix[0] = log_frequencies(row, number(found), found["n"].to_numpy(), (len(model.word_row), len(langs)))
-    for order in ORDERS:
-        found = staged_grams.filter(F.col("kind") == order).toArrow()
-        model.gram_hash[order], row = np.unique(found["gram"].to_numpy(), return_inverse=True)
-        model.matrix[order] = log_frequencies(row, number(found), found["n"].to_numpy(), (len(model.gram_hash[order]), len(langs)))
+    for kind in (0, *ORDERS):
+        found = entries.filter(F.col("kind") == kind).toArrow()  # what the words of the bounded sample are made of
+        model.hashes[kind], row = np.unique(found["key"].to_numpy(), return_inverse=True)
+        lang = pc.index_in(found["lang"], pa.array(langs)).to_numpy()
+        model.matrix[kind] = log_frequencies(row, lang, found["n"].to_numpy(), (len(model.hashes[kind]), len(langs)))
     return model
 
 

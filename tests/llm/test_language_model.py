@@ -74,6 +74,6 @@ def test_letters_beside_numbers():
 def test_all_entries_of_the_sample_are_kept(spark):
     rows = [(i, f"seltenes{chr(97 + i)} wort", "de") for i in range(10)] + [(20, "one rare thing", "en")]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    assert len(model.word_row) == 14 and all(len(model.gram_hash[o]) for o in ORDERS)
+    assert len(model.hashes[0]) == 14 and all(len(model.hashes[o]) for o in ORDERS)
     with pytest.raises(ValueError):
         language_id.fit(spark.range(language_id.LANGS + 1).selectExpr("id AS doc_id", "'text' AS text", "CAST(id AS STRING) AS lang"))
