@@ -29,7 +29,7 @@ from quadrille.llm.shared import table
 
 MARK = "▁"
 #: Entries a worker keeps of chunk encodings (in each of two generations) and of pair tests.
-CHUNKS, PAIRS = 300_000, 1_000_000
+CHUNKS, PAIRS = 100_000, 250_000
 
 
 class PrefixTable:
