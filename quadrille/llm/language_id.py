@@ -97,7 +97,7 @@ class Model:
             return UNDETERMINED, 0.0
         entries, times = list(seen), np.fromiter(seen.values(), float, len(seen))
         at, found = self.rows(0, entries)
-        total = times[found] @ self.matrix[0][at[found]]
+        total = times[found] @ self.matrix[0][at[found]] if found.any() else np.zeros(len(self.langs))
         for i in np.nonzero(~found)[0]:
             word = entries[i]
             if word not in cache:
