@@ -32,7 +32,7 @@ def regular_grid(pixels: DataFrame, keys: list[str], scale: float, values: list[
     """Sums over a grid of ceil(extent / scale) cells an axis that spans each key's own bounds; cell = row * columns + column."""
     bounds = pixels.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     cells = lambda a, b: F.greatest(F.ceil((F.col(b) - F.col(a)) / scale), F.lit(1))
-    placed = pixels.join(F.broadcast(bounds), keys).withColumns({"nx": cells("x0", "x1"), "ny": cells("y0", "y1")})
+    placed = pixels.join(bounds, keys).withColumns({"nx": cells("x0", "x1"), "ny": cells("y0", "y1")})
     at = lambda v, a, b, n: F.least(F.floor((F.col(v) - F.col(a)) * F.col(n) / F.greatest(F.col(b) - F.col(a), F.lit(1e-9))), F.col(n) - 1)
     placed = placed.withColumn("cell", (at("y", "y0", "y1", "ny") * F.col("nx") + at("x", "x0", "x1", "nx")).cast("bigint"))
     return placed.groupBy(*keys, "cell").agg(
@@ -54,12 +54,11 @@ def cell_properties(cells: DataFrame, keys: list[str], signal: str) -> DataFrame
     )
 
 
-def texture(pixels: DataFrame, keys: list[str], size: float, value: str, levels: int = 8) -> DataFrame:
-    """Grey-level co-occurrence of horizontal neighbours on the binned field, both directions counted.
+def texture(sums: DataFrame, keys: list[str], levels: int = 8) -> DataFrame:
+    """Grey-level co-occurrence of horizontal neighbours on a binned field (keys, bin_y, bin_x, v), both directions counted.
 
     contrast, homogeneity, energy and correlation of each key.
     """
-    sums = bin_sums(pixels, keys, size, [value]).select(*keys, "bin_y", "bin_x", F.col(value).alias("v"))
     top = Window.partitionBy(*keys)
     level = F.least(F.floor(F.col("v") / F.max("v").over(top) * levels), F.lit(levels - 1)).alias("i")
     graded = sums.select(*keys, "bin_y", "bin_x", level)
@@ -74,7 +73,7 @@ def texture(pixels: DataFrame, keys: list[str], size: float, value: str, levels:
         F.sum(w * i * j).alias("_ij"), F.sum(w * i).alias("_i"), F.sum(w * i * i).alias("_ii"),
     )
     spread = F.col("_ii") - F.col("_i") * F.col("_i")
-    return moments.select(*keys, "contrast", "homogeneity", "energy", F.when(spread > 0, (F.col("_ij") - F.col("_i") * F.col("_i")) / spread).alias("correlation"))
+    return moments.select(*keys, "contrast", "homogeneity", "energy", F.when(F.round(spread, 12) > 0, (F.col("_ij") - F.col("_i") * F.col("_i")) / spread).alias("correlation"))
 
 
 def with_parents(units: DataFrame, size: float) -> DataFrame:
@@ -89,3 +88,11 @@ def coarsened(units: DataFrame, keys: list[str], label: str, values: list[str])
     votes = units.groupBy(*parent, label).agg(F.count(F.lit(1)).alias("_n"))
     most = votes.groupBy(*parent).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(label).alias("label")))["label"].alias("label"))
     return means.join(most, parent).select(*parent, "n_units", "label", *values)
+
+
+def label_map(labels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """(keys, y, x, label): labels by place (at = y * width + x) on the whole grid of each key, -1 where there is none."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))
+    grid = labels.select(*keys).distinct().select(*keys, cells.alias("at")).withColumn("at", F.col("at").cast("bigint"))
+    placed = grid.join(labels, [*keys, "at"], "left")
+    return placed.select(*keys, F.floor(F.col("at") / width).alias("y"), (F.col("at") % width).alias("x"), F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))

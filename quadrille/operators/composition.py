@@ -36,6 +36,8 @@ def replace_zeros(df: DataFrame, keys: list[str], alpha: float = 0.5, default_n:
 
 
 def clr(df: DataFrame, keys: list[str], value: str, name: str = "clr") -> DataFrame:
-    """Centred log-ratio within each composition; null where a part is not positive."""
-    ln = F.when(F.col(value) > 0, F.log(value))
-    return df.withColumn(name, ln - F.avg(ln).over(Window.partitionBy(*keys)))
+    """Centred log-ratio within each composition; null throughout a composition that has a part that isn't positive."""
+    row = Window.partitionBy(*keys)
+    ln = F.log(F.when(F.col(value) > 0, F.col(value)))
+    whole = F.count(ln).over(row) == F.count(F.lit(1)).over(row)
+    return df.withColumn(name, F.when(whole, ln - F.avg(ln).over(row)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.folders import staged
 from quadrille.functions.rounding import tidy
 
 
@@ -23,7 +23,7 @@ def _spread(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | None, include_self: bool = False) -> DataFrame:
-    """(keys, src, dst, d2) of points in neighbouring squares; of all points of a key if side is None."""
+    """(keys, src, dst, d2, ax, ay) of points in neighbouring squares, ax and ay how far apart on each axis; of all points of a key if side is None."""
     left = _spread(probe.select(*keys, F.col("id").alias("src"), "x", "y"), [*keys, "src"])
     right = points.select(*keys, F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     on = list(keys)
@@ -32,7 +32,7 @@ def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | N
         right = right.withColumns({"_by": F.floor(F.col("y2") / side), "_bx": F.floor(F.col("x2") / side)})
         on += ["_by", "_bx"]
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    pairs = left.join(right, on).select(*keys, "src", "dst", (dx * dx + dy * dy).alias("d2"))
+    pairs = left.join(right, on).select(*keys, "src", "dst", (dx * dx + dy * dy).alias("d2"), F.abs(dx).alias("ax"), F.abs(dy).alias("ay"))
     return pairs if include_self else pairs.filter("src <> dst")
 
 
@@ -40,26 +40,29 @@ def knn(points: DataFrame, keys: list[str], k: int, side: float) -> DataFrame:
     """(keys, src, dst, d2, rank): the k nearest others of each point (id, x, y) within its key.
 
     Ties go to the smaller id. Squares of the given side hold the candidates; a point whose k-th
-    candidate is farther than the side, or that has fewer, looks among squares four times as wide,
-    and then among all points of its key. Points of a key with too few others get what there is.
+    candidate is farther than the side, or that has fewer, looks among squares four times as wide, and so on, until all
+    have found theirs or the squares are wider than the widest key. Points of a key with too few others get what there is.
     """
     nearest = Window.partitionBy(*keys, "src").orderBy("d2", "dst")
     ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
-    out, probe = None, points
-    for width in (side, 4 * side, None):
-        found = ranked(_pairs(probe, points, keys, width)).persist(StorageLevel.MEMORY_AND_DISK)
-        if width is None:
-            out = out.unionByName(found)
-            break
+    span = lambda c: F.max(c) - F.min(c)
+    widest = points.groupBy(*keys).agg(F.greatest(span("x"), span("y")).alias("w")).agg(F.max("w")).first()[0] or 0.0
+    out, probe, width = None, points, side
+    while True:
+        found = staged(ranked(_pairs(probe, points, keys, width)).select(*keys, "src", "dst", "d2", "rank"), "nearest")
+        if width > widest:  # every point has looked at all of its key
+            return found if out is None else out.unionByName(found)
         sure = found.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far")).filter((F.col("n") == k) & (F.col("far") <= width * width)).select(*keys, "src")
         done = found.join(sure, [*keys, "src"], "left_semi")
         out = done if out is None else out.unionByName(done)
-        probe = probe.join(sure.withColumnRenamed("src", "id"), [*keys, "id"], "left_anti")
-    return out
+        probe = staged(probe.join(sure.withColumnRenamed("src", "id"), [*keys, "id"], "left_anti"), "seekers")
+        if probe.isEmpty():
+            return out
+        width *= 4
 
 
 def within(points: DataFrame, keys: list[str], radius: float, include_self: bool = False) -> DataFrame:
-    """(keys, src, dst, d2): all pairs of points (id, x, y) of a key at most the radius apart, in both directions."""
+    """(keys, src, dst, d2, ax, ay): all pairs of points (id, x, y) of a key at most the radius apart, in both directions."""
     return _pairs(points, points, keys, radius, include_self).filter(F.col("d2") <= radius * radius)
 
 

@@ -10,7 +10,6 @@ from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The panel's gates in order of priority, by what is positive; every other marker is negative.
 GATES = {
@@ -30,7 +29,7 @@ GATES = {
     "activated_fibroblast_cd140b": ["cd140a", "cd140b"],
     "fibroblast": ["cd140a"],
 }
-#: The one gate that leaves the other markers free.
+# The one gate that leaves the other markers free; percentiles of positivity; lineages, subtypes and activation by markers; steepness and least scores.
 NEGATIVES = {"neutrophil": ["cd31", "cd34"]}
 POSITIVITY = {"percentile": 60.0, "cd206": 50.0, "ly6g": 70.0}
 LINEAGES = {"immune": ("max", ["cd45"]), "endothelial": ("mean", ["cd31", "cd34"]), "stromal": ("max", ["cd140a"])}
@@ -47,7 +46,7 @@ STEEPNESS, LINEAGE_LEAST, SUBTYPE_LEAST, ACTIVATION_LEAST, DOMINANCE = 10.0, 0.3
 def positivity(df: DataFrame, keys: list[str], markers: list[str], percentiles: dict[str, float]) -> DataFrame:
     """Adds p_<marker>: value above the percentile of its own group (region)."""
     cut = df.groupBy(*keys).agg(*(F.percentile(m, F.lit(percentiles.get(m, percentiles["percentile"]) / 100)).alias(f"t_{m}") for m in markers))
-    return df.join(F.broadcast(cut), keys).withColumns({f"p_{m}": F.col(m) > F.col(f"t_{m}") for m in markers}).drop(*(f"t_{m}" for m in markers))
+    return df.join(cut, keys).withColumns({f"p_{m}": F.col(m) > F.col(f"t_{m}") for m in markers}).drop(*(f"t_{m}" for m in markers))
 
 
 def gate(positive: list[str], negative: list[str]) -> Column:
@@ -130,7 +129,3 @@ def cluster_enrichment(df: DataFrame, cluster: str, markers: list[str], gates: d
         scored.append(F.struct(F.coalesce(F.round(reduce(add, votes) / len(votes), 9), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
     return means.select(cluster, F.when(best["score"] >= least_score, best["name"]).otherwise("unassigned").alias("cell_type"), best["score"].alias("score"))
-
-
-def control_window(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys)

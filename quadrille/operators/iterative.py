@@ -6,30 +6,26 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.folders import shared_dir
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Rounds cut their lineage in the shared folder that the session names; only a local session may go without."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or "/tmp/checkpoints/quadrille")
 
+#: Parts of the nodes that move in turn.
+TURNS = 4
 
-def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactness: float = 10.0, rounds: int = 5) -> DataFrame:
+
+def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactness: float = 10.0, rounds: int = 10) -> DataFrame:
     """(keys, x, y, label): simple linear iterative clustering of pixels by place and signal.
 
     Centres start on a grid of the given scale. In each round a pixel looks at the centres whose grid
     squares touch its own, takes the nearest by distance in space over the scale plus difference of
-    signal over the compactness, and centres move to their pixels' mean. A label is the number of
+    signal over the compactness, and centres move to their pixels' mean. It ends when no label changes, after `rounds` at most (the usual ten). A label is the number of
     its starting square.
     """
-    with_checkpoints(pixels.sparkSession)
+    shared_dir(pixels.sparkSession)
     width = 1 << 16
     square = (F.floor(F.col("y") / scale) * width + F.floor(F.col("x") / scale)).cast("bigint")
     px = pixels.select(*keys, "x", "y", F.col(signal).cast("double").alias("v"), square.alias("label"))
@@ -41,7 +37,11 @@ def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactn
         centres = labels.groupBy(*keys, F.col("label").alias("near")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("v").alias("cv"))
         far = (F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)) / (scale * scale) + F.pow((F.col("v") - F.col("cv")) / compactness, 2)
         best = ask.join(centres, [*keys, "near"]).withColumn("d", F.round(far, 9)).withColumn("_r", F.row_number().over(nearest)).filter("_r = 1")
-        labels = best.select(*keys, "x", "y", "v", F.col("near").alias("label")).checkpoint()
+        now = best.select(*keys, "x", "y", "v", F.col("near").alias("label")).checkpoint()
+        still = now.join(labels.select(*keys, "x", "y", F.col("label").alias("_was")), [*keys, "x", "y"]).filter("label <> _was").isEmpty()
+        labels = now
+        if still:
+            break
     return labels.select(*keys, "x", "y", "label")
 
 
@@ -68,24 +68,28 @@ def cells_around(raster: DataFrame, peaks: DataFrame, keys: list[str], value: st
     return front.join(near, [*keys, "bin_x", "bin_y"], "left").na.fill(-1, ["label"])
 
 
-def communities(edges: DataFrame, keys: list[str], rounds: int = 10) -> DataFrame:
-    """(keys, id, label): label propagation over weighted edges (src, dst, weight), both directions given.
+def communities(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, label): label propagation over weighted edges (src, dst, weight), both directions given, until no node moves.
 
-    Each node takes the label with the most weight around it, the smallest of equals. Nodes of
-    even and odd hash move in turn, which keeps pairs from swapping labels for ever.
+    Each node takes the label with the most weight around it, but only for one with more weight than its own has. Nodes
+    move in turn, one quarter of them by hash at a time, so that neighbours seldom swap; every move raises the
+    weight inside communities, so that there is an end. A community is named by its smallest member.
     """
-    with_checkpoints(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     links = edges.select(*keys, "src", "dst", "weight").checkpoint()
     labels = links.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
-    for i in range(rounds):
-        votes = links.join(labels.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("w"))
-        best = votes.groupBy(*keys, "id").agg(F.max(F.struct("w", (-F.col("label")).alias("back"))).alias("m")).select(*keys, "id", (-F.col("m.back")).alias("best"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        now = labels.join(best, [*keys, "id"], "left").select(*keys, "id", F.col("label").alias("old"), F.when(turn, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")).checkpoint()
-        labels = now.drop("old")
-        if i and now.filter("old <> label").isEmpty():
-            break
-    return labels
+    quiet, turn = 0, 0
+    while quiet < TURNS:
+        around = links.join(labels.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+        best = around.groupBy(*keys, "id").agg(F.max(F.struct("w", (-F.col("label")).alias("back"))).alias("m"))
+        own = around.select(*keys, "id", "label", F.col("w").alias("_own"))
+        mine = F.pmod(F.xxhash64(F.lit(turn // TURNS), "id"), F.lit(TURNS)) == turn % TURNS
+        moves = mine & (F.col("m.w") > F.coalesce("_own", F.lit(0.0)))
+        now = labels.join(best, [*keys, "id"], "left").join(own, [*keys, "id", "label"], "left").select(*keys, "id", F.col("label").alias("old"), F.when(moves, -F.col("m.back")).otherwise(F.col("label")).alias("label")).checkpoint()
+        quiet = quiet + 1 if now.filter("old <> label").isEmpty() else 0
+        labels, turn = now.drop("old"), turn + 1
+    names = labels.groupBy(*keys, "label").agg(F.min("id").alias("_name"))
+    return labels.join(names, [*keys, "label"]).select(*keys, "id", F.col("_name").alias("label"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,7 +135,7 @@ def permutation_p(units: DataFrame, edges: DataFrame, key: str, label: str, n: i
     return left.cogroup(right).applyInPandas(run, f"{key} {kind}, focal string, neighbour string, p double")
 
 
-def bootstrap_range(df: DataFrame, keys: list[str], group: str, value: str, first: str, second: str, draws: int = 2_000, salt: int = 42) -> DataFrame:
+def bootstrap_range(df: DataFrame, keys: list[str], group: str, value: str, first: str, second: str, draws: int = 10_000, salt: int = 42) -> DataFrame:
     """(keys, g, low, high): Hedges' g of two groups and the middle 95 percent of seeded resamples. A key holds a few subjects."""
     def g(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n, m = a.shape[-1], b.shape[-1]

@@ -20,11 +20,16 @@ def tier(evidence: Column, belief: Column) -> Column:
 def best_evidence(pairs: DataFrame, keys: list[str], members_a: str, members_b: str, summary: DataFrame) -> DataFrame:
     """For each row's two lists of members: the largest evidence and belief over all pairs of different members."""
     each = pairs.select(*keys, F.explode(members_a).alias("_a"), F.col(members_b).alias("_bs")).select(*keys, "_a", F.explode("_bs").alias("_b")).filter("_a <> _b")
-    found = each.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().join(F.broadcast(summary), ["a", "b"], "left")
+    found = each.select(*keys, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().join(summary, ["a", "b"], "left")
     out = found.groupBy(*keys).agg(F.coalesce(F.max("evidence"), F.lit(0)).alias("evidence"), F.coalesce(F.max("belief"), F.lit(0.0)).alias("belief"), F.count("evidence").alias("n_pairs_known"))
     return out.withColumn("tier", tier(F.col("evidence"), F.col("belief")))
 
 
+def table_digest(rows: DataFrame, text: Column) -> DataFrame:
+    """(digest) of a dimension table: SHA-256 over its rows' digests in order. For tables whose digests fit one task, as a manifest's do."""
+    return rows.select(F.sha2(text.cast("binary"), 256).alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "").cast("binary"), 256).alias("digest"))
+
+
 def fingerprint(files: DataFrame, name: str, digest: str) -> DataFrame:
     """(sha256): one digest over the sorted name:digest lines of all files."""
     return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", name, digest))), "|"), 256).alias("sha256"))

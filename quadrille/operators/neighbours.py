@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.folders import staged
+
 
 def enrichment(units: DataFrame, edges: DataFrame, keys: list[str], label: str, clip: float = 10.0) -> DataFrame:
     """Observed over expected share of each neighbour label around each focal label, per key.
@@ -36,13 +38,10 @@ def strata(per_unit: DataFrame, value: str, weight: str, cell: list[str], strata
     not distinguished.
     """
     lenses = [[], *[[s] for s in strata_columns], strata_columns] if len(strata_columns) > 1 else [[], strata_columns]
-    sets = ", ".join("(" + ", ".join([*cell, *subject, *lens]) + ")" for lens in lenses)
-    per_unit.createOrReplaceTempView("_strata_units")
-    names = ", ".join([*cell, *subject])
-    lens = ", ".join(f"CASE WHEN grouping({s}) = 1 THEN 'pooled' ELSE {s} END AS {s}_level" for s in strata_columns)
-    first = per_unit.sparkSession.sql(
-        f"SELECT {names}, {lens}, avg({value}) AS v, sum({weight}) AS w, count(*) AS n FROM _strata_units GROUP BY GROUPING SETS ({sets})"
-    )
+    # GROUPING SETS: one pass over the units for all lenses.
+    sets = [[*cell, *subject, *lens] for lens in lenses]
+    pooled = per_unit.groupingSets(sets, *cell, *subject, *strata_columns).agg(F.avg(value).alias("v"), F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"), *(F.grouping(s).alias(f"_g_{s}") for s in strata_columns))
+    first = pooled.withColumns({f"{s}_level": F.when(F.col(f"_g_{s}") == 1, "pooled").otherwise(F.col(s)) for s in strata_columns})
     out = [*cell, *(f"{s}_level" for s in strata_columns)]
     made = first.groupBy(*out).agg(
         F.avg("v").alias("mean"), F.min("v").alias("range_min"), F.max("v").alias("range_max"), F.sum("w").alias("n_support"), F.sum("n").alias("n_regions"),
@@ -118,24 +117,18 @@ def local_covariance(units: DataFrame, edges: DataFrame, keys: list[str], pairs:
     return near.groupBy(*keys, F.col("src").alias("id")).agg(*(F.coalesce(F.when(F.count(F.lit(1)) >= 2, F.covar_samp(a, b)), F.lit(0.0)).alias(f"cov_{a}_{b}") for a, b in pairs))
 
 
-def label_components(units: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame:
-    """(keys, id, component): the smallest id reachable over the edges, by rounds of taking the least label around.
+def label_components(units: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, component): the smallest id reachable over the edges, by rounds of taking the least label around, until none changes.
 
     A label also jumps to its label's label in each round, so the rounds grow with the logarithm of the path length.
     """
-    spark = units.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quadrille")
-    links = edges.select(*keys, "src", "dst").persist()
-    labels = units.select(*keys, "id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
+    links = staged(edges.select(*keys, "src", "dst"), "component-links")
+    labels = staged(units.select(*keys, "id", F.col("id").alias("component")), "components")
+    while True:
         around = links.join(labels.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id")).agg(F.min("component").alias("low"))
         lower = labels.join(around, [*keys, "id"], "left").select(*keys, "id", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
         jump = lower.select(*keys, F.col("id").alias("mid"), F.col("mid").alias("far"))
-        now = lower.join(jump, [*keys, "mid"], "left").select(*keys, "id", "old", F.least("mid", "far").alias("component")).checkpoint()
-        labels = now.drop("old")
+        now = staged(lower.join(jump, [*keys, "mid"], "left").select(*keys, "id", "old", F.least("mid", "far").alias("component")), "components")
         if now.filter("old <> component").isEmpty():
-            break
-    return labels
+            return now.drop("old")
+        labels = now.drop("old")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.functions.folders import staged
+
 
 def region_metrics(pixels: DataFrame, keys: list[str], markers: list[str], dna: list[str]) -> DataFrame:
     """Per region: positive share and signal-to-noise over markers, ion quality, DNA quality, overall."""
@@ -31,30 +33,39 @@ def evaluated(history: DataFrame, limits: DataFrame, keys: list[str], value: str
     """Adds status: in_control, warning or out_of_control."""
     v = F.col(value)
     status = F.when((v < F.col("lower_control")) | (v > F.col("upper_control")), "out_of_control").when((v < F.col("lower_warning")) | (v > F.col("upper_warning")), "warning").otherwise("in_control")
-    return history.join(F.broadcast(limits), keys).withColumn("status", status)
+    return history.join(limits, keys).withColumn("status", status)
 
 
 def trends(history: DataFrame, keys: list[str], order: str, value: str, window: int = 10, tier: float = 0.01, tie: list[str] | None = None) -> DataFrame:
-    """Adds slope over the last `window` values up to each row, and improving, declining or stable."""
-    at = Window.partitionBy(*keys).orderBy(order, *(tie or []))
-    placed = history.withColumn("place", F.row_number().over(at))
-    last = at.rowsBetween(-(window - 1), Window.currentRow)
+    """Adds slope over the last `window` values up to each row, and improving, declining or stable.
+
+    History is sorted in ranges of key and order, however few keys there are; each range is a task that also has the last rows before
+    it, which are all that the first rows of a range need.
+    """
+    sort = [*keys, order, *(tie or [])]
+    ranged = history.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    ranged = staged(ranged.withColumn("_at", F.monotonically_increasing_id()), "trend-ranges")
+    sizes = staged(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_dense", F.row_number().over(Window.orderBy("_part"))), "trend-sizes")  # a row a range
+    ranged = ranged.join(F.broadcast(sizes.select("_part", "_dense")), "_part").drop("_part").withColumnRenamed("_dense", "_part")
+    tail = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_at")))).filter(F.col("_r") < window).drop("_r")
+    # Ranges that are shorter than a window hand on what they got: as many parts ahead as it takes.
+    need = -(-(window - 1) // max(1, sizes.agg(F.min("_n")).first()[0] or 1))
+    ahead = tail.withColumn("_part", F.explode(F.sequence(F.col("_part") + 1, F.col("_part") + min(need, window - 1)))).withColumn("_own", F.lit(False))
+    both = ranged.withColumn("_own", F.lit(True)).unionByName(ahead)
+    last = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(-(window - 1), Window.currentRow)
+    place = F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_at"))
     n, sx, sy = F.count(value).over(last), F.sum("place").over(last), F.sum(value).over(last)
     sxy, sxx = F.sum(F.col("place") * F.col(value)).over(last), F.sum(F.col("place") * F.col("place")).over(last)
     slope = F.when(n == window, (n * sxy - sx * sy) / (n * sxx - sx * sx))
-    return placed.withColumn("slope", slope).withColumn("trend", F.when(F.col("slope") > tier, "improving").when(F.col("slope") < -tier, "declining").when(F.col("slope").isNotNull(), "stable"))
+    out = both.withColumn("place", place).withColumn("slope", slope).filter("_own").drop("_part", "_at", "_own", "place")
+    return out.withColumn("trend", F.when(F.col("slope") > tier, "improving").when(F.col("slope") < -tier, "declining").when(F.col("slope").isNotNull(), "stable"))
 
 
 def anomalies(df: DataFrame, keys: list[str], value: str, threshold: float = 2.5) -> DataFrame:
     """Rows whose population z-score exceeds the threshold; none below three rows or without spread."""
-    w = Window.partitionBy(*keys)
-    sd = F.stddev_pop(value).over(w)
-    z = F.when((F.count(value).over(w) >= 3) & (sd > 0), (F.col(value) - F.avg(value).over(w)) / sd)
-    return df.withColumn("z", z).filter(F.abs("z") > threshold)
-
-
-def gate_decision(metric: Column, warn: float, fail: float) -> Column:
-    return F.when(metric < fail, "FAIL").when(metric < warn, "WARN").otherwise("PASS")
+    s = df.groupBy(*keys).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = F.when((F.col("_n") >= 3) & (F.col("_s") > 0), (F.col(value) - F.col("_m")) / F.col("_s"))
+    return df.join(s, keys).withColumn("z", z).drop("_n", "_m", "_s").filter(F.abs("z") > threshold)
 
 
 def batch_consistency(df: DataFrame, batch: str, value: str, tiers: tuple[float, float, float] = (0.1, 0.2, 0.3)) -> DataFrame:
@@ -66,7 +77,7 @@ def batch_consistency(df: DataFrame, batch: str, value: str, tiers: tuple[float,
 def coordinate_checks(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Per region: count, area, density, share of points beyond 1.5 interquartile ranges on an axis, quadrat uniformity."""
     q = pixels.groupBy(*keys).agg(*(F.percentile(a, F.lit(p)).alias(f"{a}{int(p * 100)}") for a in ("x", "y") for p in (0.25, 0.75)), *(f(a).alias(f"{n}_{a}") for a in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
-    p = pixels.join(F.broadcast(q), keys)
+    p = pixels.join(q, keys)
     out = lambda a: (F.col(a) < F.col(f"{a}25") - 1.5 * (F.col(f"{a}75") - F.col(f"{a}25"))) | (F.col(a) > F.col(f"{a}75") + 1.5 * (F.col(f"{a}75") - F.col(f"{a}25")))
     quad = lambda a: F.least(F.floor((F.col(a) - F.col(f"lo_{a}")) * 4 / (F.col(f"hi_{a}") - F.col(f"lo_{a}"))), F.lit(3))
     per = p.groupBy(*keys, quad("y").alias("qy"), quad("x").alias("qx")).agg(F.count(F.lit(1)).alias("c"), F.count_if(out("x") | out("y")).alias("o"), *(F.first(c).alias(c) for c in ("lo_x", "hi_x", "lo_y", "hi_y")))
@@ -80,7 +91,7 @@ def count_checks(long: DataFrame, keys: list[str], value: str = "value") -> Data
     s = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(value) == 0).cast("double")).alias("zero_share"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.max(value).alias("top"), F.percentile(positive, F.lit(0.99)).alias("p99"), F.skewness(positive).alias("skewness"))
     s = s.withColumn("fano", F.col("sd") * F.col("sd") / F.col("mean"))
     s = s.withColumn("distribution_score", F.exp(-F.pow(F.log("fano"), 2)))
-    above = long.join(F.broadcast(s.select(*keys, "p99")), keys).groupBy(*keys).agg(F.avg((F.col(value) > F.col("p99")).cast("double")).alias("extreme_share"))
+    above = long.join(s.select(*keys, "p99"), keys).groupBy(*keys).agg(F.avg((F.col(value) > F.col("p99")).cast("double")).alias("extreme_share"))
     return s.join(above, keys)
 
 
@@ -89,8 +100,3 @@ def pair_checks(df: DataFrame, keys: list[str], a: str, b: str, least: int = 21)
     both, either = (F.col(a) > 0) & (F.col(b) > 0), (F.col(a) > 0) | (F.col(b) > 0)
     r = lambda keep: F.when(F.count_if(keep) >= least, F.corr(F.when(keep, F.col(a)), F.when(keep, F.col(b))))
     return df.groupBy(*keys).agg(F.count_if(both).alias("n_both"), r(both).alias("r_both"), F.count_if(either).alias("n_either"), r(either).alias("r_either"))
-
-
-def uniqueness_violations(df: DataFrame, key: list[str]) -> DataFrame:
-    """Keys that occur more than once."""
-    return df.groupBy(*key).count().filter("count > 1")

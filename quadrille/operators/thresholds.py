@@ -5,7 +5,7 @@ Long form: one row a unit and marker, (keys..., marker, value).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def cofactors(long: DataFrame, percentile: float = 5.0, floor: float = 0.1) -> D
     """(marker, cofactor_percentile, cofactor_mad) over positive values; floor where there are none or the figure is less."""
     positive = F.when(F.col("value") > 0, F.col("value"))
     medians = long.groupBy("marker").agg(F.percentile(positive, F.lit(percentile / 100)).alias("p"), F.percentile(positive, F.lit(0.5)).alias("median"))
-    off = long.join(F.broadcast(medians), "marker").withColumn("off", F.when(F.col("value") > 0, F.abs(F.col("value") - F.col("median"))))
+    off = long.join(medians, "marker").withColumn("off", F.when(F.col("value") > 0, F.abs(F.col("value") - F.col("median"))))
     made = off.groupBy("marker").agg(F.first("p").alias("p"), F.percentile("off", F.lit(0.5)).alias("mad"))
     at_least = lambda c: F.greatest(F.coalesce(c, F.lit(floor)), F.lit(floor))
     return made.select("marker", at_least(F.col("p")).alias("cofactor_percentile"), at_least(1.4826 * F.col("mad")).alias("cofactor_mad"))
@@ -31,12 +31,6 @@ def variance_cofactor(long: DataFrame, steps: int = 50) -> DataFrame:
     return spread.groupBy("marker").agg(F.min_by("cofactor", F.struct(F.round("v", 12), "cofactor")).alias("cofactor"))
 
 
-def control_thresholds(long: DataFrame, percentile: Column, group: str = "timepoint", subject: str = "mouse", control: str = "Sham") -> DataFrame:
-    """(marker, threshold, n_subjects): percentile of each control subject, then the mean of subjects, so that a subject with many units does not dominate."""
-    per_subject = long.filter(F.col(group) == control).groupBy("marker", subject).agg(F.percentile("value", percentile).alias("t"))
-    return per_subject.groupBy("marker").agg(F.avg("t").alias("threshold"), F.count(F.lit(1)).alias("n_subjects"))
-
-
 def pooled_thresholds(long: DataFrame, percentile: float) -> DataFrame:
     return long.groupBy("marker").agg(F.percentile("value", F.lit(percentile / 100)).alias("threshold"))
 
@@ -47,20 +41,16 @@ def scales(long: DataFrame, floor: float = 1e-6) -> DataFrame:
     return q.select("marker", F.when(F.col("iqr") >= floor, F.col("iqr")).when(F.col("quarter") >= floor, F.col("quarter")).otherwise(floor).alias("scale"))
 
 
-def marker_percentile(default: float, overrides: dict[str, float]) -> Column:
-    """The percentile (as a share) for each marker; Spark wants it constant, so use by_percentile for several."""
-    out = F.lit(default / 100)
-    for marker, p in overrides.items():
-        out = F.when(F.col("marker") == marker, F.lit(p / 100)).otherwise(out)
-    return out
+def reference_distribution(long: DataFrame, percentile: float = 60.0, overrides: dict[str, float] | None = None, group: str = "timepoint", subject: str = "mouse", control: str = "Sham") -> DataFrame:
+    """(marker, threshold, scale): centre from the control group, width from all units.
 
-
-def reference_distribution(long: DataFrame, percentile: float = 60.0, overrides: dict[str, float] | None = None, **columns: str) -> DataFrame:
-    """(marker, threshold, scale): centre from the control group, width from all units."""
+    All percentiles asked for are taken in one aggregate over the control units; each marker picks its own.
+    """
     overrides = overrides or {}
-    parts = [(percentile, ~F.col("marker").isin(list(overrides)) if overrides else F.lit(True))] + [(p, F.col("marker") == m) for m, p in overrides.items()]
-    centres = None
-    for p, which in parts:
-        t = control_thresholds(long.filter(which), F.lit(p / 100), **columns).select("marker", "threshold")
-        centres = t if centres is None else centres.unionByName(t)
+    asked = sorted({percentile, *overrides.values()})
+    mine = F.lit(asked.index(percentile))
+    for marker, p in overrides.items():
+        mine = F.when(F.col("marker") == marker, asked.index(p)).otherwise(mine)
+    per_subject = long.filter(F.col(group) == control).groupBy("marker", subject).agg(F.percentile("value", F.array(*(F.lit(p / 100) for p in asked))).alias("t"))
+    centres = per_subject.groupBy("marker").agg(F.avg(F.get("t", mine)).alias("threshold"))
     return centres.join(scales(long), "marker")

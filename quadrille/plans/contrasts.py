@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.operators import batches, composition, effects, gating, knowledge, quality, statistics, thresholds
 from quadrille.plans.common import LONG_SQL, SCORED_SQL, query, r6, rounded, scored, units, with_interface
-from quadrille.plans.units import GATED_SQL, gated
+from quadrille.plans.units import GATED_SQL, PAIRED_SQL, gated, paired
 from quadrille.sources import virtual
 from quadrille.sources.virtual import BASE_SQL, MARKERS
 
@@ -208,24 +208,25 @@ def batch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(b.withColumn("decision", F.when((F.col("cv") > 0.3) | (F.col("n") < 3) | (F.col("mean") < 20), "WARN").otherwise("PASS")))
 
 
-@query(f"""WITH {BASE_SQL}, r AS (SELECT roi, cd45, cd44, rank() OVER (PARTITION BY roi ORDER BY cd45) + (count(*) OVER (PARTITION BY roi, cd45) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY roi ORDER BY cd44) + (count(*) OVER (PARTITION BY roi, cd44) - 1) / 2.0 AS rb FROM ex)
-SELECT roi, count(*) AS n, round(corr(cd45, cd44), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY roi""")
+@query(f"""WITH {PAIRED_SQL}, r AS (SELECT roi, a, b, va, vb, rank() OVER (PARTITION BY roi, a, b ORDER BY va) + (count(*) OVER (PARTITION BY roi, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY roi, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY roi, a, b, vb) - 1) / 2.0 AS rb FROM pm)
+SELECT roi, a, b, count(*) AS n, round(corr(va, vb), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY roi, a, b""")
 def marker_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.correlations(units(spark, sf_dir), ["roi"], "cd45", "cd44"))
+    return rounded(statistics.correlations(paired(units(spark, sf_dir)), ["roi", "a", "b"], "va", "vb"))
 
 
-@query(f"""WITH {BASE_SQL}, s AS (SELECT roi, avg(cd44) FILTER (cd45 > 2) AS mi, avg(cd44) FILTER (NOT cd45 > 2) AS mo, stddev_pop(cd44) FILTER (cd45 > 2) AS si, stddev_pop(cd44) FILTER (NOT cd45 > 2) AS so, count(cd44) FILTER (cd45 > 2) AS ni, count(cd44) FILTER (NOT cd45 > 2) AS no_ FROM ex GROUP BY roi)
-SELECT roi, {r6('mi', 'mean_in')}, {r6('mo', 'mean_out')}, {r6('si', 'sd_in')}, {r6('so', 'sd_out')}, ni AS n_in, no_ AS n_out, round(CASE WHEN si * si + so * so > 0 THEN (mi - mo) / sqrt((si * si + so * so) / 2) ELSE 0 END, 6) AS d FROM s""")
+@query(f"""WITH {PAIRED_SQL}, s AS (SELECT roi, a, b, avg(vb) FILTER (va > 2) AS mi, avg(vb) FILTER (NOT va > 2) AS mo, stddev_pop(vb) FILTER (va > 2) AS si, stddev_pop(vb) FILTER (NOT va > 2) AS so, count(vb) FILTER (va > 2) AS ni, count(vb) FILTER (NOT va > 2) AS no_ FROM pm GROUP BY ALL)
+SELECT roi, a, b, {r6('mi', 'mean_in')}, {r6('mo', 'mean_out')}, {r6('si', 'sd_in')}, {r6('so', 'sd_out')}, ni AS n_in, no_ AS n_out, round(CASE WHEN si * si + so * so > 0 THEN (mi - mo) / sqrt((si * si + so * so) / 2) ELSE 0 END, 6) AS d FROM s""")
 def region_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.region_difference(units(spark, sf_dir), ["roi"], F.col("cd45") > 2, "cd44"))
+    """Each marker inside and outside of where another is high."""
+    return rounded(statistics.region_difference(paired(units(spark, sf_dir)), ["roi", "a", "b"], F.col("va") > 2, "vb"))
 
 
-@query(f"""WITH {BASE_SQL}, b AS (SELECT roi, cd45 AS v, min(cd45) OVER (PARTITION BY roi) AS lo, max(cd45) OVER (PARTITION BY roi) AS hi FROM ex), h AS (SELECT roi, least(floor((v - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM b GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER u AS w0, sum(n * (bin + 0.5)) OVER u AS s0, sum(n) OVER p AS wt, sum(n * (bin + 0.5)) OVER p AS st FROM h WINDOW u AS (PARTITION BY roi ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY roi)),
-k AS (SELECT *, CASE WHEN wt - w0 > 0 THEN round(w0::DOUBLE * (wt - w0) * pow(s0 / w0 - (st - s0) / (wt - w0), 2), 3) END AS b FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY b DESC, bin) AS r FROM k WHERE b IS NOT NULL)
-SELECT roi, round(lo + (bin + 0.5) * (hi - lo) / 256, 6) AS threshold FROM m WHERE r = 1""")
+@query(f"""WITH {BASE_SQL}, lo AS ({LONG_SQL}), b AS (SELECT roi, marker, value AS v, min(value) OVER (PARTITION BY roi, marker) AS lo, max(value) OVER (PARTITION BY roi, marker) AS hi FROM lo), h AS (SELECT roi, marker, least(floor((v - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi FROM b GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER u AS w0, sum(n * (bin + 0.5)) OVER u AS s0, sum(n) OVER p AS wt, sum(n * (bin + 0.5)) OVER p AS st FROM h WINDOW u AS (PARTITION BY roi, marker ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY roi, marker)),
+k AS (SELECT *, CASE WHEN wt - w0 > 0 THEN round(w0::DOUBLE * (wt - w0) * pow(s0 / w0 - (st - s0) / (wt - w0), 2), 3) END AS b FROM c), m AS (SELECT *, row_number() OVER (PARTITION BY roi, marker ORDER BY b DESC, bin) AS r FROM k WHERE b IS NOT NULL)
+SELECT roi, marker, round(lo + (bin + 0.5) * (hi - lo) / 256, 6) AS threshold FROM m WHERE r = 1""")
 def otsu_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.otsu(units(spark, sf_dir), ["roi"], "cd45"))
+    return rounded(statistics.otsu(thresholds.unpivoted(units(spark, sf_dir), ["roi"], MARKERS), ["roi", "marker"], "value"))
 
 
 @query(f"""WITH {BASE_SQL}, long AS ({LONG_SQL}), v AS (SELECT marker, value, count(*) FILTER (mouse = 'MS1') AS a, count(*) FILTER (mouse <> 'MS1') AS b FROM long GROUP BY ALL),
@@ -254,15 +255,15 @@ def label_separability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.separability(gated(spark, sf_dir), "cell_type", MARKERS))
 
 
-@query(f"""WITH {BASE_SQL}, s AS (SELECT roi, count(*) AS n, count(*) FILTER (cd45 > 2) AS na, count(*) FILTER (cd44 > 2) AS nb, count(*) FILTER (cd45 > 2 AND cd44 > 2) AS nab, avg(cd45) FILTER (cd45 > 2) AS ma, max(cd45) AS xa FROM ex GROUP BY roi)
-SELECT roi, n, na AS n_a, nb AS n_b, nab AS n_ab, round(ma, 6) AS mean_a, round(xa, 6) AS max_a, round(coalesce(nab / nullif(n, 0), 0), 6) AS overlap, round(coalesce(nab / nullif(na + nb - nab, 0), 0), 6) AS jaccard, round(coalesce(nab / nullif(na, 0), 0), 6) AS b_given_a, round(coalesce(nab / nullif(nb, 0), 0), 6) AS a_given_b FROM s""")
+@query(f"""WITH {PAIRED_SQL}, s AS (SELECT roi, a, b, count(*) AS n, count(*) FILTER (va > 2) AS na, count(*) FILTER (vb > 2) AS nb, count(*) FILTER (va > 2 AND vb > 2) AS nab, avg(va) FILTER (va > 2) AS ma, max(va) AS xa FROM pm GROUP BY ALL)
+SELECT roi, a, b, n, na AS n_a, nb AS n_b, nab AS n_ab, round(ma, 6) AS mean_a, round(xa, 6) AS max_a, round(coalesce(nab / nullif(n, 0), 0), 6) AS overlap, round(coalesce(nab / nullif(na + nb - nab, 0), 0), 6) AS jaccard, round(coalesce(nab / nullif(na, 0), 0), 6) AS b_given_a, round(coalesce(nab / nullif(nb, 0), 0), 6) AS a_given_b FROM s""")
 def positive_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.threshold_features(units(spark, sf_dir), ["roi"], "cd45", "cd44", 2.0, 2.0))
+    return rounded(statistics.threshold_features(paired(units(spark, sf_dir)), ["roi", "a", "b"], "va", "vb", 2.0, 2.0))
 
 
-@query(f"WITH {BASE_SQL} SELECT roi, round(regr_slope(cd44, cd45), 6) AS slope, round(regr_intercept(cd44, cd45), 6) AS intercept, round(corr(cd44, cd45), 6) AS r, count(*) AS n FROM ex GROUP BY roi")
+@query(f"WITH {PAIRED_SQL} SELECT roi, a, b, round(regr_slope(vb, va), 6) AS slope, round(regr_intercept(vb, va), 6) AS intercept, round(corr(vb, va), 6) AS r, count(*) AS n FROM pm GROUP BY roi, a, b")
 def marker_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.regression(units(spark, sf_dir), ["roi"], "cd44", "cd45"))
+    return rounded(statistics.regression(paired(units(spark, sf_dir)), ["roi", "a", "b"], "vb", "va"))
 
 
 @query(f"""WITH {BASE_SQL}, long AS ({LONG_SQL}) SELECT marker, timepoint, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS low, round(max(value), 6) AS high, count(*) AS n FROM long GROUP BY ALL""")
@@ -299,10 +300,17 @@ def neighbourhood_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knowledge.best_evidence(one.join(two, "_"), ["focal", "neighbour"], "a_members", "b_members", knowledge.pair_summary(_statements(spark, sf_dir))))
 
 
-@query("WITH f AS (SELECT r_name AS n, sha256(r_regionkey::VARCHAR) AS d FROM region) SELECT sha256(string_agg(n || ':' || d, '|' ORDER BY n || ':' || d)) AS sha256 FROM f")
+_KEY_TEXT = {"region": "r_regionkey || '|' || r_name", "nation": "n_nationkey || '|' || n_name || '|' || n_regionkey", "supplier": "s_suppkey || '|' || s_name || '|' || s_nationkey", "part": "p_partkey || '|' || p_name"}
+
+
+@query(f"""WITH f AS ({' UNION ALL '.join(f"SELECT '{t}' AS n, sha256(string_agg(sha256({e}), '' ORDER BY sha256({e}))) AS d FROM {t}" for t, e in _KEY_TEXT.items())}) SELECT sha256(string_agg(n || ':' || d, '|' ORDER BY n || ':' || d)) AS sha256 FROM f""")
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name", F.sha2(F.col("r_regionkey").cast("string").cast("binary"), 256).alias("d"))
-    return knowledge.fingerprint(f, "r_name", "d")
+    """One digest of the contents of the dimension tables: of each its rows' digests in order, of all the tables' digests."""
+    out = None
+    for t, text in _KEY_TEXT.items():
+        one = knowledge.table_digest(spark.read.parquet(f"{sf_dir}/{t}.parquet"), F.expr(text)).select(F.lit(t).alias("name"), "digest")
+        out = one if out is None else out.unionByName(one)
+    return knowledge.fingerprint(out, "name", "digest")
 
 
 @query("""WITH o AS (SELECT p_partkey, p_name AS h FROM part WHERE p_partkey % 3 <> 0), n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || '*' ELSE p_name END AS h FROM part WHERE p_partkey % 4 <> 0)

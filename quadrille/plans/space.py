@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions.folders import staged
 from quadrille.operators import edges, neighbours
 from quadrille.plans.common import SCORED_SQL, lineages, query, r6, rounded, scored, units, with_interface
 from quadrille.plans.units import GATED_SQL, gated
@@ -16,8 +16,8 @@ K, SIDE = 10, 40.0
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Units are read once for the edges and again for what is put on them."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Units are read once for the edges and again for what is put on them; staged, so that nothing stays in memory after."""
+    return staged(df, "units")
 
 
 def points(df: DataFrame) -> DataFrame:
@@ -133,12 +133,11 @@ def morans_i_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RADIUS = """SELECT a.roi, a.spx AS src, b.spx AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, abs(a.x - b.x) AS ax, abs(a.y - b.y) AS ay FROM ex a JOIN ex b ON a.roi = b.roi AND a.spx <> b.spx"""
 
 
-@query(f"WITH {BASE_SQL}, e AS (SELECT *, 1.0 AS w FROM ({_RADIUS}) WHERE d2 <= 50 * 50), src AS (SELECT * FROM ex), {_moran_sql(['cd45', 'cd31', 'cd44'])}")
+@query(f"WITH {BASE_SQL}, e AS (SELECT *, 1.0 AS w FROM ({_RADIUS}) WHERE d2 <= 50 * 50), src AS (SELECT * FROM ex), {_moran_sql(virtual.MARKERS)}")
 def morans_i_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = kept(units(spark, sf_dir))
-    values = ["cd45", "cd31", "cd44"]
-    near = edges.within(points(df), ["roi"], 50.0).withColumn("w", F.lit(1.0))
-    return rounded(neighbours.morans_i(df.select("roi", F.col("spx").alias("id"), *values), near, ["roi"], values))
+    near = edges.within(points(df), ["roi"], 50.0).select("roi", "src", "dst", F.lit(1.0).alias("w"))
+    return rounded(neighbours.morans_i(df.select("roi", F.col("spx").alias("id"), *virtual.MARKERS), near, ["roi"], virtual.MARKERS))
 
 
 @query(f"""WITH {SCORED_SQL}, {knn_sql('scored')}, f AS (SELECT roi, spx, lineage_immune > 0.3 AS on_ FROM scored), j AS (SELECT e.roi, count(*) AS joins FROM e JOIN f a ON e.roi = a.roi AND e.src = a.spx AND a.on_ JOIN f b ON e.roi = b.roi AND e.dst = b.spx AND b.on_ GROUP BY e.roi)
@@ -165,12 +164,15 @@ def k_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("k", F.col("focal").alias("category")).agg(F.avg("enrichment").alias("enrichment"), F.count(F.lit(1)).alias("n_regions")))
 
 
-@query(f"""WITH {BASE_SQL}, e AS (SELECT a.roi, a.spx AS src, b.cd45, b.cd31, b.cd44 FROM ex a JOIN ex b ON a.roi = b.roi AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)
-SELECT roi, src AS id, {', '.join(f"round(coalesce(CASE WHEN count(*) >= 2 THEN covar_samp({a}, {b}) END, 0), 6) AS cov_{a}_{b}" for a, b in (('cd45', 'cd31'), ('cd45', 'cd44'), ('cd31', 'cd44')))} FROM e GROUP BY roi, src""")
+_ALL_PAIRS = [(a, b) for i, a in enumerate(virtual.MARKERS) for b in virtual.MARKERS[i + 1 :]]
+
+
+@query(f"""WITH {BASE_SQL}, e AS (SELECT a.roi, a.spx AS src, {', '.join(f'b.{m}' for m in virtual.MARKERS)} FROM ex a JOIN ex b ON a.roi = b.roi AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400)
+SELECT roi, src AS id, {', '.join(f"round(coalesce(CASE WHEN count(*) >= 2 THEN covar_samp({a}, {b}) END, 0), 6) AS cov_{a}_{b}" for a, b in _ALL_PAIRS)} FROM e GROUP BY roi, src""")
 def local_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = kept(units(spark, sf_dir))
-    near = edges.within(points(df), ["roi"], 20.0, include_self=True)
-    return rounded(neighbours.local_covariance(df.select("roi", F.col("spx").alias("id"), "cd45", "cd31", "cd44"), near, ["roi"], [("cd45", "cd31"), ("cd45", "cd44"), ("cd31", "cd44")]))
+    near = edges.within(points(df), ["roi"], 20.0, include_self=True).select("roi", "src", "dst")
+    return rounded(neighbours.local_covariance(df.select("roi", F.col("spx").alias("id"), *virtual.MARKERS), near, ["roi"], _ALL_PAIRS))
 
 
 _RADII = [10, 20, 30, 40, 50]
@@ -180,10 +182,8 @@ _RADII = [10, 20, 30, 40, 50]
 s AS (SELECT roi, r AS radius, count(*) AS m, sum(500.0 * 500 / ((500 - ax) * (500 - ay))) AS mw FROM e, (SELECT unnest({_RADII}) AS r) WHERE d2 <= r * r GROUP BY ALL)
 SELECT roi, radius::DOUBLE AS radius, round(250000.0 * m / (n * (n - 1)), 6) AS k, round(250000.0 * mw / (n * (n - 1)), 6) AS k_translation, round(sqrt(250000.0 * m / (n * (n - 1)) / pi()) - radius, 6) AS l FROM s JOIN n USING (roi)""")
 def ripley_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = points(units(spark, sf_dir))
-    right = df.select("roi", F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = edges.within(df, ["roi"], 50.0).join(df.withColumnRenamed("id", "src"), ["roi", "src"]).join(right, ["roi", "dst"]).select("roi", "d2", F.abs(F.col("x") - F.col("x2")).alias("ax"), F.abs(F.col("y") - F.col("y2")).alias("ay"))
-    return rounded(neighbours.ripley(df, near, ["roi"], _RADII, 250_000.0, 500.0))
+    df = kept(points(units(spark, sf_dir)))
+    return rounded(neighbours.ripley(df, edges.within(df, ["roi"], 50.0), ["roi"], _RADII, 250_000.0, 500.0))
 
 
 @query(f"""WITH {BASE_SQL}, t AS (SELECT roi, quantile_cont(cd44, 0.9) AS t FROM ex GROUP BY roi), p AS (SELECT ex.roi, spx, x, y FROM ex JOIN t USING (roi) WHERE cd44 > t.t),
@@ -198,7 +198,7 @@ def positive_cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positives(df: DataFrame) -> DataFrame:
     cut = df.groupBy("roi").agg(F.percentile("cd44", F.lit(0.9)).alias("t"))
-    return points(df.join(F.broadcast(cut), "roi").filter("cd44 > t"))
+    return points(df.join(cut, "roi").filter("cd44 > t"))
 
 
 @query()

@@ -19,22 +19,22 @@ def superpixel_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {virtual.pixel_sql()}, grid AS (SELECT roi, a.i AS bin_y, b.i AS bin_x FROM (SELECT DISTINCT roi FROM px), range(0, 25) a(i), range(0, 25) b(i)),
-s AS (SELECT roi, y // 20 AS bin_y, x // 20 AS bin_x, sum(cd45) AS cd45, sum(cd44) AS cd44 FROM px GROUP BY ALL)
-SELECT roi, bin_y, bin_x, round(coalesce(cd45, 0), 6) AS cd45, round(coalesce(cd44, 0), 6) AS cd44 FROM grid LEFT JOIN s USING (roi, bin_y, bin_x)""")
+s AS (SELECT roi, y // 20 AS bin_y, x // 20 AS bin_x, {', '.join(f'sum({m}) AS {m}' for m in MARKERS)} FROM px GROUP BY ALL)
+SELECT roi, bin_y, bin_x, {', '.join(f'round(coalesce({m}, 0), 6) AS {m}' for m in MARKERS)} FROM grid LEFT JOIN s USING (roi, bin_y, bin_x)""")
 def dense_bin_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(binning.dense_bins(virtual.pixels(spark, sf_dir), ["roi"], 20, ["cd45", "cd44"], virtual.FIELD))
+    return rounded(binning.dense_bins(virtual.pixels(spark, sf_dir), ["roi"], 20, MARKERS, virtual.FIELD))
 
 
 _GRID = f"""{virtual.pixel_sql()}, b AS (SELECT roi, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px GROUP BY roi),
 n AS (SELECT *, greatest(ceil((x1 - x0) / 35.0), 1)::BIGINT AS nx, greatest(ceil((y1 - y0) / 35.0), 1)::BIGINT AS ny FROM b),
 g AS (SELECT px.*, least(floor((y - y0) * ny / greatest(y1 - y0, 1e-9)), ny - 1)::BIGINT * nx + least(floor((x - x0) * nx / greatest(x1 - x0, 1e-9)), nx - 1)::BIGINT AS cell FROM px JOIN n USING (roi)),
-c AS (SELECT roi, cell, avg(x) AS x, avg(y) AS y, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, sum(dna1) AS dna1, sum(cd45) AS cd45 FROM g GROUP BY roi, cell)"""
+c AS (SELECT roi, cell, avg(x) AS x, avg(y) AS y, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, sum(dna1) AS dna1, {', '.join(f'sum({m}) AS {m}' for m in MARKERS)} FROM g GROUP BY roi, cell)"""
 
 
-@query(f"WITH {_GRID} SELECT roi, cell, {r6('x', 'x')}, {r6('y', 'y')}, area, {r6('dna1', 'dna1')}, {r6('cd45', 'cd45')} FROM c")
+@query(f"WITH {_GRID} SELECT roi, cell, {r6('x', 'x')}, {r6('y', 'y')}, area, {r6('dna1', 'dna1')}, {', '.join(r6(m, m) for m in MARKERS)} FROM c")
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = binning.regular_grid(virtual.pixels(spark, sf_dir), ["roi"], 35, ["dna1", "cd45"])
-    return rounded(cells.select("roi", "cell", "x", "y", "area", "dna1", "cd45"))
+    cells = binning.regular_grid(virtual.pixels(spark, sf_dir), ["roi"], 35, ["dna1", *MARKERS])
+    return rounded(cells.select("roi", "cell", "x", "y", "area", "dna1", *MARKERS))
 
 
 @query(f"""WITH {_GRID} SELECT roi, cell, area, 2 * ((max_x - min_x + 1) + (max_y - min_y + 1)) AS perimeter,
@@ -45,15 +45,14 @@ def grid_cell_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binning.cell_properties(cells, ["roi"], "dna1"))
 
 
-@query(f"""WITH {virtual.pixel_sql()}, s AS (SELECT roi, y // 20 AS yy, x // 20 AS xx, sum(cd45) AS v FROM px GROUP BY ALL),
-l AS (SELECT roi, yy, xx, least(floor(v / max(v) OVER (PARTITION BY roi) * 8), 7) AS i FROM s),
-p AS (SELECT a.roi, a.i AS i, b.i AS j FROM l a JOIN l b ON a.roi = b.roi AND a.yy = b.yy AND a.xx + 1 = b.xx),
-q AS (SELECT roi, i, j, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT roi, j AS i, i AS j FROM p) GROUP BY ALL),
-w AS (SELECT *, n / sum(n) OVER (PARTITION BY roi) AS w FROM q),
-m AS (SELECT roi, sum(w * pow(i - j, 2)) AS contrast, sum(w / (1 + pow(i - j, 2))) AS homogeneity, sqrt(sum(w * w)) AS energy, sum(w * i * j) AS ij, sum(w * i) AS mi, sum(w * i * i) AS ii FROM w GROUP BY roi)
-SELECT roi, {r6('contrast', 'contrast')}, {r6('homogeneity', 'homogeneity')}, {r6('energy', 'energy')}, round(CASE WHEN ii - mi * mi > 0 THEN (ij - mi * mi) / (ii - mi * mi) END, 6) AS correlation FROM m""")
+@query(f"""WITH {virtual.pixel_sql()}, s0 AS (SELECT roi, y // 20 AS yy, x // 20 AS xx, {', '.join(f'sum({m}) AS {m}' for m in MARKERS)} FROM px GROUP BY ALL), s AS (SELECT roi, yy, xx, marker, v FROM (UNPIVOT s0 ON {M} INTO NAME marker VALUE v)),
+l AS MATERIALIZED (SELECT roi, marker, yy, xx, least(floor(v / max(v) OVER (PARTITION BY roi, marker) * 8), 7) AS i FROM s), p AS (SELECT a.roi, a.marker, a.i AS i, b.i AS j FROM l a JOIN l b ON a.roi = b.roi AND a.marker = b.marker AND a.yy = b.yy AND a.xx + 1 = b.xx),
+q AS (SELECT roi, marker, i, j, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT roi, marker, j AS i, i AS j FROM p) GROUP BY ALL), w AS (SELECT *, n / sum(n) OVER (PARTITION BY roi, marker) AS w FROM q),
+m AS (SELECT roi, marker, sum(w * pow(i - j, 2)) AS contrast, sum(w / (1 + pow(i - j, 2))) AS homogeneity, sqrt(sum(w * w)) AS energy, sum(w * i * j) AS ij, sum(w * i) AS mi, sum(w * i * i) AS ii FROM w GROUP BY roi, marker)
+SELECT roi, marker, {r6('contrast', 'contrast')}, {r6('homogeneity', 'homogeneity')}, {r6('energy', 'energy')}, round(CASE WHEN round(ii - mi * mi, 12) > 0 THEN (ij - mi * mi) / (ii - mi * mi) END, 6) AS correlation FROM m""")
 def texture_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(binning.texture(virtual.pixels(spark, sf_dir), ["roi"], 20, "cd45"))
+    sums = binning.bin_sums(virtual.pixels(spark, sf_dir), ["roi"], 20, MARKERS)
+    return rounded(binning.texture(sums.unpivot(["roi", "bin_y", "bin_x"], MARKERS, "marker", "v"), ["roi", "marker"]))
 
 
 _LONG_RAW = f"{virtual.pixel_sql()}, {virtual.superpixel_sql()}, lr AS (SELECT roi, marker, value FROM (UNPIVOT spx ON {M} INTO NAME marker VALUE value))"
@@ -85,7 +84,7 @@ def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(transforms.zscores(units(spark, sf_dir).select("roi", "spx", *MARKERS), ["roi"], MARKERS), 5)
 
 
-_CO = ["cd45", "cd31", "cd140a"]
+_CO = MARKERS
 
 
 @query(f"""WITH {BASE_SQL}, e AS (SELECT roi, quantile_cont(v, 0.25) FILTER (v > 0) AS m FROM (SELECT roi, unnest([{', '.join(_CO)}]) AS v FROM ex) GROUP BY roi),
@@ -206,7 +205,71 @@ def count_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.count_checks(thresholds.unpivoted(virtual.superpixels(spark, sf_dir), ["roi"], MARKERS), ["marker"]))
 
 
-@query(f"""WITH {BASE_SQL} SELECT roi, count(*) FILTER (cd45 > 0 AND cd44 > 0) AS n_both, round(CASE WHEN count(*) FILTER (cd45 > 0 AND cd44 > 0) >= 21 THEN corr(cd45, cd44) FILTER (cd45 > 0 AND cd44 > 0) END, 6) AS r_both,
-count(*) FILTER (cd45 > 0 OR cd44 > 0) AS n_either, round(CASE WHEN count(*) FILTER (cd45 > 0 OR cd44 > 0) >= 21 THEN corr(cd45, cd44) FILTER (cd45 > 0 OR cd44 > 0) END, 6) AS r_either FROM ex GROUP BY roi""")
+_ALL_PAIRS = [(a, b) for i, a in enumerate(MARKERS) for b in MARKERS[i + 1 :]]
+#: Rows (roi, a, b, va, vb) of all pairs of markers of a unit.
+PAIRED_SQL = f"""{BASE_SQL}, lm AS MATERIALIZED ({LONG_SQL}), pm AS (SELECT x.roi, x.spx, x.marker AS a, y.marker AS b, x.value AS va, y.value AS vb FROM lm x JOIN lm y ON x.roi = y.roi AND x.spx = y.spx JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _ALL_PAIRS)}) AS k(a, b) ON k.a = x.marker AND k.b = y.marker)"""
+
+
+def paired(df: DataFrame, *keep: str) -> DataFrame:
+    """(roi, keep, a, b, va, vb): all pairs of markers of each unit as rows."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb")) for a, b in _ALL_PAIRS)))
+    return df.select("roi", *keep, pairs.alias("p")).select("roi", *keep, "p.*")
+
+
+@query(f"""WITH {PAIRED_SQL} SELECT roi, a, b, count(*) FILTER (va > 0 AND vb > 0) AS n_both, round(CASE WHEN count(*) FILTER (va > 0 AND vb > 0) >= 21 THEN corr(va, vb) FILTER (va > 0 AND vb > 0) END, 6) AS r_both,
+count(*) FILTER (va > 0 OR vb > 0) AS n_either, round(CASE WHEN count(*) FILTER (va > 0 OR vb > 0) >= 21 THEN corr(va, vb) FILTER (va > 0 OR vb > 0) END, 6) AS r_either FROM pm GROUP BY roi, a, b""")
 def coexpression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quality.pair_checks(units(spark, sf_dir), ["roi"], "cd45", "cd44"))
+    return rounded(quality.pair_checks(paired(units(spark, sf_dir)), ["roi", "a", "b"], "va", "vb"))
+
+
+def _votes_sql(name: str, positive: list[str]) -> str:
+    negative = gating.NEGATIVES.get(name, [m for m in MARKERS if m not in positive])
+    votes = [f"(c.{m} / g.{m} >= 1.5)::INT" for m in positive] + [f"(c.{m} / g.{m} < 1 / 1.5)::INT" for m in negative]
+    return f"round(({' + '.join(votes)}) / {len(votes)}.0, 9)"
+
+
+@query(f"""WITH {BASE_SQL}, c AS (SELECT spx % 12 AS cluster, {', '.join(f'avg({m}) AS {m}' for m in MARKERS)} FROM ex GROUP BY ALL), g AS (SELECT {', '.join(f'avg({m}) AS {m}' for m in MARKERS)} FROM ex),
+s AS ({' UNION ALL '.join(f"SELECT cluster, {i} AS i, '{n}' AS cell_type, {_votes_sql(n, pos)} AS score FROM c, g" for i, (n, pos) in enumerate(gating.GATES.items()))}),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, i) AS k FROM s) SELECT cluster, CASE WHEN score >= 0.3 THEN cell_type ELSE 'unassigned' END AS cell_type, round(score, 6) AS score FROM r WHERE k = 1""")
+def cluster_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell type that most markers of a cluster speak for; clusters are units by their number here."""
+    return rounded(gating.cluster_enrichment(units(spark, sf_dir).withColumn("cluster", F.col("spx") % 12), "cluster", MARKERS))
+
+
+_MAXES = ", ".join(f"round(max(v) FILTER (marker = '{m}'), 6) AS {m}" for m in MARKERS)
+
+
+@query(f"""WITH {_LONG_RAW}, cf AS (SELECT marker, greatest(quantile_cont(value, 0.05) FILTER (value > 0), 0.1) AS c FROM lr GROUP BY marker), l2 AS (SELECT roi, spx, marker, value FROM (UNPIVOT spx ON {M} INTO NAME marker VALUE value)),
+v AS (SELECT roi, spx, marker, round(asinh(value / c), 9) AS v FROM l2 JOIN cf USING (marker)) SELECT roi, spx, {_MAXES} FROM v GROUP BY ALL""")
+def optimised_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcsinh with each marker's own cofactor, taken from its low positive values."""
+    df = virtual.superpixels(spark, sf_dir)
+    row = thresholds.cofactors(thresholds.unpivoted(df, ["roi"], MARKERS)).agg(*(F.max(F.when(F.col("marker") == m, F.col("cofactor_percentile"))).alias(f"_c_{m}") for m in MARKERS))
+    made = df.join(F.broadcast(row)).select("roi", "spx", *(F.round(F.asinh(F.col(m) / F.col(f"_c_{m}")), 9).alias(m) for m in MARKERS))
+    return rounded(made)
+
+
+@query(f"WITH {BASE_SQL}, l AS ({LONG_SQL}) SELECT roi, spx, marker, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS scaled FROM l WINDOW w AS (PARTITION BY roi, marker)")
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = thresholds.unpivoted(units(spark, sf_dir), ["roi", "spx"], MARKERS)
+    return rounded(transforms.minmax(long, ["roi", "marker"], "value", "scaled").select("roi", "spx", "marker", "scaled"))
+
+
+@query(f"""WITH {SCORED_SQL}, k AS (SELECT roi, coalesce(nullif(concat_ws('+', CASE WHEN lineage_endothelial >= 0.3 THEN 'endothelial' END, CASE WHEN lineage_immune >= 0.3 THEN 'immune' END, CASE WHEN lineage_stromal >= 0.3 THEN 'stromal' END), ''), 'none') AS category FROM scored) SELECT roi, category, count(*) AS n FROM k GROUP BY ALL""")
+def inclusive_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interface categories with thresholds included."""
+    df = scored(spark, sf_dir).withColumn("category", gating.interface(lineages(), strict=False))
+    return df.groupBy("roi", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {BASE_SQL}, w AS (SELECT unnest(range(0, 2500)) AS place), r AS (SELECT DISTINCT roi FROM ex), l AS (SELECT roi, spx, spx % 7 AS label FROM ex) SELECT r.roi, (place // 50)::BIGINT AS y, (place % 50)::BIGINT AS x, coalesce(label, -1) AS label FROM r CROSS JOIN w LEFT JOIN l ON l.roi = r.roi AND l.spx = place""")
+def cluster_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels put back on each region's grid, -1 where there is no unit."""
+    return binning.label_map(units(spark, sf_dir).select("roi", F.col("spx").alias("at"), (F.col("spx") % 7).alias("label")), ["roi"], 50, 50)
+
+
+@query(f"""WITH {virtual.pixel_sql()}, {virtual.superpixel_sql()} SELECT px.roi, px.x, px.y, round(spx.cd45, 6) AS cd45, round(spx.cd44, 6) AS cd44, count(*) AS n FROM px JOIN spx ON px.roi = spx.roi AND spx.spx = (px.y // 10) * 50 + px.x // 10 GROUP BY ALL""")
+def pixel_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of superpixels spread over the pixels that they are made of."""
+    px = virtual.pixels(spark, sf_dir).groupBy("roi", "x", "y", (F.floor(F.col("y") / 10) * 50 + F.floor(F.col("x") / 10)).alias("spx")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(px.join(virtual.superpixels(spark, sf_dir).select("roi", "spx", "cd45", "cd44"), ["roi", "spx"]).select("roi", "x", "y", "cd45", "cd44", "n"))

@@ -9,11 +9,9 @@ from quadrille.plans.registry import FLAGSHIP, QUERIES, SQL
 from quadrille.plans.space import positives
 from quadrille.plans.common import units
 
-#: Their SQL compares all points of a region; one of them stands for the rest here.
-SLOW = {"trajectories", "interface_focalization", "k_sensitivity", "join_counts", "neighbour_differences"}
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_agrees_with_sql(spark, sf, name):
     assert of_spark(QUERIES[name](spark, sf)) == of_duckdb(SQL[name], sf)
 
