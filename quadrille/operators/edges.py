@@ -90,3 +90,83 @@ def correlation_edges(vectors: DataFrame, keys: list[str], least: float) -> Data
     right = unit.select(*keys, F.col("id").alias("dst"), F.col("u").alias("u2"))
     r = tidy(F.aggregate(F.zip_with("u", "u2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
     return unit.select(*keys, F.col("id").alias("src"), "u").join(right, keys).filter("src < dst").select(*keys, "src", "dst", r.alias("r")).filter(F.abs("r") >= least)
+
+
+#: Vectors in a block: block pairs are compared by matrix products.
+VECTORS = 512
+
+
+def _vector_blocks(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(block, ids, vectors) of about VECTORS each, and how many blocks there are."""
+    n = max(1, -(-vectors.count() // VECTORS))
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    return staged(vectors.select(block.alias("block"), "id", "vector").groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors")), "vector-blocks"), n
+
+
+def _block_pairs(vectors: DataFrame, compare, schema: str) -> DataFrame:
+    """compare(ids a, vectors a, ids b, vectors b) of every pair of blocks, both ways; a pair is a row, so pairs spread over tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    blocks, n = _vector_blocks(vectors)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks.select(F.col("ids").alias("ia"), F.col("vectors").alias("va"), every.alias("block"))
+    pairs = left.join(blocks.select("block", F.col("ids").alias("ib"), F.col("vectors").alias("vb")), "block").select("ia", "va", "ib", "vb")
+
+    def run(batches):
+        for whole in batches:
+            for r in range(whole.num_rows):
+                ia, va, ib, vb = (whole.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(4))
+                out = compare(ia, va.reshape(len(ia), -1), ib, vb.reshape(len(ib), -1))
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=["src", "dst", "d2"])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _squared(a, b):
+    """Squared distances, from the differences themselves, so that they are as exact as by pairs."""
+    import numpy as np
+
+    out = np.empty((len(a), len(b)))
+    for i in range(len(a)):
+        d = a[i] - b
+        out[i] = np.round((d * d).sum(axis=1), 9)
+    return out
+
+
+def vectors_within(vectors: DataFrame, radius2: float) -> DataFrame:
+    """(src, dst, d2): all pairs (src < dst) of vectors (id, vector) whose squared distance is at most radius2."""
+    import numpy as np
+
+    def compare(ia, va, ib, vb):
+        d = _squared(va, vb)
+        i, j = np.nonzero((d <= radius2) & (ia[:, None] < ib[None, :]))
+        return ia[i], ib[j], d[i, j]
+
+    return _block_pairs(vectors, compare, "src bigint, dst bigint, d2 double")
+
+
+def vector_knn(vectors: DataFrame, k: int) -> DataFrame:
+    """(src, dst, d2, rank): the k nearest others of each vector; of each block pair a vector keeps k, so that few rows are ranked."""
+    import numpy as np
+
+    def compare(ia, va, ib, vb):
+        d = _squared(va, vb)
+        d[ia[:, None] == ib[None, :]] = np.inf
+        order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, :k]
+        i = np.repeat(np.arange(len(ia)), order.shape[1])
+        j = order.ravel()
+        kept = np.isfinite(d[i, j])
+        return ia[i[kept]], ib[j[kept]], d[i[kept], j[kept]]
+
+    found = _block_pairs(vectors, compare, "src bigint, dst bigint, d2 double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def spatially_weighted(graph: DataFrame, near: DataFrame, keys: list[str], share: float, sigma: float) -> DataFrame:
+    """(keys, src, dst, weight): the graph's weights times 1 - share plus share times a Gaussian of the distance; near: pairs beyond which that counts as nil."""
+    gauss = near.select(*keys, "src", "dst", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("_s"))
+    both = graph.join(gauss, [*keys, "src", "dst"], "full_outer")
+    return both.select(*keys, "src", "dst", ((1 - share) * F.coalesce("weight", F.lit(0.0)) + share * F.coalesce("_s", F.lit(0.0))).alias("weight"))

@@ -72,21 +72,21 @@ def communities(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, label): label propagation over weighted edges (src, dst, weight), both directions given, until no node moves.
 
     Each node takes the label with the most weight around it, but only for one with more weight than its own has. Nodes
-    move in turn, one quarter of them by hash at a time, so that neighbours seldom swap; every move raises the
-    weight inside communities, so that there is an end. A community is named by its smallest member.
+    move in turn, one quarter of them by hash at a time, other quarters in each cycle, so that neighbours seldom swap. A community is named by its smallest member.
     """
     shared_dir(edges.sparkSession)
     links = edges.select(*keys, "src", "dst", "weight").checkpoint()
     labels = links.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
-    quiet, turn = 0, 0
-    while quiet < TURNS:
+    turn, moved = 0, True
+    while moved or turn % TURNS:  # ends with a cycle in which no node of any part moved
+        moved = moved and turn % TURNS > 0
         around = links.join(labels.withColumnRenamed("id", "dst"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = around.groupBy(*keys, "id").agg(F.max(F.struct("w", (-F.col("label")).alias("back"))).alias("m"))
         own = around.select(*keys, "id", "label", F.col("w").alias("_own"))
         mine = F.pmod(F.xxhash64(F.lit(turn // TURNS), "id"), F.lit(TURNS)) == turn % TURNS
         moves = mine & (F.col("m.w") > F.coalesce("_own", F.lit(0.0)))
         now = labels.join(best, [*keys, "id"], "left").join(own, [*keys, "id", "label"], "left").select(*keys, "id", F.col("label").alias("old"), F.when(moves, -F.col("m.back")).otherwise(F.col("label")).alias("label")).checkpoint()
-        quiet = quiet + 1 if now.filter("old <> label").isEmpty() else 0
+        moved |= not now.filter("old <> label").isEmpty()
         labels, turn = now.drop("old"), turn + 1
     names = labels.groupBy(*keys, "label").agg(F.min("id").alias("_name"))
     return labels.join(names, [*keys, "label"]).select(*keys, "id", F.col("_name").alias("label"))
@@ -135,6 +135,42 @@ def permutation_p(units: DataFrame, edges: DataFrame, key: str, label: str, n: i
     return left.cogroup(right).applyInPandas(run, f"{key} {kind}, focal string, neighbour string, p double")
 
 
+def join_count_z(units: DataFrame, edges: DataFrame, key: str, flags: list[str], n: int = 1_000, least: int = 10, salt: int = 42) -> DataFrame:
+    """(key, flag, n_total, n_positive, observed, null_mean, null_sd, z, sufficient, saturated): joins of flagged units against shuffles.
+
+    A flag with fewer than `least` positives, or that all units have, has no null. A key is one field of view.
+    """
+    def run(u: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if u.empty:
+            return pd.DataFrame({c: [] for c in names})
+        u = u.sort_values("id")
+        at = pd.Series(np.arange(len(u)), index=u["id"].to_numpy())
+        e = e[e["src"].isin(at.index) & e["dst"].isin(at.index)]
+        src, dst = at[e["src"].to_numpy()].to_numpy(), at[e["dst"].to_numpy()].to_numpy()
+        rng = np.random.default_rng([salt, int(hashlib.sha256(str(u[key].iloc[0]).encode()).hexdigest()[:8], 16)])
+        rows = []
+        for f in flags:
+            on = u[f].to_numpy(bool)
+            positive = int(on.sum())
+            saturated = positive in (0, len(on))
+            row = [u[key].iloc[0], f, len(on), positive, None, None, None, None, positive >= least and not saturated, saturated]
+            if row[8] and len(src):
+                null = np.empty(n)
+                for i in range(n):
+                    shuffled = rng.permutation(on)
+                    null[i] = np.count_nonzero(shuffled[src] & shuffled[dst])
+                observed, sd = float(np.count_nonzero(on[src] & on[dst])), float(null.std(ddof=1))
+                row[4:8] = [observed, float(null.mean()), sd, (observed - float(null.mean())) / sd if sd > 0 else None]
+            rows.append(row)
+        return pd.DataFrame(rows, columns=names)
+
+    names = [key, "flag", "n_total", "n_positive", "observed", "null_mean", "null_sd", "z", "sufficient", "saturated"]
+    kind = units.schema[key].dataType.simpleString()
+    left = units.select(F.col(key).alias(key), "id", *flags).groupBy(key)
+    right = edges.select(F.col(key).alias("_of"), "src", "dst").groupBy("_of")
+    return left.cogroup(right).applyInPandas(run, f"{key} {kind}, flag string, n_total bigint, n_positive bigint, observed double, null_mean double, null_sd double, z double, sufficient boolean, saturated boolean")
+
+
 def bootstrap_range(df: DataFrame, keys: list[str], group: str, value: str, first: str, second: str, draws: int = 10_000, salt: int = 42) -> DataFrame:
     """(keys, g, low, high): Hedges' g of two groups and the middle 95 percent of seeded resamples. A key holds a few subjects."""
     def g(a: np.ndarray, b: np.ndarray) -> np.ndarray:

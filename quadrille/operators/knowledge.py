@@ -40,3 +40,9 @@ def manifest_diff(old: DataFrame, new: DataFrame, name: str, digest: str) -> Dat
     both = old.select(name, F.col(digest).alias("_o")).join(new.select(name, F.col(digest).alias("_n")), name, "full_outer")
     change = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "changed")
     return both.select(name, change.alias("change")).filter("change IS NOT NULL")
+
+
+def lineage_of(cell_type: Column, markers: Column) -> Column:
+    """The lineage of a type: by the family in its name, else by its markers, else unknown."""
+    named = F.when(cell_type.contains("endothelial"), "endothelial").when(cell_type.contains("fibroblast"), "stromal")
+    return named.when(F.array_contains(markers, "cd45"), "immune").otherwise("unknown")

@@ -105,3 +105,14 @@ def threshold_features(df: DataFrame, keys: list[str], a: str, b: str, ta: float
 
 def regression(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def evaluated(df: DataFrame, method: str, label: str, values: list[str]) -> DataFrame:
+    """(method, n_clusters, size_balance, separability) of labellings given as rows of a method each."""
+    c = df.groupBy(method, label).agg(F.count(F.lit(1)).alias("_n"), *(F.avg(v).alias(v) for v in values), *(F.var_pop(v).alias(f"v_{v}") for v in values))
+    within = sum((F.col(f"v_{v}") for v in values), F.lit(0.0)) / len(values)
+    other = c.select(method, F.col(label).alias("_l"), *(F.col(v).alias(f"o_{v}") for v in values))
+    gap = F.sqrt(sum((F.pow(F.col(v) - F.col(f"o_{v}"), 2) for v in values), F.lit(0.0)))
+    between = c.join(other, method).filter(F.col(label) < F.col("_l")).groupBy(method).agg(F.avg(gap).alias("_b"))
+    s = c.groupBy(method).agg(F.count(F.lit(1)).alias("n_clusters"), (1 / (1 + F.stddev_pop("_n") / F.avg("_n"))).alias("size_balance"), F.avg(within).alias("_w"))
+    return s.join(between, method, "left").select(method, "n_clusters", "size_balance", (F.col("_b") / (F.col("_w") + 1e-10)).alias("separability"))
