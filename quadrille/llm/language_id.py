@@ -127,6 +127,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     """Batches of so many rows at most, so that what is counted of one stays small."""
     for batch in batches:
         yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+    pa.default_memory_pool().release_unused()
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model:
@@ -197,6 +198,8 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
         for batch in batches:
             said = [learned.predict(t.as_py(), cache) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in said], pa.bool_()))
+        cache.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

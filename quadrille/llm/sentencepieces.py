@@ -29,7 +29,7 @@ from quadrille.llm.shared import table
 
 MARK = "▁"
 #: Entries a worker keeps of chunk encodings (in each of two generations) and of pair tests.
-CHUNKS, PAIRS = 100_000, 250_000
+CHUNKS, PAIRS = 50_000, 150_000
 
 
 class PrefixTable:
@@ -169,6 +169,12 @@ class PrefixTable:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts: a worker goes on to other work with its memory free."""
+        for cache in (self.known, self.older, self.compatible, self.traces):
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
 
 @lru_cache(maxsize=2)
 def prefix_table(model: bytes) -> PrefixTable:
@@ -186,6 +192,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(at, 256)
                 ids = pa.array([encoder.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+        encoder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -220,6 +227,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 digest.append(sha(" ".join([encoder.text[i] for i in ids])))
                 decoded.append(sha(encoder.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
