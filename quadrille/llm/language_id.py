@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import drawn, staged, table
+from quadrille.llm.shared import drawn, holding, staged, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,6 +125,7 @@ def log_frequencies(row: np.ndarray, lang: np.ndarray, n: np.ndarray, shape: tup
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of so many rows at most, so that what is counted of one stays small."""
+    holding("language")
     for batch in batches:
         yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
     pa.default_memory_pool().release_unused()
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("language")
         learned, cache = shared.value, {}
         for batch in batches:
             said = [learned.predict(t.as_py(), cache) for t in batch.column(1)]
@@ -194,6 +196,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("language")
         learned, cache = shared.value, {}
         for batch in batches:
             said = [learned.predict(t.as_py(), cache) for t in batch.column(at)]

@@ -25,11 +25,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm.shared import table
+from quadrille.llm.shared import holding, table
 
 MARK = "▁"
 #: Entries a worker keeps of chunk encodings (in each of two generations) and of pair tests.
-CHUNKS, PAIRS = 50_000, 150_000
+CHUNKS, PAIRS = 100_000, 250_000
 
 
 class PrefixTable:
@@ -170,7 +170,7 @@ class PrefixTable:
         return self.library.decode(ids)
 
     def forget(self) -> None:
-        """Drops what was remembered of texts: a worker goes on to other work with its memory free."""
+        """Drops what was remembered of texts."""
         for cache in (self.known, self.older, self.compatible, self.traces):
             cache.clear()
         pa.default_memory_pool().release_unused()
@@ -187,12 +187,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = prefix_table(model)
+        holding("sentencepiece", encoder.forget)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = pa.array([encoder.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
-        encoder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -218,6 +218,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = prefix_table(model)
+        holding("sentencepiece", encoder.forget)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             counts, digest, decoded = [], [], []
@@ -227,7 +228,6 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 digest.append(sha(" ".join([encoder.text[i] for i in ids])))
                 decoded.append(sha(encoder.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -71,6 +71,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Says in a worker which operator's task begins: what other operators' tasks have left in its memory is forgotten.
+
+    forget: drops what this operator remembers between tasks.
+    """
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    if forget:
+        _HELD[name] = forget
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value made once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.shared import fresh, small, staged, table
+from quadrille.llm.shared import fresh, holding, small, staged, table
 
 SEED = 42
 #: A tile of n fingerprints is cut in blocks of BLOCK, or of SPREAD times the root of n if that is more: a block meets each
@@ -296,6 +296,7 @@ def set_prints(rows: DataFrame, width: int) -> DataFrame:
     """(id, hash, words, n_shingles) of the sets of shingles. rows: (id, hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         for batch in batches:
             prints, sizes = [], []
             for text in batch.column(2):
