@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import chat, decontaminate, exact_dedup, language_id, licences, pii, resample, secrets, sentencepieces, simhash
+from quadrille.llm import chat, decontaminate, exact_dedup, language_id, licences, pii, resample, secrets, sentencepieces, simhash, trie, warc, whiten
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_sentencepiece": sentencepieces.op9_sentencepiece,
     "op10_license_scan": licences.op10_license_scan,
+    "op11_warc": warc.op11_warc,
+    "op12_whiten": whiten.op12_whiten,
+    "op13_conversation_trie": trie.op13_conversation_trie,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_license_scan": licences.OP10_SQL,
+    "op11_warc": warc.OP11_SQL,
+    "op13_conversation_trie": trie.OP13_SQL,
 }
