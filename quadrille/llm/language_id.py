@@ -15,31 +15,37 @@ Defined results: a null text, or one without a letter, is `und` with score 0. So
 nothing was learned. Of equally likely languages the first by name wins; a text of which not one
 character is known is equally likely in all, and scores one over their number. Rows with a null id
 are predicted, and neither held out nor learned from. Repeated rows are predicted alike, and of
-labelled ones all or none are learned from. More than LANGS different labels are refused: such a
-column holds no languages. An empty table gives an empty report.
+labelled ones all or none are learned from. However many labels there are, a sample of their texts is learned from: a
+label of which none is drawn is never predicted. An empty table gives an empty report.
+
+The model is one file that Spark hands to each executor; its workers map it into memory and share its pages.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import drawn, holding, staged, table
+from quadrille.llm.shared import drawn, holding, small, staged, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Labelled texts of each language to learn from, and of all languages; labels that are taken for languages.
-SAMPLE, MOST, LANGS = 4_000, 400_000, 1_000
+#: Labelled texts of each language to learn from, and of all languages.
+SAMPLE, MOST = 4_000, 400_000
 #: Unseen words that a worker remembers the score of.
 CACHE = 50_000
 #: Added to each count, for words and n-grams that a language has not been seen with.
@@ -63,21 +69,38 @@ def grams(word: str, order: int) -> list[str]:
 
 
 @dataclass
-class Model:
-    """Log frequencies by kind: 0 for words, else the n-gram order. For each kind a matrix with a column for each language.
+class Counts:
+    """How often entries are seen in each language, entry by entry, as few are seen in several.
 
-    Words and n-grams have their row at the place of their 64-bit hash among the sorted ones, which takes a tenth of the
-    memory that a dictionary does.
+    keys: sorted 64-bit hashes of the entries; of entry i, langs and more [start[i]:start[i + 1]] are the languages it is seen in and what its
+    log frequency is more there than that of an entry never seen; never: that one's log frequency in each language.
     """
 
+    keys: np.ndarray
+    start: np.ndarray
+    langs: np.ndarray
+    more: np.ndarray
+    never: np.ndarray
+
+    def score(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The summed log frequencies of entries, each so many times, in each language."""
+        first = self.start[at]
+        n = self.start[at + 1] - first
+        where = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.langs[where], self.more[where] * np.repeat(times, n), len(self.never)) + times.sum() * self.never
+
+
+@dataclass
+class Model:
+    """Log frequencies by kind: 0 for words, else the n-gram order."""
+
     langs: list[str]
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
-    matrix: dict[int, np.ndarray] = field(default_factory=dict)
+    counts: dict[int, Counts] = field(default_factory=dict)
 
     def rows(self, kind: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the entries stand, and which of them are known."""
-        known, asked = self.hashes.get(kind, np.empty(0, np.int64)), np.fromiter(map(key, entries), np.int64, len(entries))
-        if not len(known):
+        asked = np.fromiter(map(key, entries), np.int64, len(entries))
+        if kind not in self.counts or not len(known := self.counts[kind].keys):
             return np.zeros(len(entries), np.int64), np.zeros(len(entries), bool)
         at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
         return at, known[at] == asked
@@ -86,8 +109,8 @@ class Model:
         """What an unseen word scores; None if not one of its characters is known."""
         for order in ORDERS:
             at, found = self.rows(order, grams(word, order))
-            if found.any():
-                return self.matrix[order][at[found]].mean(axis=0)
+            if (n := np.count_nonzero(found)):
+                return self.counts[order].score(at[found], np.ones(n)) / n
         return None
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
@@ -97,7 +120,7 @@ class Model:
             return UNDETERMINED, 0.0
         entries, times = list(seen), np.fromiter(seen.values(), float, len(seen))
         at, found = self.rows(0, entries)
-        total = times[found] @ self.matrix[0][at[found]] if found.any() else np.zeros(len(self.langs))
+        total = self.counts[0].score(at[found], times[found]) if found.any() else np.zeros(len(self.langs))
         for i in np.nonzero(~found)[0]:
             word = entries[i]
             if word not in cache:
@@ -115,12 +138,53 @@ def key(entry: str) -> int:
     return xxhash.xxh64_intdigest(entry) - (1 << 63)
 
 
-def log_frequencies(row: np.ndarray, lang: np.ndarray, n: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Smoothed log frequency of each entry in each language. row, lang: the numbers of the entry and language of each count."""
-    counts = np.zeros(shape)
-    np.add.at(counts, (row, lang), n)
-    counts += SMOOTHING
-    return np.log(counts / counts.sum(axis=0))
+def counted(found: pa.Table, langs: list[str]) -> Counts:
+    """found: (lang, key, n), each language and key once."""
+    keys, row = np.unique(found["key"].to_numpy(), return_inverse=True)
+    lang, n = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy()
+    order = np.lexsort((lang, row))
+    totals = np.bincount(lang, n, len(langs)) + SMOOTHING * len(keys)
+    with np.errstate(divide="ignore"):
+        never = np.log(SMOOTHING / totals) if len(keys) else np.zeros(len(langs))
+    return Counts(keys, np.searchsorted(row[order], np.arange(len(keys) + 1)), lang[order].astype(np.int32), np.log(n[order] / SMOOTHING + 1), never)
+
+
+@dataclass
+class Filed:
+    """A model as a file that Spark hands out: its name, its languages, and kind, array, type, place and length of each array in it."""
+
+    name: str
+    langs: list[str]
+    arrays: list[tuple[int, str, str, int, int]]
+
+
+def filed(spark: SparkSession, model: Model) -> Filed:
+    """Puts the model in a file of its own that each executor fetches once."""
+    out = Filed(f"language-{uuid.uuid4().hex}.bin", model.langs, [])
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/{out.name}"
+    with open(path, "wb") as f:
+        f.write(b"counts__")
+        for kind, counts in model.counts.items():
+            for name, array in vars(counts).items():
+                out.arrays.append((kind, name, array.dtype.str, f.tell(), len(array)))
+                f.write(array.tobytes())
+                f.write(b" " * (-f.tell() % 8))
+    spark.sparkContext.addFile(path)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _mapped(path: str, arrays: tuple) -> dict[int, Counts]:
+    whole = np.memmap(path, np.uint8, "r")
+    parts: dict[int, dict[str, np.ndarray]] = {}
+    for kind, name, dtype, at, n in arrays:
+        parts.setdefault(kind, {})[name] = whole[at : at + n * np.dtype(dtype).itemsize].view(dtype)
+    return {kind: Counts(**p) for kind, p in parts.items()}
+
+
+def opened(file: Filed) -> Model:
+    """The model, its arrays mapped from the file."""
+    return Model(file.langs, _mapped(SparkFiles.get(file.name), tuple(file.arrays)))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -134,14 +198,12 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model:
     """A model of the labelled rows; rows without a text or a language teach nothing."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGS + 1).collect()}
-    if not sizes:
+    sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "lang-sizes")
+    if not (n_langs := sizes.count()):
         return Model([])
-    if len(sizes) > LANGS:
-        raise ValueError(f"column {lang_col} holds more than {LANGS} different values")
-    each = min(sample, most / len(sizes))
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))))
-    rows = rows.filter(drawn(share[F.col("lang")], "id"))
+    each = F.lit(min(float(sample), most / n_langs))
+    rows = rows.join(small(sizes), "lang").filter(drawn(F.least(F.lit(1.0), each / F.col("_n")), "id")).select("id", "text", "lang")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # no more than the sample has texts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1_000):
@@ -162,23 +224,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     vocabulary = staged(rows.select("text", "lang").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     entries = staged(vocabulary.mapInArrow(spell, "lang string, kind int, key bigint, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "lang-entries")
-    langs = sorted(sizes)
-    model = Model(langs)
-    for kind in (0, *ORDERS):
-        found = entries.filter(F.col("kind") == kind).toArrow()  # what the words of the bounded sample are made of
-        model.hashes[kind], row = np.unique(found["key"].to_numpy(), return_inverse=True)
-        lang = pc.index_in(found["lang"], pa.array(langs)).to_numpy()
-        model.matrix[kind] = log_frequencies(row, lang, found["n"].to_numpy(), (len(model.hashes[kind]), len(langs)))
-    return model
+    # What the words of the bounded sample are made of.
+    return Model(langs, {kind: counted(entries.filter(F.col("kind") == kind).toArrow(), langs) for kind in (0, *ORDERS)})
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    file = filed(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("language")
-        learned, cache = shared.value, {}
+        learned, cache = opened(file), {}
         for batch in batches:
             said = [learned.predict(t.as_py(), cache) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -192,12 +248,12 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
 
     Rows pass through the tasks as they come, so that no text is shuffled and no id is needed.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    file = filed(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holding("language")
-        learned, cache = shared.value, {}
+        learned, cache = opened(file), {}
         for batch in sliced(batches, 1_000):
             said = [learned.predict(t.as_py(), cache) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in said], pa.bool_()))

@@ -152,16 +152,23 @@ OP10_SQL = f"""
 WITH templates AS (
   SELECT licence, {_bigrams_sql("w")} AS grams FROM (
     SELECT licence, regexp_extract_all(lower(text), '{WORD}') AS w FROM (VALUES {", ".join("('%s', '%s')" % (a, b.replace("'", "''")) for a, b in TEMPLATES)}) AS v(licence, text))
+), blocks AS (
+  SELECT doc_id, row_number() OVER () AS block, text FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) AS text FROM documents)
 ), lines AS (
-  SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
-         list_filter(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), lambda b: contains(b, chr(10))))) AS line FROM documents
+  SELECT doc_id, block, false AS whole, unnest(string_split(text, chr(10))) AS line FROM blocks
+  UNION ALL SELECT doc_id, block, true, text FROM blocks WHERE contains(text, chr(10))
 ), places AS (
-  SELECT doc_id, place, {_bigrams_sql("w")} AS grams FROM (
-    SELECT doc_id, row_number() OVER () AS place, regexp_extract_all(lower(line), '{WORD}') AS w FROM lines WHERE line <> '')
+  SELECT doc_id, block, whole, place, {_bigrams_sql("w")} AS grams FROM (
+    SELECT doc_id, block, whole, row_number() OVER () AS place, regexp_extract_all(lower(line), '{WORD}') AS w FROM lines WHERE line <> '')
 ), scored AS (
-  SELECT doc_id, place, licence, 2 * len(list_intersect(p.grams, t.grams)) / (len(p.grams) + len(t.grams)) AS dice
+  SELECT doc_id, block, whole, place, licence, 2 * len(list_intersect(p.grams, t.grams)) / (len(p.grams) + len(t.grams)) AS dice
   FROM places p JOIN templates t ON len(p.grams) > 0 AND 2 * least(len(p.grams), len(t.grams)) >= {LEAST} * (len(p.grams) + len(t.grams))
+), best AS (
+  -- A block and a line in it are one place: the one that is more alike, the line if they are equally so.
+  SELECT *, max(dice) FILTER (whole) OVER (PARTITION BY doc_id, block) AS of_block, max(dice) FILTER (NOT whole) OVER (PARTITION BY doc_id, block) AS of_line
+  FROM scored WHERE dice >= {LEAST}
 )
 SELECT doc_id, licence, round(max(dice), 6) AS dice, count(DISTINCT place) AS n_places
-FROM scored WHERE dice >= {LEAST} GROUP BY doc_id, licence
+FROM best WHERE whole = coalesce(of_block > of_line, whole) GROUP BY doc_id, licence
 """

@@ -21,6 +21,12 @@ def documents(sf):
     return pd.read_parquet(f"{sf}/documents.parquet")
 
 
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_agrees_with_sql_on_more_rows(spark, name):
+    larger = "/root/testdata/sf0.01"
+    assert of_spark(registry.QUERIES[name](spark, larger)) == of_duckdb(registry.SQL[name], larger)
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_agrees_with_sql(spark, sf, name):
     assert of_spark(registry.QUERIES[name](spark, sf)) == of_duckdb(registry.SQL[name], sf)

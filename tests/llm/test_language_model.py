@@ -74,6 +74,12 @@ def test_letters_beside_numbers():
 def test_all_entries_of_the_sample_are_kept(spark):
     rows = [(i, f"seltenes{chr(97 + i)} wort", "de") for i in range(10)] + [(20, "one rare thing", "en")]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    assert len(model.hashes[0]) == 14 and all(len(model.hashes[o]) for o in ORDERS)
-    with pytest.raises(ValueError):
-        language_id.fit(spark.range(language_id.LANGS + 1).selectExpr("id AS doc_id", "'text' AS text", "CAST(id AS STRING) AS lang"))
+    assert len(model.counts[0].keys) == 14 and all(len(model.counts[o].keys) for o in ORDERS)
+
+
+def test_any_number_of_labels(spark):
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "concat('text wort', id) AS text", "CAST(id AS STRING) AS lang")
+    model = language_id.fit(docs, most=500)
+    assert 300 < len(model.langs) < 700
+    got = language_id.predict(docs.filter(f"lang = '{model.langs[7]}'"), model).collect()
+    assert [r["lang_pred"] for r in got] == [model.langs[7]]
