@@ -23,6 +23,7 @@ The model is one file that Spark hands to each executor; its workers map it into
 
 from __future__ import annotations
 
+import mmap
 import re
 import tempfile
 import uuid
@@ -39,13 +40,15 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.shared import drawn, holding, small, staged, table
+from quadrille.llm.shared import drawn, holding, modest, small, staged, table
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Labelled texts of each language to learn from, and of all languages.
 SAMPLE, MOST = 4_000, 400_000
+#: Languages for which a row an entry is written out.
+FEW = 32
 #: Unseen words that a worker remembers the score of.
 CACHE = 50_000
 #: Added to each count, for words and n-grams that a language has not been seen with.
@@ -90,12 +93,24 @@ class Counts:
         return np.bincount(self.langs[where], self.more[where] * np.repeat(times, n), len(self.never)) + times.sum() * self.never
 
 
+@dataclass
+class Table:
+    """The same with a row of log frequencies for each entry, which is quicker where languages are few."""
+
+    keys: np.ndarray
+    cells: np.ndarray
+    never: np.ndarray
+
+    def score(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return times @ self.cells.reshape(-1, len(self.never))[at]
+
+
 @dataclass
 class Model:
     """Log frequencies by kind: 0 for words, else the n-gram order."""
 
     langs: list[str]
-    counts: dict[int, Counts] = field(default_factory=dict)
+    counts: dict[int, Counts | Table] = field(default_factory=dict)
 
     def rows(self, kind: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the entries stand, and which of them are known."""
@@ -138,7 +153,7 @@ def key(entry: str) -> int:
     return xxhash.xxh64_intdigest(entry) - (1 << 63)
 
 
-def counted(found: pa.Table, langs: list[str]) -> Counts:
+def counted(found: pa.Table, langs: list[str]) -> Counts | Table:
     """found: (lang, key, n), each language and key once."""
     keys, row = np.unique(found["key"].to_numpy(), return_inverse=True)
     lang, n = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy(), found["n"].to_numpy()
@@ -146,6 +161,10 @@ def counted(found: pa.Table, langs: list[str]) -> Counts:
     totals = np.bincount(lang, n, len(langs)) + SMOOTHING * len(keys)
     with np.errstate(divide="ignore"):
         never = np.log(SMOOTHING / totals) if len(keys) else np.zeros(len(langs))
+    if len(langs) <= FEW:
+        cells = np.tile(never, (len(keys), 1))
+        cells[row, lang] += np.log(n / SMOOTHING + 1)
+        return Table(keys, cells.ravel(), never)
     return Counts(keys, np.searchsorted(row[order], np.arange(len(keys) + 1)), lang[order].astype(np.int32), np.log(n[order] / SMOOTHING + 1), never)
 
 
@@ -174,12 +193,13 @@ def filed(spark: SparkSession, model: Model) -> Filed:
 
 
 @lru_cache(maxsize=1)
-def _mapped(path: str, arrays: tuple) -> dict[int, Counts]:
-    whole = np.memmap(path, np.uint8, "r")
+def _mapped(path: str, arrays: tuple) -> dict[int, Counts | Table]:
+    with open(path, "rb") as f:
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     parts: dict[int, dict[str, np.ndarray]] = {}
-    for kind, name, dtype, at, n in arrays:
-        parts.setdefault(kind, {})[name] = whole[at : at + n * np.dtype(dtype).itemsize].view(dtype)
-    return {kind: Counts(**p) for kind, p in parts.items()}
+    for kind, name, dtype, at, n in arrays:  # plain arrays: those of np.memmap are slow to index
+        parts.setdefault(kind, {})[name] = np.frombuffer(whole, dtype, n, at)
+    return {kind: (Table if "cells" in p else Counts)(**p) for kind, p in parts.items()}
 
 
 def opened(file: Filed) -> Model:
@@ -197,7 +217,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> Model:
     """A model of the labelled rows; rows without a text or a language teach nothing."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = modest(labelled).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "lang-sizes")
     if not (n_langs := sizes.count()):
         return Model([])
@@ -240,7 +260,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return modest(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -260,7 +280,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col: str = "text") ->
         cache.clear()
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
