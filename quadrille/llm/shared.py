@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -75,16 +77,34 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def holding(name: str, forget: Callable[[], None] | None = None) -> None:
-    """Says in a worker which operator's task begins: what other operators' tasks have left in its memory is forgotten.
+    """Says in a worker which operator's task begins: what other operators' tasks have left in its memory is forgotten and given back.
 
     forget: drops what this operator remembers between tasks.
     """
-    for other in [k for k in _HELD if k != name]:
+    others = [k for k in _HELD if k != name]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        gc.collect()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # of the GNU library
+            trim(0)
     if forget:
         _HELD[name] = forget
 
 
+#: Spark's own bound on the bytes of a batch that goes to a Python worker and back, and the one that tasks over whole texts get.
+USUAL_BATCH, BATCH = 64 << 20, 4 << 20
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """df, after its session's batches for Python workers are made small, unless they have a size of the user's choice: texts are long, and each batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if conf.get(key).removesuffix("b") == str(USUAL_BATCH):
+        conf.set(key, str(BATCH))
+    return df
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value made once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

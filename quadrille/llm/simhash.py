@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.shared import fresh, holding, small, staged, table
+from quadrille.llm.shared import fresh, holding, modest, small, staged, table
 
 SEED = 42
 #: A tile of n fingerprints is cut in blocks of BLOCK, or of SPREAD times the root of n if that is more: a block meets each
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return modest(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def neighbour_offsets(bands: int, radius: int, sized: bool) -> list[int]:
@@ -305,7 +305,7 @@ def set_prints(rows: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(grams))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(prints, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["id", "hash", "words", "n_shingles"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, words array<bigint>, n_shingles bigint")
+    return modest(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, words array<bigint>, n_shingles bigint")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -318,7 +318,7 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
                 sets = [np.array(sorted({xxhash.xxh64_intdigest(g, SEED) for g in shingles(t.as_py(), width)}), np.uint64).view(np.int64) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["id", "hash", "grams"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, grams array<bigint>")
+    return modest(rows).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, grams array<bigint>")
 
 
 def _settled(groups: DataFrame, radius: int, first: int, similarity: float) -> DataFrame:
