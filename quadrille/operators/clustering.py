@@ -50,11 +50,83 @@ def nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1], 1 / (1 + distance)
 
 
+def _moved(near: list[dict[int, float]], degree: np.ndarray, label: np.ndarray, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """Labels 0.. after nodes have moved to the community around them that gains most, until none gains."""
+    size, total = len(degree), degree.sum()
+    label, weight = label.copy(), np.bincount(label, degree, size)
+    changed = total > 0
+    while changed:
+        changed = False
+        for i in rng.permutation(size):
+            own = label[i]
+            weight[own] -= degree[i]
+            links: dict[int, float] = {}
+            for j, x in near[i].items():
+                links[label[j]] = links.get(label[j], 0.0) + x
+            gain = lambda c: links.get(c, 0.0) - resolution * degree[i] * weight[c] / total  # noqa: B023, E731
+            best = max(links, key=lambda c: (gain(c), -c), default=own)
+            if gain(best) <= gain(own) + 1e-12:
+                best = own
+            label[i] = best
+            weight[best] += degree[i]
+            changed |= best != own
+    return np.unique(label, return_inverse=True)[1]
+
+
+def _refined(near: list[dict[int, float]], degree: np.ndarray, label: np.ndarray, resolution: float, rng: np.random.Generator) -> np.ndarray:
+    """Parts 0.. of the communities: nodes that are still alone join the part of their community around them that gains most.
+
+    Only nodes and parts join that are held well enough by the rest of their community. A part only grows along edges, so that it is connected.
+    """
+    size, total = len(degree), degree.sum()
+    part, weight, members = np.arange(size), degree.astype(float).copy(), np.ones(size, int)
+    whole = np.bincount(label, degree)
+    held = np.array([sum(x for j, x in near[i].items() if label[j] == label[i]) for i in range(size)])  # edges of a part to the rest of its community
+    firm = lambda p, c: held[p] >= resolution * weight[p] * (whole[c] - weight[p]) / total - 1e-12
+    for i in rng.permutation(size) if total > 0 else ():
+        if members[part[i]] > 1 or not firm(part[i], label[i]):
+            continue
+        links: dict[int, float] = {}
+        for j, x in near[i].items():
+            if label[j] == label[i]:
+                links[part[j]] = links.get(part[j], 0.0) + x
+        gains = {p: x - resolution * degree[i] * weight[p] / total for p, x in links.items() if p != part[i] and firm(p, label[i])}
+        best = max(gains, key=lambda p: (gains[p], -p), default=None)  # noqa: B023
+        if best is None or gains[best] <= 1e-12:
+            continue
+        held[best] += held[part[i]] - 2 * links[best]
+        weight[best] += degree[i]
+        members[best] += 1
+        members[part[i]] = 0
+        part[i] = best
+    return np.unique(part, return_inverse=True)[1]
+
+
+def _parted(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the connected parts of communities: apart they are never less modular."""
+    inside = label[a] == label[b]
+    low = np.arange(len(label))
+    while True:
+        now = low.copy()
+        np.minimum.at(now, a[inside], low[b[inside]])
+        np.minimum.at(now, b[inside], low[a[inside]])
+        now = now[now]
+        if (now == low).all():
+            return np.unique(low, return_inverse=True)[1]
+        low = now
+
+
 def modular_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, rng: np.random.Generator) -> np.ndarray:
-    """Labels 0.. by size of communities that raise modularity: nodes move while that gains, then communities become nodes."""
-    member = np.arange(n)
+    """Labels 0.. by size of communities that raise modularity, each of them connected.
+
+    Nodes move while that gains; within each community they are then joined anew to connected parts, and the parts become the nodes of
+    the next round, which begins with the communities of this one. It ends when every community is one part.
+    """
+    if not n:
+        return np.empty(0, int)
+    member = start = np.arange(n)
     while True:
-        size = member.max() + 1 if n else 0
+        size = len(start)
         loops, near = np.zeros(size), [{} for _ in range(size)]
         for i, j, x in zip(member[a], member[b], w):
             if i == j:
@@ -63,32 +135,17 @@ def modular_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, res
                 near[i][j] = near[i].get(j, 0.0) + x
                 near[j][i] = near[j].get(i, 0.0) + x
         degree = np.array([sum(e.values()) for e in near]) + loops
-        total = degree.sum()
-        label, weight, moved = np.arange(size), degree.copy(), False
-        changed = total > 0
-        while changed:
-            changed = False
-            for i in rng.permutation(size):
-                own = label[i]
-                weight[own] -= degree[i]
-                links: dict[int, float] = {}
-                for j, x in near[i].items():
-                    links[label[j]] = links.get(label[j], 0.0) + x
-                gain = lambda c: links.get(c, 0.0) - resolution * degree[i] * weight[c] / total  # noqa: B023, E731
-                best = max(links, key=lambda c: (gain(c), -c), default=own)
-                if gain(best) <= gain(own) + 1e-12:
-                    best = own
-                label[i] = best
-                weight[best] += degree[i]
-                changed |= best != own
-            moved |= changed
-        label = np.unique(label, return_inverse=True)[1]
-        member = label[member]
-        if not moved or label.max() + 1 == size:
-            order = np.argsort(-np.bincount(member), kind="stable") if n else np.empty(0, int)
+        label = _moved(near, degree, start, resolution, rng)
+        part = _refined(near, degree, label, resolution, rng)
+        if part.max() + 1 == size:
+            found = _parted(label[member], a, b)
+            order = np.argsort(-np.bincount(found), kind="stable")
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            return rank[member] if n else member
+            return rank[found]
+        start = np.zeros(part.max() + 1, int)
+        start[part] = label
+        member = part[member]
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> float:
