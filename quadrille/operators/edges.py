@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,17 +24,22 @@ def _spread(points: DataFrame, by: list[str]) -> DataFrame:
     return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | None, include_self: bool = False) -> DataFrame:
-    """(keys, src, dst, d2, ax, ay) of points in neighbouring squares, ax and ay how far apart on each axis; of all points of a key if side is None."""
-    left = _spread(probe.select(*keys, F.col("id").alias("src"), "x", "y"), [*keys, "src"])
-    right = points.select(*keys, F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | None, include_self: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, src, dst, d2, ax, ay) of points in neighbouring squares, ax and ay how far apart on each axis; of all points of a key if side is None.
+
+    carry: columns of the points that pairs hold as <column>_src and <column>_dst.
+    """
+    of = lambda end: [F.col(c).alias(f"{c}_{end}") for c in carry]
+    left = _spread(probe.select(*keys, F.col("id").alias("src"), "x", "y", *of("src")), [*keys, "src"])
+    right = points.select(*keys, F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), *of("dst"))
     on = list(keys)
     if side is not None:
         left = _around(left, keys, side)
         right = right.withColumns({"_by": F.floor(F.col("y2") / side), "_bx": F.floor(F.col("x2") / side)})
         on += ["_by", "_bx"]
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    pairs = left.join(right, on).select(*keys, "src", "dst", (dx * dx + dy * dy).alias("d2"), F.abs(dx).alias("ax"), F.abs(dy).alias("ay"))
+    carried = [f"{c}_{end}" for end in ("src", "dst") for c in carry]
+    pairs = left.join(right, on).select(*keys, "src", "dst", (dx * dx + dy * dy).alias("d2"), F.abs(dx).alias("ax"), F.abs(dy).alias("ay"), *carried)
     return pairs if include_self else pairs.filter("src <> dst")
 
 
@@ -61,9 +68,9 @@ def knn(points: DataFrame, keys: list[str], k: int, side: float) -> DataFrame:
         width *= 4
 
 
-def within(points: DataFrame, keys: list[str], radius: float, include_self: bool = False) -> DataFrame:
-    """(keys, src, dst, d2, ax, ay): all pairs of points (id, x, y) of a key at most the radius apart, in both directions."""
-    return _pairs(points, points, keys, radius, include_self).filter(F.col("d2") <= radius * radius)
+def within(points: DataFrame, keys: list[str], radius: float, include_self: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, src, dst, d2, ax, ay): all pairs of points (id, x, y) of a key at most the radius apart, in both directions; carry: see _pairs."""
+    return _pairs(points, points, keys, radius, include_self, carry).filter(F.col("d2") <= radius * radius)
 
 
 def symmetric(edges: DataFrame, keys: list[str], weight: Column) -> DataFrame:
