@@ -19,7 +19,7 @@ def _around(points: DataFrame, keys: list[str], side: float) -> DataFrame:
     return spread.withColumns({"_by": F.floor(F.col("y") / side) + F.col("_dy"), "_bx": F.floor(F.col("x") / side) + F.col("_dx")}).drop("_dx", "_dy")
 
 
-def _spread(points: DataFrame, by: list[str]) -> DataFrame:
+def spread(points: DataFrame, by: list[str]) -> DataFrame:
     """Each point is about to become a hundred pairs: few small partitions, as adaptive execution leaves, would make them on few cores."""
     return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
@@ -30,7 +30,7 @@ def _pairs(probe: DataFrame, points: DataFrame, keys: list[str], side: float | N
     carry: columns of the points that pairs hold as <column>_src and <column>_dst.
     """
     of = lambda end: [F.col(c).alias(f"{c}_{end}") for c in carry]
-    left = _spread(probe.select(*keys, F.col("id").alias("src"), "x", "y", *of("src")), [*keys, "src"])
+    left = spread(probe.select(*keys, F.col("id").alias("src"), "x", "y", *of("src")), [*keys, "src"])
     right = points.select(*keys, F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), *of("dst"))
     on = list(keys)
     if side is not None:

@@ -40,7 +40,7 @@ def intensities(points: DataFrame, keys: list[str], side: float | None = None) -
         square = [F.floor(F.col(c) / side).alias(f"_{c}") for c in ("x", "y")]
         sources = at.groupBy(*keys, *square).agg(F.avg("x").alias("x2"), F.avg("y").alias("y2"), n.cast("double").alias("m")).drop("_x", "_y")
     sources = sources.join(shape, keys).withColumn("_part", F.pmod(F.xxhash64("x2", "y2"), F.lit(PARTS)))
-    probes = at.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    probes = edges.spread(at, [*keys, "id"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
     kernel = F.col("m") * F.exp(-0.5 * (F.col("axx") * dx * dx - 2 * F.col("axy") * dx * dy + F.col("ayy") * dy * dy))
     dense = staged(probes.join(sources, [*keys, "_part"]).groupBy(*keys, "id").agg(F.sum(kernel).alias("s")), "kernel-sums")
