@@ -1,6 +1,6 @@
 """The registered queries over the driver tables, and their SQL."""
 
-from quadrille.plans import abundance, cells, clusterings, contrasts, endpoints, graphs, patterns, rounds, space, storage, streams, units, validation  # noqa: F401
+from quadrille.plans import abundance, cells, clusterings, contrasts, endpoints, factors, graphs, patterns, rounds, space, storage, streams, units, validation  # noqa: F401
 from quadrille.plans.common import QUERIES, SQL
 
 FLAGSHIP = "effect_sizes"
