@@ -80,55 +80,57 @@ def symmetric(edges: DataFrame, keys: list[str], weight: Column) -> DataFrame:
     return both.groupBy(*keys, "src", "dst").agg((F.sum("w") / 2).alias("weight"))
 
 
-def feature_knn(vectors: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(keys, src, dst, d2, rank): nearest neighbours in feature space (id, vector) within each key, which bounds the pairs."""
-    right = vectors.select(*keys, F.col("id").alias("dst"), F.col("vector").alias("v2"))
-    off = F.zip_with("vector", "v2", lambda a, b: (a - b) * (a - b))
-    d2 = F.round(F.aggregate(off, F.lit(0.0), lambda s, x: s + x), 9)
-    pairs = vectors.select(*keys, F.col("id").alias("src"), "vector").join(right, keys).filter("src <> dst").select(*keys, "src", "dst", d2.alias("d2"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "src").orderBy("d2", "dst"))).filter(F.col("rank") <= k)
+#: Vectors in a block: block pairs are compared as matrices. Stripes of length that a key is cut in at most.
+VECTORS, STRIPES = 512, 64
 
 
-def correlation_edges(vectors: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """(keys, src, dst, r): pairs of one key whose vectors' Pearson correlation is at least `least` in size, src < dst."""
-    mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / F.size("vector")
-    centred = vectors.withColumn("_m", mean).withColumn("c", F.transform("vector", lambda x: x - F.col("_m")))
-    unit = centred.withColumn("_n", F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))).select(*keys, "id", F.transform("c", lambda x: x / F.col("_n")).alias("u"))
-    right = unit.select(*keys, F.col("id").alias("dst"), F.col("u").alias("u2"))
-    r = tidy(F.aggregate(F.zip_with("u", "u2", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
-    return unit.select(*keys, F.col("id").alias("src"), "u").join(right, keys).filter("src < dst").select(*keys, "src", "dst", r.alias("r")).filter(F.abs("r") >= least)
-
-
-#: Vectors in a block: block pairs are compared by matrix products.
-VECTORS = 512
-
-
-def _vector_blocks(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(block, ids, vectors) of about VECTORS each, and how many blocks there are."""
-    n = max(1, -(-vectors.count() // VECTORS))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    return staged(vectors.select(block.alias("block"), "id", "vector").groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("vectors")), "vector-blocks"), n
+def _vector_blocks(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block, ids, vectors, low, high): blocks of at most about VECTORS each of vectors (id, vector) of similar length, which lies in low..high.
 
-
-def _block_pairs(vectors: DataFrame, compare, schema: str) -> DataFrame:
-    """compare(ids a, vectors a, ids b, vectors b) of every pair of blocks, both ways; a pair is a row, so pairs spread over tasks."""
+    However many vectors are of one length, a stripe is dealt to as many blocks as its count asks for. Null ids and vectors, and vectors with a null entry, are left out.
+    """
+    whole = F.col("id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    v = vectors.filter(whole).select(*keys, "id", "vector", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("_length"))
+    cuts = v.groupBy(*keys).agg(F.least(F.lit(STRIPES), F.ceil(F.count(F.lit(1)) / VECTORS)).alias("_used"), F.percentile_approx("_length", [i / STRIPES for i in range(1, STRIPES)], 1000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_length")))
+    v = v.join(cuts, keys).withColumn("_stripe", F.floor(below * F.col("_used") / STRIPES)).drop("_cuts", "_used")
+    parts = v.groupBy(*keys, "_stripe").agg(F.ceil(F.count(F.lit(1)) / VECTORS).alias("_parts"))
+    parts = parts.withColumn("_first", F.sum("_parts").over(Window.partitionBy(*keys).orderBy("_stripe")) - F.col("_parts"))  # a row a stripe
+    v = v.join(parts, [*keys, "_stripe"]).withColumn("block", F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_parts")))
+    made = v.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "vector")).alias("all"), F.min("_length").alias("low"), F.max("_length").alias("high"))
+    return staged(made.select(*keys, "block", F.transform("all", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("all", lambda x: x["vector"])).alias("vectors"), "low", "high"), "vector-blocks")
+
+
+def _block_pairs(vectors: DataFrame, keys: list[str], compare, reach: float | None = None) -> DataFrame:
+    """(keys, src, dst, d) that compare(ids a, vectors a, ids b, vectors b, whether both are one block) gives of each two blocks of a key, once.
+
+    A pair of blocks is a group of its own, so that pairs spread over tasks, and one fits in memory. reach: blocks whose lengths lie farther
+    apart hold no two vectors that near and are not compared.
+    """
     import numpy as np
     import pyarrow as pa
 
-    blocks, n = _vector_blocks(vectors)
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = blocks.select(F.col("ids").alias("ia"), F.col("vectors").alias("va"), every.alias("block"))
-    pairs = left.join(blocks.select("block", F.col("ids").alias("ib"), F.col("vectors").alias("vb")), "block").select("ia", "va", "ib", "vb")
-
-    def run(batches):
-        for whole in batches:
-            for r in range(whole.num_rows):
-                ia, va, ib, vb = (whole.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(4))
-                out = compare(ia, va.reshape(len(ia), -1), ib, vb.reshape(len(ib), -1))
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], names=["src", "dst", "d2"])
-
-    return pairs.mapInArrow(run, schema)
+    by = list(keys) or ["_all"]
+    blocks = _vector_blocks(vectors if keys else vectors.withColumn("_all", F.lit(0)), by)
+    one, other = (blocks.select(*by, *(F.col(c).alias(f"{c}_{n}") for c in ("block", "low", "high"))) for n in "ab")
+    met = one.join(other, by).filter(F.col("block_a") <= F.col("block_b"))
+    if reach is not None:
+        met = met.filter(F.greatest(F.col("low_b") - F.col("high_a"), F.col("low_a") - F.col("high_b")) <= reach + 1e-6)
+    roles = met.select(*by, "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    sides = roles.join(blocks.drop("low", "high"), [*by, "block"])
+
+    def run(key, table):
+        side = {}
+        for r in range(table.num_rows):
+            ids, flat = (table.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("ids", "vectors"))
+            side[table.column("block")[r].as_py()] = ids, flat.reshape(len(ids), -1)
+        a, b = (side[k.as_py()] for k in key[-2:])
+        found = [np.ascontiguousarray(c) for c in compare(*a, *b, len(side) == 1)]
+        same = {k: pa.array([v.as_py()] * len(found[0]), v.type) for k, v in zip(by, key)}
+        return pa.table({**same, "src": pa.array(found[0], pa.int64()), "dst": pa.array(found[1], pa.int64()), "d": pa.array(found[2], pa.float64())})
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in blocks.select(*by).dtypes), "src bigint, dst bigint, d double"])
+    return sides.groupBy(*by, "block_a", "block_b").applyInArrow(run, schema).select(*keys, "src", "dst", "d")
 
 
 def _squared(a, b):
@@ -142,36 +144,61 @@ def _squared(a, b):
     return out
 
 
-def vectors_within(vectors: DataFrame, radius2: float) -> DataFrame:
-    """(src, dst, d2): all pairs (src < dst) of vectors (id, vector) whose squared distance is at most radius2."""
+def _once(ia, ib, which, d):
+    """(src, dst, d) of the marked pairs, src < dst; each once, also where a block meets itself."""
     import numpy as np
 
-    def compare(ia, va, ib, vb):
+    i, j = np.nonzero(which)
+    src, dst, found = np.minimum(ia[i], ib[j]), np.maximum(ia[i], ib[j]), d[i, j]
+    return src, dst, found
+
+
+def vectors_within(vectors: DataFrame, radius2: float, keys: list[str] | None = None) -> DataFrame:
+    """(keys, src, dst, d2): all pairs (src < dst) of a key's vectors (id, vector) whose squared distance is at most radius2."""
+    def compare(ia, va, ib, vb, same):
         d = _squared(va, vb)
-        i, j = np.nonzero((d <= radius2) & (ia[:, None] < ib[None, :]))
-        return ia[i], ib[j], d[i, j]
+        return _once(ia, ib, (d <= radius2) & ((ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])), d)
 
-    return _block_pairs(vectors, compare, "src bigint, dst bigint, d2 double")
+    return _block_pairs(vectors, keys or [], compare, radius2**0.5).withColumnRenamed("d", "d2")
 
 
-def vector_knn(vectors: DataFrame, k: int) -> DataFrame:
-    """(src, dst, d2, rank): the k nearest others of each vector; of each block pair a vector keeps k, so that few rows are ranked."""
+def vector_knn(vectors: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, src, dst, d2, rank): the k nearest others of each vector of its key; of each block pair a vector keeps k, so that few rows are ranked."""
     import numpy as np
 
-    def compare(ia, va, ib, vb):
-        d = _squared(va, vb)
-        d[ia[:, None] == ib[None, :]] = np.inf
+    def nearest(ia, ib, d):
         order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, :k]
-        i = np.repeat(np.arange(len(ia)), order.shape[1])
-        j = order.ravel()
+        i, j = np.repeat(np.arange(len(ia)), order.shape[1]), order.ravel()
         kept = np.isfinite(d[i, j])
         return ia[i[kept]], ib[j[kept]], d[i[kept], j[kept]]
 
-    found = _block_pairs(vectors, compare, "src bigint, dst bigint, d2 double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst")).cast("bigint"))
+    def compare(ia, va, ib, vb, same):
+        d = _squared(va, vb)
+        d[ia[:, None] == ib[None, :]] = np.inf
+        there = nearest(ia, ib, d)
+        return there if same else tuple(np.concatenate(c) for c in zip(there, nearest(ib, ia, d.T)))
+
+    found = _block_pairs(vectors, keys or [], compare).withColumnRenamed("d", "d2")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*(keys or []), "src").orderBy("d2", "dst")).cast("bigint"))
     return ranked.filter(F.col("rank") <= k)
 
 
+def correlation_edges(vectors: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(keys, src, dst, r): pairs of one key whose vectors' Pearson correlation is at least `least` in size, src < dst; a vector without spread has none."""
+    import numpy as np
+
+    mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / F.size("vector")
+    centred = vectors.withColumn("_m", mean).withColumn("c", F.transform("vector", lambda x: x - F.col("_m")))
+    size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
+    unit = centred.withColumn("_n", size).select(*keys, "id", F.transform("c", lambda x: F.try_divide(x, F.col("_n"))).alias("vector"))
+
+    def compare(ia, va, ib, vb, same):
+        r = va @ vb.T
+        return _once(ia, ib, (np.abs(r) >= least - 1e-5) & ((ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])), r)
+
+    return _block_pairs(unit, keys, compare).withColumn("r", tidy("d")).drop("d").filter(F.abs("r") >= least)
+
+
 def spatially_weighted(graph: DataFrame, near: DataFrame, keys: list[str], share: float, sigma: float) -> DataFrame:
     """(keys, src, dst, weight): the graph's weights times 1 - share plus share times a Gaussian of the distance; near: pairs beyond which that counts as nil."""
     gauss = near.select(*keys, "src", "dst", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("_s"))

@@ -32,7 +32,8 @@ def region_difference(df: DataFrame, keys: list[str], flag: Column, value: str)
 def otsu(long: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
     """(keys, threshold): centre of the histogram bin that separates two classes best."""
     w = Window.partitionBy(*keys)
-    ranged = long.select(*keys, F.col(value).alias("v"), F.min(value).over(w).alias("lo"), F.max(value).over(w).alias("hi"))
+    ends = long.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ranged = long.select(*keys, F.col(value).alias("v")).join(ends, keys)
     binned = ranged.withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).filter("hi > lo")
     hist = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     up = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)

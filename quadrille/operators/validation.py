@@ -75,11 +75,13 @@ def batch_gate(history: DataFrame, batch: str, value: str) -> DataFrame:
 def trend_gate(history: DataFrame, keys: list[str], order: list[str], value: str, window: int = TREND_WINDOW) -> DataFrame:
     """(keys, slope, recent_mean, trend_decision) of each key's last `window` values: ABORT for a steep decline or a low level.
 
-    The last values are found by one aggregate that keeps the largest places, not by a window over all rows.
+    The last rows are told by rank, of which each task keeps `window` before anything is shuffled; only those are gathered. Rows that agree in
+    key, order and value are alike.
     """
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in [*order, value])))
+    few = history.select(*keys, *order, value).withColumn("_r", last).filter(F.col("_r") <= window)
     place = F.struct(*order, F.col(value).alias("_v"))
-    last = history.groupBy(*keys, F.pmod(F.xxhash64(*order), F.lit(64)).alias("_part")).agg(F.slice(F.sort_array(F.collect_list(place), asc=False), 1, window).alias("_top"))
-    whole = last.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top")), asc=False), 1, window).alias("_top"))
+    whole = few.groupBy(*keys).agg(F.sort_array(F.collect_list(place), asc=False).alias("_top"))
     v = F.transform(F.reverse("_top"), lambda s: s["_v"])
     n = F.size("_top")
     mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n

@@ -212,7 +212,7 @@ def positive_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, src, dst, round(d2, 6) AS d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM p QUALIFY rank <= 5""")
 def feature_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return rounded(edges.feature_knn(v, ["label"], 5).select("label", "src", "dst", "d2", F.col("rank").cast("bigint").alias("rank")))
+    return rounded(edges.vector_knn(v, 5, ["label"]))
 
 
 @query("""WITH c AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE - list_avg(embedding::DOUBLE[])) AS c FROM embeddings),

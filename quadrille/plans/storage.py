@@ -27,7 +27,7 @@ def _pixel_files(spark: SparkSession, sf_dir: str) -> str:
     """Tab-separated files of all pixels, a folder a region."""
     path = new_path(spark, "pixels")
     px = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr(_PUSH).alias("Start_push"), *(F.expr(e).alias(c) for c, e in virtual.PIXEL_COLUMNS.items()))
-    px.withColumnsRenamed({"x": "X", "y": "Y", **HEADERS}).write.option("sep", "\t").option("header", True).partitionBy("roi").csv(path)
+    px.withColumnsRenamed({"x": "X", "y": "Y", **HEADERS}).repartition("roi").write.option("sep", "\t").option("header", True).partitionBy("roi").csv(path)
     return path
 
 
@@ -135,13 +135,13 @@ def region_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.with_metadata(named, files.metadata_table(spark, path)).drop("name")
 
 
-@query(f"WITH {BASE_SQL} SELECT roi, spx, {r6('x', 'x')}, {r6('y', 'y')}, {r6('cd45', 'cd45')}, {r6('cd44', 'cd44')}, 'type' || (spx % 5) AS cell_type, round((spx % 11) / 10.0, 6) AS confidence, timepoint, mouse, region FROM ex")
+@query(f"WITH {BASE_SQL} SELECT roi, spx, {r6('x', 'x')}, {r6('y', 'y')}, {', '.join(r6(m, m) for m in MARKERS)}, 'type' || (spx % 5) AS cell_type, round((spx % 11) / 10.0, 6) AS confidence, timepoint, mouse, region FROM ex")
 def annotated_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Superpixels with their annotations, both read from files, joined one to one, the design joined on."""
     df = units(spark, sf_dir)
     at = new_path(spark, "annotations"), new_path(spark, "superpixels")
-    df.select("roi", "spx", F.concat(F.lit("type"), (F.col("spx") % 5).cast("string")).alias("cell_type"), (F.col("spx") % 11 / 10.0).alias("confidence")).write.partitionBy("roi").parquet(at[0])
-    df.select("roi", "spx", "x", "y", "cd45", "cd44").write.partitionBy("roi").parquet(at[1])
+    df.select("roi", "spx", F.concat(F.lit("type"), (F.col("spx") % 5).cast("string")).alias("cell_type"), (F.col("spx") % 11 / 10.0).alias("confidence")).repartition("roi").write.partitionBy("roi").parquet(at[0])
+    df.select("roi", "spx", "x", "y", *MARKERS).repartition("roi").write.partitionBy("roi").parquet(at[1])
     joined = files.one_to_one(spark.read.parquet(at[1]), spark.read.parquet(at[0]), ["roi", "spx"])
     return rounded(virtual.with_design(joined))
 

@@ -189,3 +189,35 @@ def test_windows_of_a_stream(spark):
     assert sorted((r["k"], r["window"]["start"].hour, r["n"], r["mean"]) for r in w.collect()) == [("a", 0, 2, 2.0), ("a", 8, 1, 5.0), ("b", 0, 1, 7.0)]
     s = history.drained(history.sessions(stream(), ["k"], "t", "3 hours"), "s")
     assert sorted((r["k"], r["n"]) for r in s.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_vectors_by_blocks_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(edges, "VECTORS", 5)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)).round(2) * rng.choice([1.0, 5.0], (60, 1))
+    x[:20] = x[0]  # a third of one text, at one length
+    x[59] = 1.5  # without spread
+    key = ["a" if i < 40 else "b" for i in range(60)]
+    hostile = [("a", 100, None), ("a", 101, [None, 1.0, 1.0, 1.0]), ("b", None, [1.0] * 4), ("c", 102, [1.0] * 4)]
+    df = spark.createDataFrame([(k, i, [float(v) for v in r]) for i, (k, r) in enumerate(zip(key, x))] + hostile, "k string, id bigint, vector array<double>")
+    d = {(i, j): round(float(((x[i] - x[j]) ** 2).sum()), 9) for i in range(60) for j in range(60) if i != j and key[i] == key[j]}
+    got = {}
+    for r in edges.vector_knn(df, 4, ["k"]).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: [j for _, j in sorted((v, j) for (a, j), v in d.items() if a == i)[:4]] for i in range(60)}
+    near = edges.vectors_within(df, 3.0, ["k"]).collect()
+    assert len(near) == len({(r["src"], r["dst"]) for r in near})
+    assert {(r["k"], r["src"], r["dst"]): r["d2"] for r in near} == {(key[i], i, j): v for (i, j), v in d.items() if i < j and v <= 3.0}
+    u = (x - x.mean(axis=1, keepdims=True))[:59]
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    alike = {(r["src"], r["dst"]): r["r"] for r in edges.correlation_edges(df, ["k"], 0.5).collect()}
+    assert alike == {(i, j): pytest.approx(u[i] @ u[j], abs=1e-5) for (i, j) in d if i < j < 59 and abs(u[i] @ u[j]) >= 0.5}
+
+
+def test_last_values_of_a_key(spark):
+    from quadrille.operators import validation
+
+    rows = [(k, i % 30, i, float(i % 7) / 10) for k in "ab" for i in range(90)] + [("c", 1, 1, 0.5)]
+    got = {r["k"]: (r["slope"], r["recent_mean"]) for r in validation.trend_gate(spark.createDataFrame(rows, "k string, t int, i int, q double").repartition(7), ["k"], ["t", "i"], "q", 5).collect()}
+    last = [q for _, _, q in sorted((t, i, q) for k, t, i, q in rows if k == "a")[-5:]]
+    assert got["a"] == got["b"] == (pytest.approx(np.polyfit(range(5), last, 1)[0]), pytest.approx(np.mean(last))) and got["c"] == (None, None)
