@@ -235,12 +235,18 @@ _TG = "tg AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{m}', {g})" for t,
 _LINEAGE_SQL = "CASE WHEN contains(cell_type, 'endothelial') THEN 'endothelial' WHEN contains(cell_type, 'fibroblast') THEN 'stromal' WHEN bool_or(marker = 'cd45') THEN 'immune' ELSE 'unknown' END"
 
 
-@query(f"WITH {_TG} SELECT cell_type, count(*) AS n_markers, string_agg(marker, '|' ORDER BY marker) AS markers, {_LINEAGE_SQL} AS lineage FROM tg GROUP BY cell_type")
+@query(f"""WITH {GATED_SQL}, {_TG}, m AS (SELECT cell_type, count(*) AS n_markers, string_agg(marker, '|' ORDER BY marker) AS markers, {_LINEAGE_SQL} AS lineage FROM tg GROUP BY cell_type),
+u AS (SELECT cell_type, count(*) AS n, count(DISTINCT roi) AS r, {', '.join(f'avg({m}) AS {m}' for m in MARKERS)} FROM labelled GROUP BY cell_type),
+s AS (SELECT cell_type, avg(level) AS level FROM (UNPIVOT u ON {', '.join(MARKERS)} INTO NAME marker VALUE level) JOIN tg USING (cell_type, marker) GROUP BY cell_type)
+SELECT cell_type, n_markers, markers, lineage, coalesce(n, 0) AS n_units, coalesce(r, 0) AS n_regions, round(level, 6) AS level FROM m LEFT JOIN u USING (cell_type) LEFT JOIN s USING (cell_type)""")
 def type_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positive markers of each type, and its lineage by its family's name or else by its markers."""
-    df = spark.createDataFrame(_TYPE_GENES, "cell_type string, marker string, gene bigint")
-    s = df.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_markers"), F.concat_ws("|", F.array_sort(F.collect_list("marker"))).alias("markers"))
-    return s.withColumn("lineage", knowledge.lineage_of(F.col("cell_type"), F.split("markers", r"\|")))
+    """Positive markers of each type, its lineage by its family's name or else by its markers; the units gated as such, their regions, and these markers' mean level in them."""
+    known = spark.createDataFrame(_TYPE_GENES, "cell_type string, marker string, gene bigint")
+    s = known.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_markers"), F.concat_ws("|", F.array_sort(F.collect_list("marker"))).alias("markers"))
+    s = s.withColumn("lineage", knowledge.lineage_of(F.col("cell_type"), F.split("markers", r"\|")))
+    found = staged(gated(spark, sf_dir).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_units"), F.count_distinct("roi").alias("n_regions"), *(F.avg(m).alias(m) for m in MARKERS)), "gated-types")
+    level = found.unpivot(["cell_type"], MARKERS, "marker", "v").join(known, ["cell_type", "marker"]).groupBy("cell_type").agg(F.avg("v").alias("level"))
+    return rounded(s.join(found.select("cell_type", "n_units", "n_regions"), "cell_type", "left").join(level, "cell_type", "left").na.fill(0, ["n_units", "n_regions"]))
 
 
 @query(f"""WITH {_PAIRSUM}, {_TG}, p AS (SELECT DISTINCT a.cell_type, least(a.gene, b.gene) AS a, greatest(a.gene, b.gene) AS b FROM tg a JOIN tg b ON a.cell_type = b.cell_type AND a.gene < b.gene), f AS (SELECT cell_type, count(*) AS n_pairs, coalesce(max(evidence), 0) AS evidence, coalesce(max(belief), 0) AS belief FROM p LEFT JOIN ps USING (a, b) GROUP BY cell_type)
