@@ -102,16 +102,24 @@ def neighbour_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours.supported_means(delta, ["roi", "interface"], [f"d_{n}" for n in names], 20))
 
 
-@query(f"""WITH {SCORED_SQL}, {knn_sql('scored')}, d AS (SELECT e.roi, e.src, any_value(a.interface) AS interface, any_value(a.timepoint) AS timepoint, any_value(a.mouse) AS mouse, avg(b.lineage_immune) - any_value(a.lineage_immune) AS d FROM e JOIN scored a ON e.roi = a.roi AND e.src = a.spx JOIN scored b ON e.roi = b.roi AND e.dst = b.spx GROUP BY e.roi, e.src),
-r AS (SELECT roi, interface, timepoint, mouse, CASE WHEN count(*) >= 20 THEN avg(d) END AS d, count(*) AS n FROM d GROUP BY ALL), m AS (SELECT interface, timepoint, mouse, avg(d) AS d, sum(n) AS n FROM r GROUP BY ALL),
-full_ AS (SELECT interface FROM m GROUP BY interface HAVING count(DISTINCT CASE WHEN d IS NOT NULL THEN timepoint END) = 4)
-SELECT interface, timepoint, mouse, round(d, 6) AS d_lineage_immune, n::BIGINT AS n, round(d - avg(CASE WHEN timepoint = 'Sham' THEN d END) OVER (PARTITION BY interface), 6) AS d_lineage_immune_delta FROM m SEMI JOIN full_ USING (interface) WHERE d IS NOT NULL""")
+_SCORES = ["lineage_immune", "lineage_endothelial", "lineage_stromal"]
+
+
+@query(f"""WITH {SCORED_SQL}, {knn_sql('scored')}, d AS (SELECT e.roi, e.src, any_value(a.interface) AS interface, any_value(a.timepoint) AS timepoint, any_value(a.mouse) AS mouse, {', '.join(f'avg(b.{v}) - any_value(a.{v}) AS d_{v}' for v in _SCORES)} FROM e JOIN scored a ON e.roi = a.roi AND e.src = a.spx JOIN scored b ON e.roi = b.roi AND e.dst = b.spx GROUP BY e.roi, e.src),
+r AS (SELECT roi, interface, timepoint, mouse, {', '.join(f'CASE WHEN count(*) >= 20 THEN avg(d_{v}) END AS d_{v}' for v in _SCORES)}, count(*) AS n FROM d GROUP BY ALL), m AS (SELECT interface, timepoint, mouse, {', '.join(f'avg(d_{v}) AS d_{v}' for v in _SCORES)}, sum(n) AS n FROM r GROUP BY ALL),
+full_ AS (SELECT interface FROM m GROUP BY interface HAVING count(DISTINCT CASE WHEN d_lineage_immune IS NOT NULL THEN timepoint END) = 4)
+SELECT interface, timepoint, mouse, n::BIGINT AS n, {', '.join(f"round(d_{v}, 6) AS d_{v}, round(d_{v} - avg(CASE WHEN timepoint = 'Sham' THEN d_{v} END) OVER (PARTITION BY interface), 6) AS d_{v}_delta" for v in _SCORES)} FROM m SEMI JOIN full_ USING (interface) WHERE d_lineage_immune IS NOT NULL""")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far neighbours differ from a unit in each lineage's score, by interface, timepoint and subject, and that less the control's."""
     df = kept(with_interface(scored(spark, sf_dir)))
-    delta = neighbours.neighbour_minus_self(df.select("roi", F.col("spx").alias("id"), "interface", "lineage_immune"), knn(df), ["roi"], ["lineage_immune"])
-    per_roi = virtual.with_design(neighbours.supported_means(delta, ["roi", "interface"], ["d_lineage_immune"], 20))
-    mice = per_roi.groupBy("interface", "timepoint", "mouse").agg(F.avg("d_lineage_immune").alias("d_lineage_immune"), F.sum("n").alias("n")).filter("d_lineage_immune IS NOT NULL")
-    return rounded(neighbours.minus_control(neighbours.complete_trajectories(mice, "interface", "timepoint", 4), ["interface"], "timepoint", "Sham", "d_lineage_immune"))
+    delta = neighbours.neighbour_minus_self(df.select("roi", F.col("spx").alias("id"), "interface", *_SCORES), knn(df), ["roi"], _SCORES)
+    found = [f"d_{v}" for v in _SCORES]
+    per_roi = virtual.with_design(neighbours.supported_means(delta, ["roi", "interface"], found, 20))
+    mice = per_roi.groupBy("interface", "timepoint", "mouse").agg(*(F.avg(v).alias(v) for v in found), F.sum("n").alias("n")).filter("d_lineage_immune IS NOT NULL")  # support is of a unit, so of all scores or none
+    out = neighbours.complete_trajectories(mice, "interface", "timepoint", 4)
+    for v in found:
+        out = neighbours.minus_control(out, ["interface"], "timepoint", "Sham", v)
+    return rounded(out)
 
 
 def _moran_sql(values: list[str]) -> str:

@@ -198,17 +198,17 @@ def nested_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flat.toDF("key", "nation", "balance", "letters"))
 
 
-@query(f"""WITH {BASE_SQL}, m AS (SELECT timepoint, mouse, region, avg(cd44) AS v, count(*) AS n FROM ex GROUP BY ALL)
-SELECT 'mouse' AS level, timepoint, mouse, 'pooled' AS region, round(avg(v), 6) AS cd44, sum(n)::BIGINT AS n FROM m GROUP BY timepoint, mouse UNION ALL SELECT 'mouse_region', timepoint, mouse, region, round(v, 6), n FROM m""")
+@query(f"""WITH {BASE_SQL}, m AS (SELECT timepoint, mouse, region, {', '.join(f'avg({v}) AS {v}' for v in MARKERS)}, count(*) AS n FROM ex GROUP BY ALL)
+SELECT 'mouse' AS level, timepoint, mouse, 'pooled' AS region, {', '.join(f'round(avg({v}), 6) AS {v}' for v in MARKERS)}, sum(n)::BIGINT AS n FROM m GROUP BY timepoint, mouse UNION ALL SELECT 'mouse_region', timepoint, mouse, region, {', '.join(f'round({v}, 6)' for v in MARKERS)}, n FROM m""")
 def product_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two slices of one product, each written to a file of its own, read back with a tag of where they come from."""
-    base = units(spark, sf_dir).groupBy("timepoint", "mouse", "region").agg(F.avg("cd44").alias("v"), F.count(F.lit(1)).alias("n"))
-    product = staged(base.groupingSets([["timepoint", "mouse"], ["timepoint", "mouse", "region"]], "timepoint", "mouse", "region").agg(F.avg("v").alias("cd44"), F.sum("n").alias("n"), F.grouping("region").alias("g")), "product")
+    base = units(spark, sf_dir).groupBy("timepoint", "mouse", "region").agg(*(F.avg(v).alias(v) for v in MARKERS), F.count(F.lit(1)).alias("n"))
+    product = staged(base.groupingSets([["timepoint", "mouse"], ["timepoint", "mouse", "region"]], "timepoint", "mouse", "region").agg(*(F.avg(v).alias(v) for v in MARKERS), F.sum("n").alias("n"), F.grouping("region").alias("g")), "product")
     out = None
     for level, g in (("mouse", 1), ("mouse_region", 0)):
         path = new_path(spark, level)
-        sinks.save(product.filter(F.col("g") == g).select("timepoint", "mouse", F.coalesce("region", F.lit("pooled")).alias("region"), "cd44", "n"), path, "csv", compress=False)
-        one = sinks.load(spark, path, "csv", "timepoint string, mouse string, region string, cd44 double, n bigint").select(F.lit(level).alias("level"), "*")
+        sinks.save(product.filter(F.col("g") == g).select("timepoint", "mouse", F.coalesce("region", F.lit("pooled")).alias("region"), *MARKERS, "n"), path, "csv", compress=False)
+        one = sinks.load(spark, path, "csv", f"timepoint string, mouse string, region string, {', '.join(f'{v} double' for v in MARKERS)}, n bigint").select(F.lit(level).alias("level"), "*")
         out = one if out is None else out.unionByName(one)
     return rounded(out)
 
