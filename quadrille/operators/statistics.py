@@ -21,6 +21,19 @@ def correlations(df: DataFrame, keys: list[str], a: str, b: str, least: int = 10
     return made.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("pearson", "spearman")})
 
 
+def all_correlations(df: DataFrame, keys: list[str], values: list[str], least: int = 10) -> DataFrame:
+    """(keys, a, b, n, pearson, spearman) of each two values, over rows in which all are there; null below `least` rows.
+
+    Each value is ranked once, wherever its rows already lie for their keys; pairs are made only on the way into one aggregate.
+    """
+    whole = df.select(*keys, *values).dropna(subset=values)
+    ranked = whole.withColumns({f"_r_{v}": average_rank(v, keys) for v in values})
+    pair = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("va"), F.col(b).alias("vb"), F.col(f"_r_{a}").alias("ra"), F.col(f"_r_{b}").alias("rb"))
+    pairs = ranked.select(*keys, F.explode(F.array(*(pair(a, b) for i, a in enumerate(values) for b in values[i + 1 :]))).alias("_p")).select(*keys, "_p.*")
+    made = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("pearson"), F.corr("ra", "rb").alias("spearman"))
+    return made.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("pearson", "spearman")})
+
+
 def region_difference(df: DataFrame, keys: list[str], flag: Column, value: str) -> DataFrame:
     """Mean and population spread inside and outside a flag, and their standardised difference (0 without spread)."""
     side = lambda c, f: F.when(c, F.col(value)) if f else F.when(~c, F.col(value))

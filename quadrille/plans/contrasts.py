@@ -211,7 +211,7 @@ def batch_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRED_SQL}, r AS (SELECT roi, a, b, va, vb, rank() OVER (PARTITION BY roi, a, b ORDER BY va) + (count(*) OVER (PARTITION BY roi, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY roi, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY roi, a, b, vb) - 1) / 2.0 AS rb FROM pm)
 SELECT roi, a, b, count(*) AS n, round(corr(va, vb), 6) AS pearson, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY roi, a, b""")
 def marker_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.correlations(paired(units(spark, sf_dir)), ["roi", "a", "b"], "va", "vb"))
+    return rounded(statistics.all_correlations(units(spark, sf_dir), ["roi"], MARKERS))
 
 
 @query(f"""WITH {PAIRED_SQL}, s AS (SELECT roi, a, b, avg(vb) FILTER (va > 2) AS mi, avg(vb) FILTER (NOT va > 2) AS mo, stddev_pop(vb) FILTER (va > 2) AS si, stddev_pop(vb) FILTER (NOT va > 2) AS so, count(vb) FILTER (va > 2) AS ni, count(vb) FILTER (NOT va > 2) AS no_ FROM pm GROUP BY ALL)

@@ -197,3 +197,17 @@ def test_queries_against_numpy(spark, sf):
     modules = QUERIES["marker_modules"](spark, sf).collect()
     assert len(modules) == 2 * plans.MODULES * len(plans.MARKERS) and sum(r["member"] for r in modules) == 2 * plans.MODULES * 2
     assert QUERIES["module_scores"](spark, sf).filter("module_0 IS NULL OR module_0 < 0").count() == 0
+
+
+def test_all_correlations_leave_out_rows_with_holes(spark):
+    from quadrille.operators import statistics
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(40, 3)) * 2)  # ties
+    rows = [("k", *map(float, r)) for r in x] + [("k", None, 9.0, 9.0), ("few", 1.0, 2.0, 3.0)]
+    got = {(r["key"], r["a"], r["b"]): r for r in statistics.all_correlations(spark.createDataFrame(rows, "key string, v0 double, v1 double, v2 double"), ["key"], NAMES[:3]).collect()}
+    place = np.array([[(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c] for c in x.T])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        r = got["k", NAMES[i], NAMES[j]]
+        assert (r["n"], r["pearson"], r["spearman"]) == (40, pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1]), pytest.approx(np.corrcoef(place[i], place[j])[0, 1]))
+        assert got["few", NAMES[i], NAMES[j]]["pearson"] is None
