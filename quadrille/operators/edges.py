@@ -187,16 +187,18 @@ def correlation_edges(vectors: DataFrame, keys: list[str], least: float) -> Data
     """(keys, src, dst, r): pairs of one key whose vectors' Pearson correlation is at least `least` in size, src < dst; a vector without spread has none."""
     import numpy as np
 
-    mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / F.size("vector")
-    centred = vectors.withColumn("_m", mean).withColumn("c", F.transform("vector", lambda x: x - F.col("_m")))
-    size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-    unit = centred.withColumn("_n", size).select(*keys, "id", F.transform("c", lambda x: F.try_divide(x, F.col("_n"))).alias("vector"))
+    def unit(v):
+        c = v - v.mean(axis=1, keepdims=True)
+        length = np.sqrt((c * c).sum(axis=1, keepdims=True))
+        return np.divide(c, length, out=np.zeros_like(c), where=length > 0), length[:, 0] > 0
 
     def compare(ia, va, ib, vb, same):
-        r = va @ vb.T
-        return _once(ia, ib, (np.abs(r) >= least - 1e-5) & ((ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])), r)
+        (ua, a), (ub, b) = unit(va), unit(vb)
+        r = ua @ ub.T
+        apart = (ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])
+        return _once(ia, ib, (np.abs(r) >= least - 1e-5) & apart & a[:, None] & b[None, :], r)
 
-    return _block_pairs(unit, keys, compare).withColumn("r", tidy("d")).drop("d").filter(F.abs("r") >= least)
+    return _block_pairs(vectors, keys, compare).withColumn("r", tidy("d")).drop("d").filter(F.abs("r") >= least)
 
 
 def spatially_weighted(graph: DataFrame, near: DataFrame, keys: list[str], share: float, sigma: float) -> DataFrame:
