@@ -65,8 +65,9 @@ def _weights(reach: float) -> dict[str, Column]:
 
 
 def k_functions(points: DataFrame, keys: list[str], radii: list[float], mark: str | None = None, intensity: str | None = None, areas: DataFrame | None = None) -> DataFrame:
-    """(keys, radius, n, k_<correction>, l_<correction>): Ripley's K and L of points (id, x, y) under each of CORRECTIONS.
+    """(keys, radius, n, pairs, k_<correction>, l_<correction>): Ripley's K and L of points (id, x, y) under each of CORRECTIONS.
 
+    pairs: how many pairs of points are at most the radius apart; where there are none, K is 0.
     mark: pairs count the product of their marks, over the squared sum of all. intensity: pairs count one over the product of their
     intensities. The window is the points' bounding box; areas (keys, area) replaces its area, as a mask does. A pair's
     corrections are those at its point of smaller id; the border keeps points that are the largest radius away from every side.
@@ -85,7 +86,7 @@ def k_functions(points: DataFrame, keys: list[str], radii: list[float], mark: st
     pairs = edges.within(staged(placed, "placed"), keys, radii[-1], carry=["_w", "_e", "_s", "_n", "_f"]).filter("src < dst")
     # A pair is counted once, at the first radius that holds it; larger radii add up.
     first = F.coalesce(*(F.when(F.col("d2") <= r * r, r) for r in radii))
-    sums = pairs.groupBy(*keys, first.alias("radius")).agg(*(F.sum(F.col("_f_src") * F.col("_f_dst") * w).alias(c) for c, w in _weights(radii[-1]).items()))
+    sums = pairs.groupBy(*keys, first.alias("radius")).agg(F.count(F.lit(1)).alias("_pairs"), *(F.sum(F.col("_f_src") * F.col("_f_dst") * w).alias(c) for c, w in _weights(radii[-1]).items()))
     every = window.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).join(sums, [*keys, "radius"], "left")
     area = (F.col("_hix") - F.col("_lox")) * (F.col("_hiy") - F.col("_loy"))
     if areas is not None:
@@ -93,7 +94,8 @@ def k_functions(points: DataFrame, keys: list[str], radii: list[float], mark: st
     up = Window.partitionBy(*keys).orderBy("radius").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = F.when(F.col("_total") != 0, 1 / (F.col("_total") * F.col("_total"))) if mark else 1 / F.col("n")
     k = every.withColumns({f"k_{c}": F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(up) * share * area for c in CORRECTIONS})
-    return k.select(*keys, "radius", "n", *(f"k_{c}" for c in CORRECTIONS), *((F.sqrt(F.col(f"k_{c}") / F.pi()) - F.col("radius")).alias(f"l_{c}") for c in CORRECTIONS))
+    k = k.withColumn("pairs", F.sum(F.coalesce("_pairs", F.lit(0))).over(up))
+    return k.select(*keys, "radius", "n", "pairs", *(f"k_{c}" for c in CORRECTIONS), *((F.sqrt(F.col(f"k_{c}") / F.pi()) - F.col("radius")).alias(f"l_{c}") for c in CORRECTIONS))
 
 
 def drawn(seed: int, most: Column, *parts: Column | str) -> Column:

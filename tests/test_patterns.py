@@ -105,3 +105,13 @@ def test_block_bootstrap_by_hand(spark, height, width, block):
     got = point_patterns.block_bootstrap(spark.createDataFrame(rows, "roi int, row int, col int, v double"), ["roi"], ["v"], height, width, block, 6, 7).first()
     m, s = np.array(made).T
     assert (got["mean"], got["mean_sd"], got["spread"], got["spread_sd"]) == pytest.approx((m.mean(), m.std(), s.mean(), s.std()), abs=1e-9)
+
+
+def test_radii_without_pairs_are_told(spark):
+    """Three points 20 apart in a row: no pair at 10; SQL of the queries has no row there."""
+    from quadrille.plans import patterns
+
+    grid = spark.createDataFrame([(1, i, 20.0 * i, float(i % 2), 1.0) for i in range(3)], PLACES)
+    made = point_patterns.k_functions(grid, ["roi"], [10.0, 25.0, 50.0])
+    assert [(r["radius"], r["pairs"]) for r in made.orderBy("radius").collect()] == [(10.0, 0), (25.0, 2), (50.0, 3)]
+    assert [r["radius"] for r in patterns._met(made).orderBy("radius").collect()] == [25.0, 50.0]
