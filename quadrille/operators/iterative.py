@@ -16,6 +16,9 @@ from quadrille.functions.folders import shared_dir
 #: Parts of the nodes that move in turn.
 TURNS = 4
 
+#: Links of a key up to which its turns are taken in one group; a key with more takes each of them by joins. Cycles of turns that a job takes.
+TOGETHER, CYCLES = 1 << 20, 64
+
 
 def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactness: float = 10.0, rounds: int = 10) -> DataFrame:
     """(keys, x, y, label): simple linear iterative clustering of pixels by place and signal.
@@ -76,6 +79,61 @@ def communities(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     shared_dir(edges.sparkSession)
     links = edges.select(*keys, "src", "dst", "weight").checkpoint()
+    wide = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TOGETHER).select(*keys).checkpoint()
+    if wide.isEmpty():
+        labels = _moved_together(links, keys)
+    else:
+        labels = _moved_together(links.join(wide, keys, "left_anti"), keys).unionByName(_moved_by_joins(links.join(wide, keys, "left_semi").checkpoint(), keys))
+    names = labels.groupBy(*keys, "label").agg(F.min("id").alias("_name"))
+    return labels.join(names, [*keys, "label"]).select(*keys, "id", F.col("_name").alias("label"))
+
+
+def _moved_together(links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, label) when no node moves any more: a key's turns, those that joins would take, follow one another in its group.
+
+    A key is at rest after a cycle in which none of its nodes moved, whatever others do; keys that are not yet are dealt to another job.
+    """
+    def run(nodes: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("id", ignore_index=True)
+        ids, n = nodes["id"].to_numpy(), len(nodes)
+        src, dst, weight = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), e["weight"].to_numpy(float)
+        label, turns, moved = np.searchsorted(ids, nodes["label"]), np.stack(nodes["turns"].to_numpy()), n > 0
+        for cycle in range(CYCLES if n else 0):
+            moved = False
+            for turn in range(TURNS):
+                mine = turns[src, cycle] == turn
+                pairs, at = np.unique(src[mine] * n + label[dst[mine]], return_inverse=True)
+                w = np.round(np.bincount(at, weight[mine], len(pairs)), 9)
+                node, near = np.divmod(pairs, n)
+                own = np.zeros(n)
+                own[node[near == label[node]]] = w[near == label[node]]
+                order = np.lexsort((near, -w, node))
+                best = order[np.flatnonzero(np.diff(node[order], prepend=-1))]
+                best = best[w[best] > own[node[best]]]
+                label[node[best]] = near[best]
+                moved |= len(best) > 0
+            if not moved:
+                break
+        return nodes[keys].assign(id=ids, label=ids[label], moving=moved)
+
+    kinds = dict(links.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"id {kinds['src']}, label {kinds['src']}, moving boolean"])
+    state = links.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    out, first = None, 0
+    while True:
+        turns = F.transform(F.sequence(F.lit(first), F.lit(first + CYCLES - 1)), lambda c: F.pmod(F.xxhash64(c, F.col("id")), F.lit(TURNS)))
+        left, right = state.withColumn("turns", turns).groupBy(*keys), links.select(*(F.col(k).alias(f"_{k}") for k in keys), "src", "dst", "weight").groupBy(*(f"_{k}" for k in keys))
+        made = left.cogroup(right).applyInPandas(run, schema).checkpoint()
+        rest = made.filter("NOT moving").drop("moving")
+        out = rest if out is None else out.unionByName(rest)
+        state, first = made.filter("moving").drop("moving"), first + CYCLES
+        if state.isEmpty():
+            return out
+        links = links.join(state.select(*keys).distinct(), keys, "left_semi")
+
+
+def _moved_by_joins(links: DataFrame, keys: list[str]) -> DataFrame:
+    """As _moved_together, each turn by joins: for keys that no task should hold."""
     labels = links.select(*keys, F.col("src").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
     turn, moved = 0, True
     while moved or turn % TURNS:  # ends with a cycle in which no node of any part moved
@@ -88,8 +146,7 @@ def communities(edges: DataFrame, keys: list[str]) -> DataFrame:
         now = labels.join(best, [*keys, "id"], "left").join(own, [*keys, "id", "label"], "left").select(*keys, "id", F.col("label").alias("old"), F.when(moves, -F.col("m.back")).otherwise(F.col("label")).alias("label")).checkpoint()
         moved |= not now.filter("old <> label").isEmpty()
         labels, turn = now.drop("old"), turn + 1
-    names = labels.groupBy(*keys, "label").agg(F.min("id").alias("_name"))
-    return labels.join(names, [*keys, "label"]).select(*keys, "id", F.col("_name").alias("label"))
+    return labels
 
 
 def modularity(edges: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -95,3 +95,17 @@ def test_labellings_of_one_label_are_not_ranked(spark, tmp_path):
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
         want = [r[0] for r in con.execute(f"SELECT method FROM ({SQL['method_ranks']}) ORDER BY place").fetchall()]
     assert got == want and "dominant" not in got
+
+
+def test_communities_alike_in_groups_and_by_joins(spark, monkeypatch):
+    """Keys in one group, by joins and in many short jobs end with the same labels."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(a), int(b), round(float(w), 3)) for k in (1, 2, 3) for a, b, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.uniform(0.1, 1, 150)) if a != b]
+    graph = spark.createDataFrame(rows, "roi int, src bigint, dst bigint, weight double")
+    graph = edges.symmetric(graph, ["roi"], graph["weight"])
+    found = []
+    for together, cycles in ((1 << 20, 64), (1 << 20, 1), (0, 64)):
+        monkeypatch.setattr(iterative, "TOGETHER", together)
+        monkeypatch.setattr(iterative, "CYCLES", cycles)
+        found.append(sorted(map(tuple, iterative.communities(graph, ["roi"]).collect())))
+    assert found[0] == found[1] == found[2] and len({label for _, _, label in found[0]}) > 3
