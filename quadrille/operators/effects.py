@@ -92,7 +92,9 @@ def rank_sums(df: DataFrame, endpoint: list[str], group: str, value: str, contra
     Exact, by how many choices of ranks give each U, for groups of EXACT subjects at most; by the normal
     approximation, with corrections for ties and continuity, for larger ones; null below two.
     """
-    df = staged(df.select(*endpoint, group, value), "subjects")
+    # Means of the same numbers in another order differ in the last digits; they are ties.
+    same = F.format_string("%.12e", F.col(value).cast("double")).cast("double")
+    df = staged(df.select(*endpoint, group, F.when(F.col(value).isNotNull(), same).alias(value)), "subjects")
     a = df.select(*endpoint, F.col(group).alias("g1"), F.col(value).alias("a")).filter("a IS NOT NULL")
     b = df.select(*endpoint, F.col(group).alias("g2"), F.col(value).alias("b")).filter("b IS NOT NULL")
     lists = lambda x, g, v: x.groupBy(*endpoint, g).agg(F.array_sort(F.collect_list(v)).alias(v))

@@ -109,3 +109,14 @@ def test_communities_alike_in_groups_and_by_joins(spark, monkeypatch):
         monkeypatch.setattr(iterative, "CYCLES", cycles)
         found.append(sorted(map(tuple, iterative.communities(graph, ["roi"]).collect())))
     assert found[0] == found[1] == found[2] and len({label for _, _, label in found[0]}) > 3
+
+
+def test_ranks_of_means_that_differ_in_the_last_digit(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are a tie."""
+    from quadrille.operators import effects
+
+    a, b = (0.1 + 0.2 + 0.3) / 3, (0.3 + 0.2 + 0.1) / 3
+    assert a != b
+    df = spark.createDataFrame([("e", "A", a), ("e", "A", 1.0), ("e", "B", b), ("e", "B", 2.0), ("e", "B", None)], "endpoint string, g string, v double")
+    found = effects.rank_sums(df, ["endpoint"], "g", "v", effects.contrast_table(spark, [("A", "B")])).first()
+    assert (found["n1"], found["n2"], found["u"]) == (2, 2, 1.5)
