@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quadrille.operators import thresholds
+
 # Least scores and sizes, of which those from one half on fail a region and lesser ones warn.
 LEAST = {"coordinate_quality": 0.3, "ion_count_quality": 0.4, "biological_quality": 0.3, "overall_quality": 0.5}
 MIN_PIXELS, MIN_PROTEINS, MIN_COMPLETE = 1_000, 3, 0.5
@@ -197,14 +199,16 @@ def suite_summary(results: DataFrame) -> DataFrame:
 
 def practical_checks(pixels: DataFrame, keys: list[str], markers: list[str], dna: list[str]) -> DataFrame:
     """(keys, n_cells, n_issues, n_critical, status) by plain checks of counts, extent, signal to noise, zeros and DNA."""
-    p95, p5 = (lambda m: F.percentile(m, F.lit(0.95))), (lambda m: F.percentile(m, F.lit(0.05)))
-    noisy = [((p5(m) > 0) & (p95(m) / F.when(p5(m) > 0, p5(m)) < 1.5)).cast("int") for m in markers]
+    ends = thresholds.percentiles(pixels, keys, markers, [0.05, 0.95])
+    p5, p95 = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    noisy = ends.groupBy(*keys).agg(F.count_if((p5 > 0) & (p95 / F.when(p5 > 0, p5) < 1.5)).alias("_noisy"))
     empty = [(F.avg((F.col(m) == 0).cast("double")) > 0.9).cast("int") for m in markers]
     dark = [(F.avg(d) < 5).cast("int") for d in dna]
     loose = F.coalesce((F.corr(*dna) < 0.6).cast("int"), F.lit(0))
     flat = ((F.max("x") == F.min("x")) | (F.max("y") == F.min("y"))).cast("int")
-    counted = [F.coalesce(t, F.lit(0)) for t in (*noisy, *empty, *dark)]
+    counted = [F.coalesce(t, F.lit(0)) for t in (*empty, *dark)]
     s = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), flat.alias("n_critical"), (reduce(add, counted) + loose + (F.count(F.lit(1)) < 100).cast("int") + flat).alias("n_issues"))
+    s = s.join(noisy, keys, "left").withColumn("n_issues", (F.col("n_issues") + F.coalesce("_noisy", F.lit(0))).cast("int")).drop("_noisy")
     status = F.when(F.col("n_critical") > 0, "FAIL").when(F.col("n_issues") > 5, "POOR").when(F.col("n_issues") > 2, "FAIR").when(F.col("n_issues") > 0, "GOOD").otherwise("EXCELLENT")
     return s.withColumn("status", status)
 

@@ -80,3 +80,18 @@ def test_regions_are_replaced_one_by_one(spark):
     assert sinks.storage_summary(spark, path).filter("file LIKE '%.parquet'").count() == 2
     assert sinks.set_aside(spark, path, path + "-old") and not sinks.set_aside(spark, path, path + "-older")
     assert files.features(spark, path + "-old").count() == 2
+
+
+def test_percentiles_by_bins(spark):
+    """As F.percentile: ties, nulls, one number, one row, outliers that crowd the rest in one bin, numbers that are not finite."""
+    from pyspark.sql import functions as F
+
+    from quadrille.operators import thresholds
+
+    rows = [("spread", float(i * 7919 % 1009) / 7, float(i % 3)) for i in range(1009)] + [("crowd", 1e12 if i < 3 else i / 1000, None if i % 2 else 5.0) for i in range(400)]
+    rows += [("one", 3.5, -2.0)] + [("odd", v, 0.0) for v in (float("inf"), float("-inf"), float("nan"), 1.0, 2.0, 2.0)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {(r["k"], r["value"]): r["t"] for r in thresholds.percentiles(df, ["k"], ["a", "b"], shares).collect()}
+    want = df.groupBy("k").agg(*(F.percentile(v, F.array(*map(F.lit, shares))).alias(v) for v in "ab")).collect()
+    assert repr(sorted(got.items())) == repr(sorted(((r["k"], v), r[v]) for r in want for v in "ab" if r[v] is not None))
