@@ -240,3 +240,19 @@ def test_trends_over_a_long_history(spark):
         else:
             assert got["a", t][0] == pytest.approx(np.polyfit(range(10), v, 1)[0], abs=1e-6)
     assert [got["b", t][0] for t in range(9)] == [None] * 9 and [got["b", t] for t in (9, 10, 11)] == [(pytest.approx(3.0), "improving")] * 3
+
+
+def test_vector_blocks_do_not_grow_in_number(spark, monkeypatch):
+    """Each block meets each other, so what is moved grows with their number: it is bounded, and the edges are those by all pairs."""
+    monkeypatch.setattr(edges, "VECTORS", 4)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(900, 3)), 3)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    blocks = edges._vector_blocks(df.withColumn("k", F.lit(0)), ["k"])
+    assert blocks.count() <= 2 * edges.STRIPES
+    d2 = np.round(((x[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    got = {(r["src"], r["dst"]): r["d2"] for r in edges.vectors_within(df, 0.1).collect()}
+    assert set(got) == {(i, j) for i in range(900) for j in range(i + 1, 900) if d2[i, j] <= 0.1}
+    near = sorted((r["src"], r["rank"], r["dst"]) for r in edges.vector_knn(df, 3).collect())
+    want = [(i, n + 1, j) for i in range(900) for n, j in enumerate(sorted((j for j in range(900) if j != i), key=lambda j: (d2[i, j], j))[:3])]
+    assert near == want
