@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.functions.folders import shared_dir
+from quadrille.functions.folders import shared_dir, staged
 
 
 #: Parts of the nodes that move in turn.
@@ -28,26 +28,36 @@ def slic(pixels: DataFrame, keys: list[str], signal: str, scale: float, compactn
     signal over the compactness, and centres move to their pixels' mean. It ends when no label changes, after `rounds` at most (the usual ten). A label is the number of
     its starting square.
     """
-    shared_dir(pixels.sparkSession)
-    width = 1 << 16
-    square = (F.floor(F.col("y") / scale) * width + F.floor(F.col("x") / scale)).cast("bigint")
-    px = pixels.select(*keys, "x", "y", F.col(signal).cast("double").alias("v"), square.alias("label"))
-    around = F.explode(F.array(*(F.lit(dy * width + dx).cast("bigint") for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
-    ask = px.withColumn("_step", around).withColumn("near", F.col("label") + F.col("_step")).drop("label", "_step")
-    nearest = Window.partitionBy(*keys, "x", "y").orderBy("d", "near")
-    labels = px
+    square = (F.floor(F.col("y") / scale) * ROW + F.floor(F.col("x") / scale)).cast("bigint")
+    labels = staged(pixels.select(*keys, "x", "y", F.col(signal).cast("double").alias("v"), square.alias("_square")).withColumn("label", F.col("_square")), "slic-pixels")
     for _ in range(rounds):
         centres = labels.groupBy(*keys, F.col("label").alias("near")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("v").alias("cv"))
-        far = (F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)) / (scale * scale) + F.pow((F.col("v") - F.col("cv")) / compactness, 2)
-        best = ask.join(centres, [*keys, "near"]).withColumn("d", F.round(far, 9)).withColumn("_r", F.row_number().over(nearest)).filter("_r = 1")
-        now = best.select(*keys, "x", "y", "v", F.col("near").alias("label")).checkpoint()
-        still = now.join(labels.select(*keys, "x", "y", F.col("label").alias("_was")), [*keys, "x", "y"]).filter("label <> _was").isEmpty()
-        labels = now
-        if still:
+        labels = staged(_nearest_centres(labels, staged(_centres_around(centres, keys), "slic-centres"), keys, scale, compactness), "slic-labels")
+        if labels.filter("label <> _was").isEmpty():
             break
     return labels.select(*keys, "x", "y", "label")
 
 
+#: Squares in a row of the field.
+ROW = 1 << 16
+
+
+def _centres_around(centres: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _square, centres): the centres that the pixels of a square look at, a row a square."""
+    squares = F.explode(F.array(*((F.col("near") + dy * ROW + dx).cast("bigint") for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
+    return centres.withColumn("_square", squares).groupBy(*keys, "_square").agg(F.collect_list(F.struct("near", "cx", "cy", "cv")).alias("centres"))
+
+
+def _nearest_centres(labels: DataFrame, around: DataFrame, keys: list[str], scale: float, compactness: float) -> DataFrame:
+    """labels with each pixel's nearest centre, its former one as _was; a pixel stays one row, wherever it lies."""
+    def choice(c):
+        far = (F.pow(F.col("x") - c["cx"], 2) + F.pow(F.col("y") - c["cy"], 2)) / (scale * scale) + F.pow((F.col("v") - c["cv"]) / compactness, 2)
+        return F.struct(F.round(far, 9).alias("d"), c["near"].alias("near"))
+
+    best = F.array_min(F.transform("centres", choice))["near"]
+    return labels.join(around, [*keys, "_square"]).select(*keys, "x", "y", "v", "_square", F.col("label").alias("_was"), best.alias("label"))
+
+
 def seeds(raster: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
     """(keys, id, x, y): raster cells (bin_x, bin_y) above `least` that no neighbouring cell exceeds; of equal neighbours the first by row and column."""
     cells = raster.select(*keys, "bin_x", "bin_y", F.col(value).alias("v"))
