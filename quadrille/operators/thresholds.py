@@ -74,11 +74,12 @@ def percentiles(df: DataFrame, keys: list[str], values: list[str], shares: list[
     number = lambda v: F.col(v).cast("double")
     finite = lambda v: F.when(F.abs(number(v)) < float("inf"), number(v))
     ends = staged(df.groupBy(*keys).agg(*(f(finite(v)).alias(f"_{n}_{v}") for v in values for n, f in (("lo", F.min), ("hi", F.max)))), "ends")  # a row a key
-    low, width = (lambda v: F.col(f"_lo_{v}")), (lambda v: F.col(f"_hi_{v}") - F.col(f"_lo_{v}"))
-    binned = lambda v: F.when(width(v) > 0, F.least(F.greatest((number(v) - low(v)) / width(v) * BINS, F.lit(0.0)), F.lit(BINS - 1.0))).otherwise(0.0).cast("int")
-    entry = lambda v: F.struct(F.lit(v).alias("value"), binned(v).alias("bin"), number(v).alias("x"))
-    each = lambda rows, keep: rows.select(*keys, F.explode(F.array_compact(F.array(*(F.when(keep(v), entry(v)) for v in values)))).alias("e")).select(*keys, "e.*")
-    counts = each(df.join(ends, keys), lambda v: F.col(v).isNotNull()).groupBy(*keys, "value", "bin").agg(F.count(F.lit(1)).alias("n"))
+    long = lambda rows, entry: rows.select(*keys, F.inline(F.array(*(F.struct(F.lit(i).alias("_v"), *entry(v)) for i, v in enumerate(values)))))
+    ranges = staged(long(ends, lambda v: [F.col(f"_lo_{v}").alias("_lo"), (F.col(f"_hi_{v}") - F.col(f"_lo_{v}")).alias("_width")]), "ranges")
+    # Little is done to a row of many values at once: what is made for each follows when it is a row.
+    binned = F.when(F.col("_width") > 0, F.least(F.greatest((F.col("x") - F.col("_lo")) / F.col("_width") * BINS, F.lit(0.0)), F.lit(BINS - 1.0))).otherwise(0.0).cast("int")
+    numbered = long(df, lambda v: [number(v).alias("x")]).filter("x IS NOT NULL").join(ranges, [*keys, "_v"]).select(*keys, F.col("_v").alias("value"), "x", binned.alias("bin"))
+    counts = numbered.groupBy(*keys, "value", "bin").agg(F.count(F.lit(1)).alias("n"))
     of = Window.partitionBy(*keys, "value")
     first = F.coalesce(F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = [s * (F.sum("n").over(of) - 1) for s in shares]
@@ -86,11 +87,11 @@ def percentiles(df: DataFrame, keys: list[str], values: list[str], shares: list[
     ranks = lambda i: (F.floor(f"_at_{i}"), F.ceil(f"_at_{i}"))
     holds = lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("n"))
     held = staged(placed.filter(reduce(or_, (holds(r) for i in range(len(shares)) for r in ranks(i)))).drop("n"), "held-bins")
-    asked = held.groupBy(*keys).agg(*(F.collect_set(F.when(F.col("value") == v, F.col("bin"))).alias(f"_in_{v}") for v in values))
-    inside = each(df.join(ends, keys).join(asked, keys), lambda v: F.col(v).isNotNull() & F.array_contains(f"_in_{v}", binned(v)))
+    inside = numbered.join(held.select(*keys, "value", "bin"), [*keys, "value", "bin"], "left_semi")
     numbers = inside.groupBy(*keys, "value", "bin", "x").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy(*keys, "value", "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = numbers.join(held, [*keys, "value", "bin"]).withColumn("_first", F.col("_first") + F.coalesce(F.sum("n").over(up), F.lit(0)))
     found = ranked.groupBy(*keys, "value").agg(*(F.max(f"_at_{i}").alias(f"_at_{i}") for i in range(len(shares))), *(F.max(F.when(holds(r), F.col("x"))).alias(f"_{n}_{i}") for i in range(len(shares)) for n, r in zip("ab", ranks(i))))
     share = lambda i: F.when(F.col(f"_a_{i}") == F.col(f"_b_{i}"), F.col(f"_a_{i}")).otherwise((F.ceil(f"_at_{i}") - F.col(f"_at_{i}")) * F.col(f"_a_{i}") + (F.col(f"_at_{i}") - F.floor(f"_at_{i}")) * F.col(f"_b_{i}"))
-    return found.select(*keys, "value", F.array(*(share(i) for i in range(len(shares)))).alias("t"))
+    name = F.element_at(F.array(*map(F.lit, values)), F.col("value") + 1)
+    return found.select(*keys, name.alias("value"), F.array(*(share(i) for i in range(len(shares)))).alias("t"))
