@@ -256,3 +256,42 @@ def test_vector_blocks_do_not_grow_in_number(spark, monkeypatch):
     near = sorted((r["src"], r["rank"], r["dst"]) for r in edges.vector_knn(df, 3).collect())
     want = [(i, n + 1, j) for i in range(900) for n, j in enumerate(sorted((j for j in range(900) if j != i), key=lambda j: (d2[i, j], j))[:3])]
     assert near == want
+
+
+def test_nearest_squares_few_differences(monkeypatch):
+    """A block's nearest are those of all pairs, and few pairs' differences are squared for them."""
+    rng = np.random.default_rng(11)
+    x, ids = rng.normal(size=(1200, 16)), rng.permutation(1200).astype(np.int64)
+    x[7], x[300] = x[900], x[900] + 1e-7
+    squared, done = edges._squared, []
+    monkeypatch.setattr(edges, "_squared", lambda a, b, i, j: done.append(len(i)) or squared(a, b, i, j))
+    place, dst, d = edges._nearest_of_block((ids, x, None), 5, 100)
+    d2 = np.round(((x[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    d2[np.arange(1200), np.arange(1200)] = np.inf
+    want = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :5]
+    assert (place.reshape(-1, 5) == np.arange(1200)[:, None]).all() and (dst.reshape(-1, 5) == ids[want]).all()
+    assert (d.reshape(-1, 5) == np.take_along_axis(d2, want, axis=1)).all()
+    assert sum(done) < 0.1 * 1200 * 1200
+
+
+def _all_sorts(rng):
+    """Vectors of far apart sizes, with an offset that hides their distances from single precision, copies, near copies, none but zeros."""
+    x = rng.normal(size=(160, 6))
+    x[:40] += 1e4
+    x[40:60] = x[40]
+    x[60:80] = x[60] + rng.normal(size=(20, 6)) * 1e-6
+    x[80:90] *= 1e-12
+    x[90:95] *= 1e12
+    x[95:97] = 0.0
+    return x
+
+
+def test_nearest_of_all_sorts_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(edges, "VECTORS", 16)
+    x = _all_sorts(np.random.default_rng(12))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [float("nan")] * 6), (901, [float("inf")] + [0.0] * 5), (902, None)]
+    d2 = np.round(((x[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    got = {}
+    for r in edges.vector_knn(spark.createDataFrame(rows, "id bigint, vector array<double>"), 3).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: sorted((j for j in range(160) if j != i), key=lambda j: (d2[i, j], j))[:3] for i in range(160)}
