@@ -295,3 +295,32 @@ def test_nearest_of_all_sorts_of_vectors(spark, monkeypatch):
     for r in edges.vector_knn(spark.createDataFrame(rows, "id bigint, vector array<double>"), 3).collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: sorted((j for j in range(160) if j != i), key=lambda j: (d2[i, j], j))[:3] for i in range(160)}
+
+
+def test_vectors_within_square_few_differences(spark, monkeypatch):
+    """Of two blocks, pairs within a radius are those of all pairs, and only about as many differences are squared."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(900, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    compared, done, squared = [], [], edges._squared
+    monkeypatch.setattr(edges, "VECTORS", 100)
+    monkeypatch.setattr(edges, "_squared", lambda *a: done.append(a[-1].size) or squared(*a))
+    monkeypatch.setattr(edges, "_block_pairs", lambda blocks, by, how, *_: compared.append(how) or spark.createDataFrame([], "src bigint, dst bigint, d double"))
+    edges.vectors_within(spark.createDataFrame([(0, [1.0, 2.0])], "id bigint, vector array<double>"), 0.7)
+    ids = np.arange(900)
+    got = {(s, t): d for src, dst, d in compared[0]((ids[:400], x[:400], None), (ids[400:], x[400:], None), False) for s, t, d in zip(src.tolist(), dst.tolist(), d.tolist())}
+    d2 = np.round(((x[:400, None] - x[None, 400:]) ** 2).sum(axis=2), 9)
+    assert got == {(i, 400 + j): d2[i, j] for i, j in zip(*(c.tolist() for c in np.nonzero(d2 <= 0.7)))} and len(got) > 100
+    assert sum(done) < len(got) + 50
+
+
+def test_all_sorts_of_vectors_within(spark, monkeypatch):
+    """Distances that round to the radius count, also where lengths differ by more."""
+    monkeypatch.setattr(edges, "VECTORS", 16)
+    x = _all_sorts(np.random.default_rng(12))
+    x[60:80] = x[60] * (1 + 1e-6 * np.arange(20)[:, None])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, [float("nan")] * 6), (901, [float("inf")] + [0.0] * 5), (902, None)]
+    d2 = np.round(((x[:, None] - x[None]) ** 2).sum(axis=2), 9)
+    for radius2 in (0.0, 3.0):
+        got = sorted((r["src"], r["dst"], r["d2"]) for r in edges.vectors_within(spark.createDataFrame(rows, "id bigint, vector array<double>"), radius2).collect())
+        assert got == [(i, j, d2[i, j]) for i in range(160) for j in range(i + 1, 160) if d2[i, j] <= radius2]
